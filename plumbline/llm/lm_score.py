@@ -16,7 +16,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import settled
+from plumbline.llm.common import broadcast_checked, settled
 
 #: Bytes of each dictionary.
 DICTIONARY = 112_640
@@ -26,8 +26,13 @@ LONGEST = 40
 
 
 def word_counts(df: DataFrame, domain: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(word, n_all, n_in): how often each word occurs in all documents and in those of the domain's ids."""
+    """(word, n_all, n_in): how often each word occurs in all documents and in those of the domain's ids.
+
+    The ids are counted first: up to a million of them are broadcast, so that texts stay where they are read; beyond
+    that both sides are shuffled by id.
+    """
     ids = domain.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("__id")).distinct().withColumn("__in", F.lit(1))
+    ids = broadcast_checked(ids, ids.count())
     own = df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(ids, "__id", "left")
     words = own.select(F.explode(F.split("__text", r"[ \t\r\n]+")).alias("word"), F.coalesce("__in", F.lit(0)).alias("__in"))
     words = words.filter((F.col("word") != "") & (F.length("word") <= LONGEST))
