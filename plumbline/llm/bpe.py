@@ -20,11 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import bounds, categories, codepoints, runs
+from plumbline.llm.common import bounds, categories, codepoints, resident, runs, slices
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Pre-tokens that a worker remembers before it forgets all.
-CACHE = 1_500_000
+CACHE = 250_000
 
 LETTER, NUMBER, OTHER, SHORT, LONG, BLANK, GAP, SPACE = range(8)
 START, IN_LETTERS, IN_NUMBERS, IN_OTHER, AFTER_BLANK, IN_SPACE, AFTER_GAP, NEED_ONE, NEED_TWO, DONE = range(10)
@@ -391,15 +391,9 @@ class ByteBPE:
         return self.bytes[np.repeat(self.starts[ids] - done[:-1], size) + np.arange(done[-1])].tobytes()
 
 
-_made: dict[int, ByteBPE] = {}
-
-
 def tokenizer(data: bytes) -> ByteBPE:
-    """The worker's tokenizer for this vocabulary file; it lives, with its cache, as long as the worker."""
-    key = hash(data)
-    if key not in _made:
-        _made[key] = ByteBPE(data)
-    return _made[key]
+    """The worker's tokenizer for this vocabulary file; it lives, with its cache, from task to task."""
+    return resident(("bpe", hash(data)), lambda: ByteBPE(data))
 
 
 def encoded_batch(bpe: ByteBPE, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -437,8 +431,7 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(shared.value)
         for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
+            for batch in slices(whole, whole.column(1)):
                 texts = batch.column(1).to_pylist()
                 flat, done, offset = encoded_batch(bpe, texts)
                 null = np.array([t is None for t in texts], bool)

@@ -6,14 +6,18 @@ import atexit
 import tempfile
 import unicodedata
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Hashable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Texts are handed to numpy in runs of about so many characters; a longer text makes a run of its own.
 RUN_CHARS = 1_000_000
+#: Of an Arrow batch, about so many bytes of text, and rows, become Python strings at a time.
+SLICE_BYTES, SLICE_ROWS = 2_000_000, 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,6 +77,28 @@ def runs(texts: list[str | None], most: int = RUN_CHARS) -> Iterator[tuple[int,
         yield begin, len(texts)
 
 
+def slices(batch: pa.RecordBatch | pa.StructArray, texts: pa.Array) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of about SLICE_BYTES of its texts, so that a worker's memory doesn't follow Arrow's batches."""
+    done = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < len(done):
+        before = done[at - 1] if at else 0
+        end = max(at + 1, min(at + SLICE_ROWS, int(np.searchsorted(done, before + SLICE_BYTES, "right"))))
+        yield batch.slice(at, end - at)
+        at = end
+
+
+_resident: list[tuple[Hashable, object]] = []
+
+
+def resident(key: Hashable, make: Callable[[], object]) -> object:
+    """What make() gives, kept as long as the worker asks for the same key; a worker holds one such model at a time."""
+    if not _resident or _resident[0][0] != key:
+        _resident[:] = []
+        _resident.append((key, make()))
+    return _resident[0][1]
+
+
 def codepoints(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
 

@@ -9,16 +9,15 @@ a batch go through the forward algorithm side by side.
 
 from __future__ import annotations
 
-import functools
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import Spans64, Table64, bounds, codepoints
+from plumbline.llm.common import Spans64, Table64, bounds, codepoints, resident, slices
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 LANGUAGES = ("de", "en", "es", "fr")
@@ -28,7 +27,7 @@ ROUNDS = 3
 #: Nats by which uniform bytes have to fit a text better than its best language before it counts as none of them.
 MARGIN = 12.0
 #: Words that a worker remembers, and pieces' and words' longest forms in the side-by-side pass.
-CACHE = 400_000
+CACHE = 200_000
 SIDE_BY_SIDE = 48
 #: Each character's probability is scaled up by this, which keeps the sums within a double's range.
 SCALE = 1e4
@@ -242,11 +241,6 @@ def sample(df: DataFrame, languages: tuple[str, ...] = LANGUAGES, rows: int = SA
 RESULT = "language string, evidence double, margin double, own_gap double"
 
 
-@functools.lru_cache(maxsize=4)
-def _model(key: int) -> list[Model]:
-    return []
-
-
 def scorer(model: Model, df: DataFrame) -> object:
     """A vectorised function of text and declared language: (language, evidence, margin, own_gap).
 
@@ -255,28 +249,31 @@ def scorer(model: Model, df: DataFrame) -> object:
     """
     shared = df.sparkSession.sparkContext.broadcast((list(model.index), model.languages, model.probabilities, id(model)))
 
-    @F.pandas_udf(RESULT)
-    def work(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf(RESULT)
+    def work(parts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         vocabulary, languages, probabilities, key = shared.value
-        kept = _model(hash((key, probabilities.tobytes())))
-        if not kept:
-            kept.append(Model(vocabulary, languages, probabilities))
+        model = resident(("langid", key, hash(probabilities.tobytes())), lambda: Model(vocabulary, languages, probabilities))
         for texts, declared in parts:
-            logs, size = kept[0].score(texts.tolist())
-            top = logs.argmax(1)
-            row = np.arange(len(logs))
-            best = logs[row, top]
-            rest = np.sort(logs, 1)[:, -2] if len(languages) > 1 else best
-            own = np.array([languages.index(x) if x in languages else -1 for x in declared])
-            gap = np.where(own >= 0, best - logs[row, own], np.nan)
-            none = size == 0
-            out = pd.DataFrame({"language": np.array(languages, object)[top], "evidence": best + size * np.log(256), "margin": best - rest, "own_gap": gap})
-            out[none] = None
-            yield out.astype({"evidence": "Float64", "margin": "Float64", "own_gap": "Float64"})
+            out = [_scored(model, *part.flatten()) for part in slices(pa.StructArray.from_arrays([texts, declared], ["t", "d"]), texts)]
+            yield pa.concat_arrays(out) if out else _scored(model, texts, declared)
 
     return work
 
 
+def _scored(model: Model, texts: pa.Array, declared: pa.Array) -> pa.Array:
+    languages = model.languages
+    logs, size = model.score(texts.to_pylist())
+    top = logs.argmax(1)
+    row = np.arange(len(logs))
+    best = logs[row, top]
+    rest = np.sort(logs, 1)[:, -2] if len(languages) > 1 else best
+    own = np.array([languages.index(x) if x in languages else -1 for x in declared.to_pylist()], np.int64)
+    none = size == 0
+    figures = [(best + size * np.log(256), none), (best - rest, none), (best - logs[row, own], none | (own < 0))]
+    fields = [pa.array(np.array(languages, object)[top], pa.string(), mask=none), *[pa.array(x, pa.float64(), mask=m) for x, m in figures]]
+    return pa.StructArray.from_arrays(fields, ["language", "evidence", "margin", "own_gap"])
+
+
 def rejected(found: Column, margin: float = MARGIN) -> Column:
     """Whether a scored row goes: it has no word to score, or uniform bytes fit it better by `margin` nats."""
     return found["language"].isNull() | (found["evidence"] < -margin)

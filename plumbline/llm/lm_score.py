@@ -16,7 +16,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import broadcast_checked, settled
+from plumbline.llm.common import broadcast_checked, settled, slices
 
 #: Bytes of each dictionary.
 DICTIONARY = 112_640
@@ -94,12 +94,13 @@ def score(df: DataFrame, domain: DataFrame, id_col: str = "doc_id", text_col: st
     shared = df.sparkSession.sparkContext.broadcast((inside, general))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n, a, b = costs(batch.column(1).to_pylist(), *shared.value, level).T
-            none = n == 0
-            d = np.maximum(n, 1) / 8
-            figures = [pa.array(x, mask=none) for x in (a / d, b / d, (b - a) / d)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), *figures], names=[id_col, "n_bytes", "in_bits", "general_bits", "score"])
+        for whole in batches:
+            for batch in slices(whole, whole.column(1)):
+                n, a, b = costs(batch.column(1).to_pylist(), *shared.value, level).T
+                none = n == 0
+                d = np.maximum(n, 1) / 8
+                figures = [pa.array(x, mask=none) for x in (a / d, b / d, (b - a) / d)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), *figures], names=[id_col, "n_bytes", "in_bits", "general_bits", "score"])
 
     kind = df.schema[id_col].dataType.simpleString()
     return df.select(id_col, text_col).mapInArrow(work, f"`{id_col}` {kind}, n_bytes bigint, in_bits double, general_bits double, score double")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import Spans64, bounds, categories, codepoints, mixed, runs, settled
+from plumbline.llm.common import Spans64, bounds, categories, codepoints, mixed, runs, settled, slices
 
 HASHES = 64
 #: Bits of each value; 16 keep keys of three values apart among billions of documents.
@@ -101,8 +101,7 @@ def signed(df: DataFrame, id_col: str, text_col: str, hashes: int, shingle: int)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
+            for batch in slices(whole, whole.column(1)):
                 values, has = signatures(batch.column(1).to_pylist(), hashes, shingle)
                 rows = [v.astype("<u2").tobytes() for v in values]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary(), mask=~has)], names=["id", "signature"])

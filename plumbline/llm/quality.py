@@ -12,12 +12,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import bounds, categories, codepoints, minor_categories, runs
+from plumbline.llm.common import bounds, categories, codepoints, minor_categories, runs, slices
 
 CLASSES = ("lower", "upper", "letter", "number", "space", "punctuation", "symbol", "rest")
 
@@ -88,10 +87,14 @@ def reference(df: DataFrame, common: int, text_col: str = "text", lang_col: str
 
     def classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
-        for batch in batches:
-            counts = char_counts(batch.column(1).to_pylist())
-            for lang, rows in pd.DataFrame(counts).groupby(np.array(batch.column(0).to_pylist(), object)):
-                total[lang] = total.get(lang, 0) + rows.to_numpy().sum(0)
+        for whole in batches:
+            for batch in slices(whole, whole.column(1)):
+                counts = char_counts(batch.column(1).to_pylist())
+                names, at = np.unique(np.array(batch.column(0).to_pylist(), object), return_inverse=True)
+                sums = np.zeros((len(names), counts.shape[1]), np.int64)
+                np.add.at(sums, at, counts)
+                for lang, n in zip(names, sums, strict=True):
+                    total[lang] = total.get(lang, 0) + n
         for lang, n in total.items():
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), pa.array(range(len(n)), pa.int32()), pa.array(n, pa.int64())], names=["lang", "k", "n"])
 
@@ -116,15 +119,16 @@ def measurer(df: DataFrame, refs: Reference, common: int) -> object:
     """A vectorised function of text and language: lengths and both distances; all null for a null text."""
     shared = df.sparkSession.sparkContext.broadcast(refs)
 
-    @F.pandas_udf(RESULT)
-    def work(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf(RESULT)
+    def work(parts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         refs = shared.value
         bins = {lang: {w: i for i, (w, _) in enumerate(r[1])} for lang, r in refs.items()}
         q_chars = {lang: np.array(r[0]) for lang, r in refs.items()}
         q_words = {lang: np.array([n for _, n in r[1]] + [0] * (common - len(r[1])) + [r[2] - sum(n for _, n in r[1])]) for lang, r in refs.items()}
-        for texts, langs in parts:
-            lists = texts.tolist()
-            names = ["" if x is None or x != x else x for x in langs.tolist()]
+
+        def measure(texts: pa.Array, langs: pa.Array) -> pa.Array:
+            lists = texts.to_pylist()
+            names = [x or "" for x in langs.to_pylist()]
             chars = char_counts(lists)
             words = np.zeros((len(lists), common + 1), np.int64)
             for i, (text, lang) in enumerate(zip(lists, names, strict=True)):
@@ -134,9 +138,13 @@ def measurer(df: DataFrame, refs: Reference, common: int) -> object:
             empty = (np.zeros(len(CLASSES)), np.zeros(common + 1))
             qc = np.array([q_chars.get(x, empty[0]) for x in names]).reshape(-1, len(CLASSES))
             qw = np.array([q_words.get(x, empty[1]) for x in names]).reshape(-1, common + 1)
-            out = pd.DataFrame({"n_chars": chars.sum(1), "n_words": words.sum(1), "char_distance": distance(chars, qc), "word_distance": distance(words, qw)}).astype({"n_chars": "Int64", "n_words": "Int64", "char_distance": "Float64", "word_distance": "Float64"})
-            out[[t is None for t in lists]] = None
-            yield out
+            null = np.array([t is None for t in lists], bool)
+            figures = {"n_chars": chars.sum(1), "n_words": words.sum(1), "char_distance": distance(chars, qc), "word_distance": distance(words, qw)}
+            return pa.StructArray.from_arrays([pa.array(x, mask=null) for x in figures.values()], [*figures])
+
+        for texts, langs in parts:
+            out = [measure(*part.flatten()) for part in slices(pa.StructArray.from_arrays([texts, langs], ["t", "l"]), texts)]
+            yield pa.concat_arrays(out) if out else measure(texts, langs)
 
     return work
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.bpe import VOCABULARY, encoded_batch, tokenizer, vocabulary
-from plumbline.llm.common import new_path
+from plumbline.llm.common import new_path, slices
 
 LENGTH = 2048
 BATCH_ROWS = 512
@@ -86,8 +86,7 @@ def write(df: DataFrame, folder: str | None = None, id_col: str = "doc_id", text
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, out = tokenizer(shared.value), None
         for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
+            for batch in slices(whole, whole.column(1)):
                 out = out or _File(folder, length, ids, end)
                 texts = batch.column(1).to_pylist()
                 flat, done, _ = encoded_batch(bpe, texts)
