@@ -32,7 +32,7 @@ def degrees(e: DataFrame) -> DataFrame:
 def summary(e: DataFrame) -> DataFrame:
     """One row: num_nodes, num_edges, avg_node_degree."""
     d = degrees(e).agg(F.count(F.lit(1)).alias("num_nodes"), (F.coalesce(F.sum("degree"), F.lit(0)) / 2).cast("bigint").alias("num_edges"))
-    return d.select("num_nodes", "num_edges", (2 * F.col("num_edges") / F.col("num_nodes")).alias("avg_node_degree"))
+    return d.select("num_nodes", "num_edges", F.try_divide(2 * F.col("num_edges"), F.col("num_nodes")).alias("avg_node_degree"))
 
 
 def components(e: DataFrame, most: int = 100) -> DataFrame:

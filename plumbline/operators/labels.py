@@ -7,6 +7,7 @@ their fuzzy match is made on the driver.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -38,12 +39,16 @@ def bounded(pattern: str) -> str:
     return rf"(?<![{EDGE}])(?:{pattern})(?![{EDGE}])"
 
 
+def _tagged(label: str) -> Callable[[Column], Column]:
+    return lambda e: F.struct(F.lit(label).alias("label"), e.alias("entity"))
+
+
 def found(text: Column, patterns: dict[str, str] | None = None) -> Column:
     """array<struct<label, entity>> of a text's entities in order of priority; what one kind took, later ones don't see."""
     rest, parts = text, []
     for label, pattern in (PATTERNS if patterns is None else patterns).items():
         hits = F.regexp_extract_all(rest, F.lit(bounded(pattern)), F.lit(0))
-        parts.append(F.transform(hits, lambda e, label=label: F.struct(F.lit(label).alias("label"), e.alias("entity"))))
+        parts.append(F.transform(hits, _tagged(label)))
         rest = F.regexp_replace(rest, bounded(pattern), "\u0001")
     return F.flatten(F.array(*parts))
 

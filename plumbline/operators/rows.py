@@ -38,14 +38,14 @@ def unique_rows(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     h = F.xxhash64(*[F.struct(F.coalesce(_text(df, c), F.lit("\0null"))) for c in columns or df.columns])
     per = df.select(h.alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n"))  # partial sums before the shuffle
     n, u = F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))
-    return per.agg(n.alias("n_rows"), u.alias("unique_rows"), (u / n).alias("unique_row_ratio"), (n - u).alias("duplicate_rows"))
+    return per.agg(n.alias("n_rows"), u.alias("unique_rows"), F.try_divide(u, n).alias("unique_row_ratio"), (n - u).alias("duplicate_rows"))
 
 
 def unique_rows_sketched(df: DataFrame, columns: list[str] | None = None, lg_k: int = 15) -> DataFrame:
     """The same by a HyperLogLog sketch of 2**lg_k registers; no shuffle of rows."""
     row = F.to_json(F.struct(*[F.col(f"`{c}`") for c in columns or df.columns]))
     n, u = F.count(F.lit(1)), F.least(F.hll_sketch_estimate(F.hll_sketch_agg(row, lg_k)), F.count(F.lit(1)))
-    return df.agg(n.alias("n_rows"), u.alias("unique_rows"), (u / n).alias("unique_row_ratio"), (n - u).alias("duplicate_rows"))
+    return df.agg(n.alias("n_rows"), u.alias("unique_rows"), F.try_divide(u, n).alias("unique_row_ratio"), (n - u).alias("duplicate_rows"))
 
 
 def null_runs(df: DataFrame, column: str, row_id: str) -> DataFrame:

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.operators import categorical, compare, dates, graph, matrices, numeric, order, rows, text, validate
+from plumbline.operators import categorical, compare, dates, graph, labels, matrices, numeric, order, rows, text, validate
+from plumbline.plans import profile
 
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
@@ -330,6 +331,20 @@ def confusion(df: DataFrame) -> DataFrame:
     return df.groupBy("quality", "toxic").agg(F.count(F.lit(1)).alias("n"))
 
 
+@_query("documents")
+def entity_counts(df: DataFrame) -> DataFrame:
+    """Kinds of entities in all texts; DuckDB's patterns lack look-around, so a test holds it against Python's."""
+    return labels.entity_counts(df, "text")
+
+
+@_query("lineitem", " UNION ALL ".join(f"SELECT '{c}' AS column_name, '{k}' AS data_type, count(*) AS n_rows, count(*) - count({c}) AS null_count, round(avg({c}), 6) AS mean, round(stddev_samp({c}), 4) AS stddev FROM lineitem" for c, k in zip(LINE, ("int", "float", "float", "float"), strict=True)))
+def profile_lineitem(df: DataFrame) -> DataFrame:
+    """The figures of a whole profile, one small row for each column."""
+    got = profile.of(df, profile.Options(tuple(LINE)))
+    out = [(c, s.data_type, s.n_rows, s.null_count, round(s.moments.mean, 6), round(s.moments.stddev(), 4)) for c, s in got.columns.items()]
+    return df.sparkSession.createDataFrame(out, "column_name string, data_type string, n_rows bigint, null_count bigint, mean double, stddev double")
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _queries["numeric_moments"](spark, sf_dir)
 
