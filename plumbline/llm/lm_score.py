@@ -3,7 +3,8 @@
 What a text costs under zstandard with a dictionary of in-domain words, against what it costs with one of the words of
 everything, tells how much it is like the domain: score = (general - in-domain) / bytes, in bits a byte. The words are
 counted over all documents, both ways in one aggregation; each dictionary is a raw one that holds the words which save
-most (count times length), the best last, where they are nearest. A dictionary's size is a model parameter.
+most (count times length), the best last, where they are nearest. A dictionary grows with the vocabulary: it holds a
+fixed share of all that repeated words save.
 """
 
 from __future__ import annotations
@@ -16,11 +17,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import broadcast_checked, settled, slices
+from plumbline.llm.common import broadcast_checked, resident, settled, slices
 
-#: Bytes of each dictionary.
+#: Each dictionary has all repeated words up to so many bytes; beyond that, the best that make up SHARE of the savings.
 DICTIONARY = 112_640
+SHARE = 0.95
 LEVEL = 3
+#: zstandard's own tables at this level have places for dictionaries of 2 to the power of so many bytes.
+LEVEL_BITS = 17
 #: Words longer than this are no dictionary entries.
 LONGEST = 40
 
@@ -39,41 +43,54 @@ def word_counts(df: DataFrame, domain: DataFrame, id_col: str = "doc_id", text_c
     return words.groupBy("word").agg(F.count(F.lit(1)).alias("n_all"), F.sum("__in").alias("n_in"))
 
 
-def dictionaries(counts: DataFrame, size: int = DICTIONARY) -> tuple[bytes, bytes]:
+def dictionaries(counts: DataFrame, size: int = DICTIONARY, share: float = SHARE) -> tuple[bytes, bytes]:
     """The in-domain and the general dictionary.
 
-    What a word saves is its count times its bytes. A histogram of that over all words gives the least saving that can
-    matter, so that little more than a dictionary's words reaches the driver, however many there are.
+    What a word saves is its count times its bytes. The best words are taken until they fill `size` and make up `share`
+    of what all repeated words save, so a dictionary follows the vocabulary. A histogram of the savings over all words
+    gives the least saving that can matter, so that little more than a dictionary's words reaches the driver.
     """
     out = []
     for n in ("n_in", "n_all"):
         saved = counts.filter((F.col(n) > 1) & (F.octet_length("word") > 1)).select("word", (F.col(n) * F.octet_length("word")).alias("saved"))
-        steps = sorted(saved.groupBy(F.floor(F.log2("saved") * 8).alias("step")).agg(F.sum(F.octet_length("word") + 1).alias("bytes")).collect(), reverse=True)
-        total, least = 0, 0
-        for step, n_bytes in steps:
-            total, least = total + n_bytes, step
-            if total >= size:
+        sums = F.sum(F.octet_length("word") + 1).alias("bytes"), F.sum("saved").alias("saved")
+        steps = sorted(saved.groupBy(F.floor(F.log2("saved") * 8).alias("step")).agg(*sums).collect(), reverse=True)
+        whole = sum(r["saved"] for r in steps)
+        n_bytes, of_whole, least = 0, 0, 0
+        for step, own_bytes, own_saved in steps:
+            n_bytes, of_whole, least = n_bytes + own_bytes, of_whole + own_saved, step
+            if n_bytes >= size and of_whole >= share * whole:
                 break
-        parts, left = [], size
-        for row in saved.filter(F.floor(F.log2("saved") * 8) >= least).orderBy(F.desc("saved"), "word").limit(size // 3).collect():
-            entry = b" " + row["word"].encode()
-            if len(entry) > left:
-                break
-            parts.append(entry)
-            left -= len(entry)
+        parts, used, of_whole = [], 0, 0
+        for batch in saved.filter(F.floor(F.log2("saved") * 8) >= least).orderBy(F.desc("saved"), "word").toArrow().to_batches(max_chunksize=10_000):
+            for word, value in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                entry = b" " + word.encode()
+                if used + len(entry) > size and of_whole >= share * whole:
+                    break
+                parts.append(entry)
+                used, of_whole = used + len(entry), of_whole + value
         out.append(b"".join(reversed(parts)))
     return out[0], out[1]
 
 
+def coder(content: bytes, level: int = LEVEL) -> zstandard.ZstdCompressor:
+    """A compressor that starts from the dictionary; its tables have room for all of a large one's places."""
+    flags = {"write_content_size": False, "write_checksum": False, "write_dict_id": False}
+    if not content:
+        return zstandard.ZstdCompressor(level=level, **flags)
+    book = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    bits = (len(content) - 1).bit_length()
+    if bits <= LEVEL_BITS:
+        book.precompute_compress(level=level)
+        return zstandard.ZstdCompressor(level=level, dict_data=book, **flags)
+    params = zstandard.ZstdCompressionParameters.from_level(level, dict_size=len(content), hash_log=min(bits, 28), chain_log=min(bits - 1, 28), **flags)
+    book.precompute_compress(compression_params=params)
+    return zstandard.ZstdCompressor(dict_data=book, compression_params=params)
+
+
 def costs(texts: list[str | None], inside: bytes, general: bytes, level: int = LEVEL) -> np.ndarray:
     """Rows of (bytes, in-domain size, general size), zeros for null and empty texts."""
-    coders = []
-    for content in (inside, general):
-        kwargs = {}
-        if content:
-            kwargs["dict_data"] = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            kwargs["dict_data"].precompute_compress(level=level)
-        coders.append(zstandard.ZstdCompressor(level=level, write_content_size=False, write_checksum=False, write_dict_id=False, **kwargs))
+    coders = resident(("lm", level, inside, general), lambda: [coder(content, level) for content in (inside, general)])
     out = np.zeros((len(texts), 3), np.int64)
     for i, text in enumerate(texts):
         if text:
@@ -82,7 +99,7 @@ def costs(texts: list[str | None], inside: bytes, general: bytes, level: int = L
     return out
 
 
-def score(df: DataFrame, domain: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = DICTIONARY, level: int = LEVEL) -> DataFrame:
+def score(df: DataFrame, domain: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = DICTIONARY, level: int = LEVEL, share: float = SHARE) -> DataFrame:
     """(id_col, n_bytes, in_bits, general_bits, score) of each row, in bits a byte; a higher score is more in-domain.
 
     Null and empty texts have 0 bytes and null figures. Rows correspond one to one, repeated ones and null ids
@@ -90,7 +107,7 @@ def score(df: DataFrame, domain: DataFrame, id_col: str = "doc_id", text_col: st
     without one. Other columns, of df and of domain, are left out.
     """
     counts = settled(word_counts(df, domain, id_col, text_col).filter("n_all > 1"), "lm-words")
-    inside, general = dictionaries(counts, size)
+    inside, general = dictionaries(counts, size, share)
     shared = df.sparkSession.sparkContext.broadcast((inside, general))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

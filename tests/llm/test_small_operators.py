@@ -128,6 +128,18 @@ def test_lm_score_brute(documents, spark, sf_dir) -> None:
         assert r["n_bytes"] == len(data) and r["score"] == pytest.approx((b - a) * 8 / len(data))
 
 
+def test_lm_dictionaries_follow_the_vocabulary(spark) -> None:
+    base, sizes = lm_score.DICTIONARY // 8, []
+    for n in (base, 4 * base):
+        counts = spark.range(n).selectExpr("concat('word', lpad(hex(id), 8, '0')) word", "2L n_all", "if(id % 2 = 0, 2L, 0L) n_in")
+        inside, general = lm_score.dictionaries(counts)
+        assert len(general) >= max(lm_score.DICTIONARY, lm_score.SHARE * 13 * n) and len(inside) >= lm_score.SHARE * 13 * n / 2
+        sizes.append(len(general))
+    assert sizes[1] > 3.9 * sizes[0]
+    rare = general[:130]
+    assert len(lm_score.coder(general).compress(rare)) < len(lm_score.coder(general[-lm_score.DICTIONARY :]).compress(rare))
+
+
 def test_lm_score_odd(odd, empty, spark) -> None:
     got = lm_score.score(odd, odd.filter("doc_id = 1 or doc_id is null"))
     assert got.count() == odd.count()
