@@ -98,6 +98,23 @@ def test_spans() -> None:
             assert h.equal(a, min(a + 4, h.n), h, c, min(c + 4, h.n)) == (text[a : a + 4] == text[c : c + 4])
 
 
+def test_fingerprints_passages(spark) -> None:
+    rng = np.random.default_rng(1)
+    text = lambda n: "".join(map(chr, rng.integers(97, 123, n)))
+    least, shared, longer = fingerprints.ANCHOR + fingerprints.WINDOW - 1, [text(fingerprints.ANCHOR + fingerprints.WINDOW - 1) for _ in range(20)], text(900)
+    rows = [(2 * k, text(k * 7) + "A" + s + "B" + text(50)) for k, s in enumerate(shared)] + [(2 * k + 1, text(400) + "C" + s + "D") for k, s in enumerate(shared)]
+    base = text(300)
+    rows += [(100, "x" + base + text(200)), (101, "y" + base + "E" + longer), (102, "z" + base + "F" + longer), (103, text(3000)), (104, None)]
+    got = {r["doc_id"]: r for r in fingerprints.fingerprints(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()}
+    assert len(got) == len(rows)
+    for k in range(20):
+        a, b = got[2 * k], got[2 * k + 1]
+        assert (a["other"], a["start"], a["other_start"], a["passage"]) == (2 * k + 1, 7 * k + 1, 401, least)
+        assert (b["other"], b["start"], b["other_start"], b["passage"]) == (2 * k, 401, 7 * k + 1, least)
+    assert (got[101]["other"], got[101]["start"], got[101]["passage"]) == (102, 302, 900) and got[102]["other"] == 101
+    assert got[100]["passage"] == 300 and got[103]["passage"] is None and got[104]["passage"] is None
+
+
 def brute_dictionary(counts: Counter, size: int) -> bytes:
     parts, left = [], size
     saved = {w: n * len(w.encode()) for w, n in counts.items() if n > 1 and len(w.encode()) > 1 and len(w) <= lm_score.LONGEST}
