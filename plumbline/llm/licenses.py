@@ -5,12 +5,19 @@ block has at least `threshold` of the template's words. Words are put in one ord
 the rarest first. A template of n words, of which k have to be there, has a prefix of n - k + 1: a block without any
 word of that prefix can't reach k. What passes is tested by length (a block has at least k of the vocabulary's words),
 by position (from the first shared word on, both sides must have k words left), and then counted exactly.
+
+A notice that is wrapped is no line. So runs of lines, without one that has no word, are blocks too: of a text that has
+k of a template's words, wherever they are, each stretch of consecutive words is counted that is as long as the template
+divided by the threshold and goes over a line's end.
 """
 
 from __future__ import annotations
 
 import math
+import re
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +42,7 @@ TEMPLATES = {
     "reserved": "All rights reserved",
 }
 SPLIT = r"[^\p{L}\p{N}]+"
+PYTHON_SPLIT = re.compile(r"[\W_]+")
 
 
 def words(text: Column) -> Column:
@@ -47,17 +55,56 @@ def template_sets(df: DataFrame, templates: dict[str, str]) -> dict[str, list[st
     return {r[0]: sorted(r[1]) for r in rows.collect() if r[1]}
 
 
+def wrapped(text: str, templates: dict[str, tuple[set[str], int, int]]) -> list[tuple[int, str, int]]:
+    """(first line, template, shared): the best stretches over more than one line that meet the threshold.
+
+    Of each template its words, how many have to be there, and how long a stretch is. Stretches that overlap count as
+    one; one with a line that meets the threshold by itself is left to that line.
+    """
+    lines = [[w for w in PYTHON_SPLIT.split(x) if w] for x in text.lower().split("\n")]
+    sets = [set(x) for x in lines]
+    whole = set().union(*sets)
+    out = []
+    for name, (own, need, long) in templates.items():
+        if len(own & whole) < need:
+            continue
+        hits, at, paragraph = [], 0, 0
+        for k, x in enumerate(lines):
+            paragraph += not x
+            hits += [(at + j, k, paragraph, w) for j, w in enumerate(x) if w in own]
+            at += len(x)
+        alone = {k for k, x in enumerate(sets) if len(own & x) >= need}
+        found = []
+        for a, (begin, first, here, _) in enumerate(hits):
+            seen, end, last = set(), begin, first
+            for at, k, paragraph, w in hits[a : a + long]:
+                if at >= begin + long or paragraph != here:
+                    break
+                if w not in seen:
+                    seen.add(w)
+                    end, last = at, k
+            if len(seen) >= need and last > first and not any(k in alone for k in range(first, last + 1)):
+                found.append((-len(seen), end - begin, begin, end, first))
+        taken = []
+        for n, _, begin, end, first in sorted(found):
+            if all(end < b or begin > e for b, e in taken):
+                taken.append((begin, end))
+                out.append((first, name, -n))
+    return out
+
+
 def scan(df: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, block, template, shared, containment): every line and template that meet the threshold.
+    """(id_col, block, template, shared, containment): every line, or run of lines, and template that meet the threshold.
 
-    block numbers a text's lines from 0, shared counts the template's words that are in the line. Null and empty texts
+    block numbers a text's lines from 0, a run by its first line; shared counts the template's words that are in it. Null and empty texts
     have no line that meets anything, nor does a template without words. Repeated rows are found each by itself, null
     ids are kept, other columns are left out. threshold has to be above 0.
     """
     if not 0 < threshold <= 1:
         raise ValueError("the threshold lies in (0, 1]")
     spark = df.sparkSession
-    sets = template_sets(df, TEMPLATES if templates is None else templates)
+    texts = TEMPLATES if templates is None else templates
+    sets = template_sets(df, texts)
     known = sorted(set().union(*sets.values())) if sets else []
     out = f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, block int, template string, shared int, containment double"
     if not known:
@@ -86,7 +133,27 @@ def scan(df: DataFrame, templates: dict[str, str] | None = None, threshold: floa
     pairs = pairs.filter((F.size("t") - at + 1 >= F.col("need")) & (F.size("b") - first + 1 >= F.col("need")))
     shared = F.size(F.array_intersect("t", "b"))
     found = pairs.withColumn("shared", shared).filter(F.col("shared") >= F.col("need"))
-    return found.select(id_col, F.col("block").cast("int"), "template", "shared", F.round(F.col("shared") / F.size("t"), 6).alias("containment"))
+    found = found.select(id_col, F.col("block").cast("int"), "template", "shared", F.size("t").alias("n"))
+    stretches = {}
+    for name, t, _, need in rows:
+        n = sum(w != "" for w in PYTHON_SPLIT.split(texts[name]))
+        stretches[name] = set(t), need, math.ceil(n / threshold - 1e-9)
+
+    def over_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                hits = wrapped(batch.column(1)[k].as_py(), stretches)
+                if hits:
+                    own = [[h[0] for h in hits], [h[1] for h in hits], [h[2] for h in hits], [len(stretches[h[1]][0]) for h in hits]]
+                    columns = [pa.array(x, t) for x, t in zip(own, (pa.int32(), pa.string(), pa.int32(), pa.int32()), strict=True)]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([k] * len(hits))), *columns], names=[id_col, "block", "template", "shared", "n"])
+
+    enough = [F.size(F.array_intersect("__w", F.array(*map(F.lit, t)))) >= need for _, t, _, need in rows]
+    long = some.filter(F.col(text_col).contains("\n")).select(id_col, F.col(text_col).alias("__t"), F.array_intersect(words(F.col(text_col)), vocabulary).alias("__w"))
+    long = long.filter(F.exists(F.array(*enough), lambda x: x)).select(id_col, "__t")
+    kind = df.schema[id_col].dataType.simpleString()
+    found = found.unionByName(long.mapInArrow(over_lines, f"`{id_col}` {kind}, block int, template string, shared int, n int"))
+    return found.select(id_col, "block", "template", "shared", F.round(F.col("shared") / F.col("n"), 6).alias("containment"))
 
 
 def scan_sql(templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> str:

@@ -172,3 +172,16 @@ def test_licenses_odd(odd, empty) -> None:
     assert licenses.scan(empty).collect() == [] and licenses.scan(odd, {"none": "..."}).collect() == []
     with pytest.raises(ValueError):
         licenses.scan(odd, threshold=0.0)
+
+
+def test_licenses_wrapped(spark) -> None:
+    headers = {
+        "apache-basis": "# Unless required by applicable law or agreed to in writing, software\n# distributed under the License is distributed on an \"AS IS\" BASIS,\n# WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND",
+        "mit-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal",
+        "bsd-grant": "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:",
+        "gpl-free": " * This program is free software: you can redistribute it and/or modify\n * it under the terms of the GNU General Public License as published by\n * the Free Software Foundation",
+    }
+    rows = [(k, f"first line\n\n{x}\n\nlast") for k, x in enumerate(headers.values())]
+    rows += [(10, "Permission is hereby granted, free of charge, to any\n\nperson obtaining a copy of this software and associated documentation files"), (11, "all the\nother lines here are about their own rights and have nothing\nreserved"), (12, None)]
+    got = sorted((r["doc_id"], r["block"], r["template"], r["containment"]) for r in licenses.scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect())
+    assert got == [(k, 2, name, 1.0) for k, name in enumerate(headers)]
