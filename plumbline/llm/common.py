@@ -52,6 +52,14 @@ def _remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def fresh_name(df: DataFrame, name: str) -> str:
+    """A column name that df lacks, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def settled(df: DataFrame, name: str) -> DataFrame:
     """df as a written table in the shared folder: later reads survive the loss of any executor."""
     path = new_path(df.sparkSession, name)
@@ -88,6 +96,38 @@ def slices(batch: pa.RecordBatch | pa.StructArray, texts: pa.Array) -> Iterator[
         at = end
 
 
+#: Bits of a membership filter, and places that a key sets in it: its size never grows, only its false hits do.
+FILTER_BITS, FILTER_PLACES = 1 << 26, 3
+
+
+def filter_of(keys: DataFrame, key: str, bits: int = FILTER_BITS) -> np.ndarray:
+    """A Bloom filter over a column of 64-bit keys: `bits` bits, at most 8 MB whatever the number of keys."""
+    at = [F.pmod(F.xxhash64(F.col(key), F.lit(k)), F.lit(bits)) for k in range(FILTER_PLACES)]
+    places = keys.filter(F.col(key).isNotNull()).select(F.explode(F.array(*at)).alias("p"))
+    words = places.groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 AS int))")).alias("b"))
+    out = np.zeros(bits >> 6, np.int64)
+    for batch in words.toArrow().to_batches():  # at most bits / 64 rows
+        out[batch.column(0).to_numpy()] = batch.column(1).to_numpy()
+    return out
+
+
+def maybe_in(df: DataFrame, key: str, found: np.ndarray) -> DataFrame:
+    """df's rows whose key may be in the filter: all that are, and few others while the filter isn't full."""
+    shared = df.sparkSession.sparkContext.broadcast(found)
+    bits = len(found) << 6
+
+    @F.arrow_udf("boolean")
+    def test(*places: pa.Array) -> pa.Array:
+        out = np.ones(len(places[0]), bool)
+        for p in places:
+            at = p.to_numpy(zero_copy_only=False).astype(np.int64)
+            out &= (shared.value[at >> 6].view(np.uint64) >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+        return pa.array(out)
+
+    at = [F.pmod(F.xxhash64(F.col(key), F.lit(k)), F.lit(bits)) for k in range(FILTER_PLACES)]
+    return df.filter(test(*at))
+
+
 _resident: list[tuple[Hashable, object]] = []
 
 

@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 LONG = "the very long text goes on and on, l'été dernier 12345 times 🙂 " * 4000
 #: Columns that clash with names used inside operators or in their results.
-EXTRA = ["tokens", "language", "id", "key", "signature", "n_tokens", "epoch", "count", "word", "slot", "shard", "block", "line", "reject", "keeper", "a", "n", "count2"]
+EXTRA = ["tokens", "language", "id", "key", "signature", "n_tokens", "epoch", "count", "word", "slot", "shard", "block", "line", "reject", "keeper", "a", "n", "count2",
+    "__langid", "langid", "Langid_", "__quality", "quality", "quality_ref", "quality_lang", "__out", "__gone", "__turn", "row_key", "row_again", "row_gone", "mix_key", "mix_turn", "mix_n", "mix_epoch", "__slot", "slot_", "salt_", "k", "t", "w", "own", "text2"]
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, " + ", ".join(f"{c} string" for c in EXTRA)
 
 
