@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import Spans64, bounds, categories, codepoints, mixed, runs, settled, slices
+from plumbline.llm.common import Spans64, bounds, categories, codepoints, fresh_name, mixed, runs, settled, slices
 
 HASHES = 64
 #: Bits of each value; 16 keep keys of three values apart among billions of documents.
@@ -27,6 +27,8 @@ DISTANCE = 28
 CHUNKS = 15
 #: Neighbouring words that make a shingle.
 SHINGLE = 2
+#: Signatures of a bucket that one task walks; larger buckets are parted.
+LARGE = 2000
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _A = _rng.integers(0, 1 << 63, 1024, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -110,21 +112,121 @@ def signed(df: DataFrame, id_col: str, text_col: str, hashes: int, shingle: int)
     return df.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col)).mapInArrow(work, f"id {kind}, signature binary").filter("signature is not null")
 
 
-def buckets(unique: DataFrame, plan: list[np.ndarray], hashes: int) -> DataFrame:
-    """(key, id, signature), sorted by key, of the keys that several signatures share."""
-    kind = unique.schema["id"].dataType.simpleString()
+def _keyed(df: DataFrame, make: Callable[[np.ndarray], np.ndarray], hashes: int) -> DataFrame:
+    """(key, id) for every key that make() gives of the rows' signatures."""
+    kind = df.schema["id"].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 4000):
                 batch = whole.slice(at, 4000)
-                k = keys(_matrix(batch.column(1), hashes), plan)
-                ids = batch.column(0).take(pa.array(np.repeat(np.arange(len(k)), len(plan))))
+                k = make(_matrix(batch.column(1), hashes))
+                ids = batch.column(0).take(pa.array(np.repeat(np.arange(len(k)), k.shape[1])))
                 yield pa.RecordBatch.from_arrays([pa.array(k.ravel().astype(np.int64)), ids], names=["key", "id"])
 
-    every = unique.select("id", "signature").mapInArrow(work, f"key bigint, id {kind}")
-    many = every.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).filter("n > 1").select("key", "id")
-    return many.join(unique.select("id", "signature"), "id").repartition("key").sortWithinPartitions("key", "id")
+    return df.select("id", "signature").mapInArrow(work, f"key bigint, id {kind}")
+
+
+def _shared(keyed: DataFrame, unique: DataFrame) -> DataFrame:
+    """(key, id, n, signature) of the keys that n > 1 signatures share.
+
+    Keys are counted with sums before the shuffle, and joined back, so that a hot key can be split between tasks.
+    """
+    counts = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return keyed.join(counts, "key").join(unique.select("id", "signature"), "id").select("key", "id", "n", "signature")
+
+
+def inner_plan(hashes: int, distance: int, chunks: int, without: int) -> list[np.ndarray]:
+    """The values that keys keep within a bucket whose members share their values of chunk `without`.
+
+    All of the distance may fall on the other chunks, one of which then has at most distance // (chunks - 1) errors.
+    """
+    parts = np.array_split(np.arange(hashes), chunks)
+    others = [p for k, p in enumerate(parts) if k != without] or [np.zeros(0, np.int64)]
+    return [np.setdiff1d(p, left) for p in others for left in combinations(p, min(distance // len(others), len(p)))]
+
+
+def _chunk_of_key(hashes: int, distance: int, chunks: int) -> np.ndarray:
+    """The chunk of each key of key_plan()."""
+    parts = np.array_split(np.arange(hashes), chunks)
+    return np.repeat(np.arange(chunks), [sum(1 for _ in combinations(p, min(distance // chunks, len(p)))) for p in parts])
+
+
+def _inner_keyed(big: DataFrame, plan: list[np.ndarray], hashes: int, distance: int, chunks: int) -> DataFrame:
+    """(key, id, far) of large buckets' members, keyed once more, by a chunk other than that which they share."""
+    kind = big.schema["id"].dataType.simpleString()
+    chunk = _chunk_of_key(hashes, distance, chunks)
+    inner = [inner_plan(hashes, distance, chunks, c) for c in range(chunks)]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2000):
+                batch = whole.slice(at, 2000)
+                outer = batch.column(0).to_numpy().astype(np.uint64)
+                values = _matrix(batch.column(2), hashes)
+                mine = chunk[(keys(values, plan) == outer[:, None]).argmax(1)]
+                for c in np.unique(mine).tolist():
+                    rows = np.flatnonzero(mine == c)
+                    k = mixed(keys(values[rows], inner[c]) ^ (outer[rows] * np.uint64(0x9E3779B97F4A7C15))[:, None])
+                    which = pa.array(np.repeat(rows, k.shape[1]))
+                    yield pa.RecordBatch.from_arrays([pa.array(k.ravel().astype(np.int64)), batch.column(1).take(which), batch.column(3).take(which)], names=["key", "id", "far"])
+
+    return big.select("key", "id", "signature", "far").mapInArrow(work, f"key bigint, id {kind}, far boolean")
+
+
+def _pivoted(big: DataFrame, hashes: int, distance: int) -> DataFrame:
+    """Large buckets' members (key, id, n, signature, pivot, far): far ones aren't near the bucket's least member, the pivot."""
+    pivots = big.groupBy("key").agg(F.min_by(F.struct("id", "signature"), "id").alias("p")).select("key", F.col("p.id").alias("pivot"), F.col("p.signature").alias("ps"))
+
+    @F.arrow_udf("boolean")
+    def far(one: pa.Array, two: pa.Array) -> pa.Array:
+        return pa.array((_matrix(one, hashes) != _matrix(two, hashes)).sum(1) > distance)
+
+    return big.join(pivots, "key").withColumn("far", far("signature", "ps")).drop("ps")
+
+
+def linked(unique: DataFrame, hashes: int, distance: int, chunks: int, large: int = LARGE) -> DataFrame:
+    """(a, b): edges that connect what near pairs connect.
+
+    A bucket of up to `large` signatures is walked in one task. Of a larger one, all that are near its least member are
+    linked to that; pairs with one of the others, which are few if the bucket is one group of copies, are looked for by
+    keys of a second chunk, which part signatures that only share the first. Buckets that are large once more are treated
+    in the same way, and what is left of them is compared block by block, in parallel.
+    """
+    plan = key_plan(hashes, distance, chunks)
+    every = settled(_shared(_keyed(unique, lambda v: keys(v, plan), hashes), unique), "buckets")
+    found = _edges(_sorted(every.filter(F.col("n") <= large)), forest, hashes, distance)
+    big = every.filter(F.col("n") > large)
+    if big.isEmpty():
+        return found
+    first = settled(_pivoted(big, hashes, distance), "large-buckets")
+    found = found.unionByName(_to_pivot(first))
+    inner = _inner_keyed(first.join(first.filter("far").select("key").distinct(), "key"), plan, hashes, distance, chunks)
+    counts = inner.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("some")).filter("n > 1 and some").select("key", "n")
+    second = settled(inner.join(counts, "key").join(unique.select("id", "signature"), "id"), "inner-buckets")
+    found = found.unionByName(_edges(_sorted(second.filter(F.col("n") <= large)), forest, hashes, distance))
+    rest = second.filter(F.col("n") > large).select("key", "id", "n", "signature")
+    if rest.isEmpty():
+        return found
+    third = settled(_pivoted(rest, hashes, distance), "large-inner-buckets")
+    return found.unionByName(_to_pivot(third)).unionByName(_by_blocks(third, forest, hashes, distance, large))
+
+
+def _to_pivot(big: DataFrame) -> DataFrame:
+    return big.filter("not far and id != pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b"))
+
+
+def _sorted(b: DataFrame) -> DataFrame:
+    return b.select("key", "id", "signature").repartition("key").sortWithinPartitions("key", "id")
+
+
+def _by_blocks(big: DataFrame, how: Callable, hashes: int, distance: int, large: int) -> DataFrame:
+    """Edges between far members and all others of a bucket: each pair of its blocks is a bucket of its own."""
+    blocks = F.ceil(F.col("n") / large).cast("int")
+    mine = big.withColumn("blocks", blocks).withColumn("i", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    each = mine.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    each = each.withColumn("key", F.xxhash64("key", F.least("i", "j"), F.greatest("i", "j")))
+    return _edges(_sorted(each), how, hashes, distance)
 
 
 def _near(values: np.ndarray, one: np.ndarray, distance: int) -> np.ndarray:
@@ -194,10 +296,10 @@ def components(edges: DataFrame) -> DataFrame:
     before = mark(edges)
     while before[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = Window.partitionBy("u")
-        large = both.withColumn("m", F.least("u", F.min("v").over(least))).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.filter("u != v").distinct()
-        low = large.withColumn("m", F.min("v").over(least))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))  # summed up before the shuffle: a hub's star is no task of its own
+        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = settled(large.filter("u != v").distinct(), "stars")
+        low = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
         small = low.filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         edges = settled(small.filter("u != v").distinct(), "stars")
         after = mark(edges)
@@ -208,11 +310,18 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("id"), F.col("v").alias("root")).unionByName(roots)
 
 
-def pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hashes: int = HASHES, distance: int = DISTANCE, chunks: int = CHUNKS, shingle: int = SHINGLE) -> DataFrame:
-    """(a, b): all pairs of different ids, a < b, whose signatures are near. What groups() does is linear instead."""
+def pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hashes: int = HASHES, distance: int = DISTANCE, chunks: int = CHUNKS, shingle: int = SHINGLE, large: int = LARGE) -> DataFrame:
+    """(a, b): all pairs of different ids, a < b, whose signatures are near. What groups() does is linear instead.
+
+    Null ids, and null, empty and blank texts, are in no pair; rows that repeat an id are one document, near to what any
+    of its texts is near to; very long texts are signed whole; an empty table has no pairs; other columns are left out.
+    """
     sigs = settled(signed(df, id_col, text_col, hashes, shingle), "signatures")
     unique = settled(_unique(sigs), "unique")
-    found = _edges(buckets(unique, key_plan(hashes, distance, chunks), hashes), all_pairs, hashes, distance)
+    plan = key_plan(hashes, distance, chunks)
+    every = settled(_shared(_keyed(unique, lambda v: keys(v, plan), hashes), unique), "buckets")
+    found = _edges(_sorted(every.filter(F.col("n") <= large)), all_pairs, hashes, distance)
+    found = found.unionByName(_by_blocks(every.filter(F.col("n") > large), all_pairs, hashes, distance, large)).distinct()
     same = unique.withColumnsRenamed({"id": "rep"})
     members = sigs.join(same, "signature").select("id", "rep").distinct()
     first, second = members.withColumnsRenamed({"id": "x", "rep": "a"}), members.withColumnsRenamed({"id": "y", "rep": "b"})
@@ -221,29 +330,41 @@ def pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hashes:
     return across.filter("a != b").unionByName(within).distinct()
 
 
-def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hashes: int = HASHES, distance: int = DISTANCE, chunks: int = CHUNKS, shingle: int = SHINGLE) -> DataFrame:
+def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hashes: int = HASHES, distance: int = DISTANCE, chunks: int = CHUNKS, shingle: int = SHINGLE, large: int = LARGE) -> DataFrame:
     """(id_col, keeper): the ids of every group of near duplicates with the least id of the group, which stays.
 
     Groups are connected by near pairs; ids without a near one don't occur. Rows with a null id, and texts without a
-    word (null, empty, only white space), are near to nothing. Rows that repeat an id are one document; if their texts
-    differ, it is near to what any of them is near to. Other columns are left out. Equal signatures are brought
-    together before the join, and within a key's bucket a walk meets each signature once, so that groups of thousands
-    take no square of steps.
+    word (null, empty, only white space), are near to nothing. Very long texts are signed whole. Rows that repeat an id
+    are one document; if their texts differ, it is near to what any of them is near to. Ties don't arise: the least id
+    keeps. An empty table has no groups. Other columns are left out, whatever their names. Equal signatures are brought
+    together before the join, and large buckets are parted (see linked()), so that groups of thousands take no square of
+    steps.
     """
     sigs = settled(signed(df, id_col, text_col, hashes, shingle), "signatures")
     unique = settled(_unique(sigs), "unique")
-    found = _edges(buckets(unique, key_plan(hashes, distance, chunks), hashes), forest, hashes, distance)
+    found = linked(unique, hashes, distance, chunks, large)
     copies = sigs.join(unique.withColumnsRenamed({"id": "rep"}), "signature").filter("id != rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
     return components(found.unionByName(copies)).select(F.col("id").alias(id_col), F.col("root").alias("keeper"))
 
 
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """df without the rows of ids that aren't their group's keeper, and with one row for each id that occurs again.
+    """df with one row of each group of near duplicates. Columns are df's.
 
-    Rows with a null id all stay. Columns are df's.
+    Rows are told apart by id and text, so that rows with one id and different texts keep to their own decisions, and
+    rows with a null id take part. The least id stays, null ids after all others; of several texts of one id the one with
+    the least hash. Rows equal in id and text are one document, of which one row stays. Rows without a word (null, empty
+    and blank texts) are near to nothing and all stay. An empty table stays empty; extra columns may have any name.
     """
-    known = df.filter(F.col(id_col).isNotNull())
-    gone = groups(known, id_col, text_col).filter(F.col(id_col) != F.col("keeper")).select(F.col(id_col).alias("__gone")).withColumn("__out", F.lit(True))
-    turn = Window.partitionBy(id_col).orderBy(F.length(text_col).desc_nulls_last(), F.xxhash64(text_col))
-    left = known.join(gone, F.col(id_col) == F.col("__gone"), "left").filter("__out is null").withColumn("__turn", F.row_number().over(turn))
-    return left.filter("__turn = 1").select(*[F.col(f"`{c}`") for c in df.columns]).unionByName(df.filter(F.col(id_col).isNull()))
+    key, again, gone = (fresh_name(df, x) for x in ("row_key", "row_again", "row_gone"))
+    text, i = F.col(f"`{text_col}`"), F.col(f"`{id_col}`")
+    named = df.withColumn(key, F.struct(i.isNull().alias("z"), i.alias("i"), F.xxhash64(text).alias("h")))
+    wordless = text.isNull() | text.rlike(r"(?U)\A\s*\z")
+    full = named.filter(~wordless)
+    near = groups(full.select(F.col(key).alias("k"), text.alias("t")), "k", "t").filter("k != keeper").select(F.col("k").alias(gone), F.lit(False).alias(again))
+    repeated = full.select(key).groupBy(key).agg(F.count(F.lit(1)).alias(again)).filter(F.col(again) > 1).select(F.col(key).alias(gone), F.lit(True).alias(again))
+    marks = near.unionByName(repeated).groupBy(gone).agg(F.min(again).alias(again))
+    kept = full.join(marks, F.col(key) == F.col(gone), "left")
+    once = kept.filter(F.col(again).isNull())
+    one = kept.filter(F.col(again)).groupBy(key).agg(F.first(F.struct(*[F.col(f"`{c}`") for c in df.columns])).alias(again))
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    return once.select(*columns).unionByName(one.select(f"{again}.*")).unionByName(named.filter(wordless).select(*columns))

@@ -100,7 +100,8 @@ def test_odd_rows(odd, empty) -> None:
     assert got == {(1, 1), (2, 1)}
     kept = neardup.one_of_each(odd)
     assert kept.columns == odd.columns
-    assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(["1", "3", "4", "5", "6", "7", "8", "9", "None", "None"])
+    assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(["1", "3", "4", "5", "6", "7", "8", "9", "None"])
+    assert all(tuple(r) in set(map(tuple, odd.collect())) for r in kept.collect())
     assert neardup.groups(empty).collect() == [] and neardup.one_of_each(empty).collect() == []
     assert neardup.pairs(empty).collect() == []
 
@@ -108,3 +109,38 @@ def test_odd_rows(odd, empty) -> None:
 def test_text_ids(spark) -> None:
     df = spark.createDataFrame([("b", "one two three four"), ("a", "one  two three FOUR"), ("c", None)], "doc_id string, text string")
     assert {tuple(r) for r in neardup.groups(df).collect()} == {("a", "a"), ("b", "a")}
+
+
+def test_one_id_two_texts(spark) -> None:
+    """Only rows whose text is near go; rows equal in id and text count once; rows without a word all stay."""
+    rows = [(1, "one two three four five"), (1, "quite another text of other words"), (1, "one two three four five"), (None, "one TWO three four five"), (None, "alone here with null"), (None, None), (None, None), (2, ""), (2, "")]
+    got = sorted(map(str, neardup.one_of_each(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()))
+    df = spark.createDataFrame([rows[0], rows[1], rows[4], rows[5], rows[6], rows[7], rows[8]], "doc_id bigint, text string")
+    assert got == sorted(map(str, df.collect()))
+
+
+def far_and_near(n: int, seed: int) -> np.ndarray:
+    """Signatures that share a chunk's values: some far from all others, some in tight groups, some in chains."""
+    rng = np.random.default_rng(seed)
+    values = rng.integers(0, 1 << 16, (n, neardup.HASHES)).astype(np.uint16)
+    for k in range(n // 2, n - 2):  # groups of copies of six originals, and chains between neighbours
+        source = values[k % 6] if k % 3 else values[k - 1]
+        values[k] = source
+        values[k, rng.choice(neardup.HASHES, rng.integers(1, 27), replace=False)] = rng.integers(0, 1 << 16)
+    values[:, :5] = 7
+    return values
+
+
+@pytest.mark.parametrize(("large", "seed"), [(4, 1), (10, 2), (64, 3), (10_000, 4)])
+def test_large_buckets(spark, large: int, seed: int) -> None:
+    """Whatever counts as a large bucket, groups and pairs are those of brute force."""
+    values = far_and_near(150, seed)
+    near = {(i, j) for i, j in combinations(range(len(values)), 2) if (values[i] != values[j]).sum() <= neardup.DISTANCE}
+    unique = spark.createDataFrame([(i, bytearray(v.astype("<u2").tobytes())) for i, v in enumerate(values)], "id bigint, signature binary").repartition(3)
+    found = neardup.components(neardup.linked(unique, neardup.HASHES, neardup.DISTANCE, neardup.CHUNKS, large)).collect()
+    assert {tuple(r) for r in found} == brute_groups(near)
+
+
+def test_pairs_by_blocks(documents) -> None:
+    rows = [tuple(r) for r in documents.select("doc_id", "text").collect()]
+    assert {tuple(r) for r in neardup.pairs(documents, large=2).collect()} == brute_pairs(rows)
