@@ -4,7 +4,9 @@ Sources hang below languages, languages below domains. A budget of tokens goes d
 node's children. A subtree can take no more than its tokens times the epochs allowed; what it can't take goes to its
 siblings, by weight, and only when all of them are full does the shortage show at the parent, whose own siblings then
 take it. A leaf's share is filled by whole epochs over its documents, and by a prefix of one more epoch, in the seeded
-order of that epoch. The prefix is found from sums over the leading hash digits, so no leaf is sorted in one task.
+order of that epoch: the documents whose middle token lies before its end, so that a leaf misses its share by half a
+document at most. The prefix is found from sums over the leading hash digits, so no leaf is sorted in one task. Shares
+are found by windows over the tree's nodes, of which there may be as many as there are sources; none reaches the driver.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import settled
+from plumbline.llm.common import fresh_name, settled
 
 
 @dataclass(frozen=True)
@@ -76,23 +78,52 @@ def domain_of(source: Column, mix: Mix) -> Column:
 LEAF = ["domain", "lang", "source"]
 
 
+def _weight(name: Column, table: dict[str, float], other: float) -> Column:
+    pairs = [F.lit(x) for k, w in sorted(table.items()) for x in (k, float(w))]
+    return F.coalesce(F.create_map(*pairs)[name], F.lit(float(other))) if pairs else F.lit(float(other))
+
+
+def _filled(leaves: DataFrame, parent: list[str], child: str, above: DataFrame, weight: Column) -> DataFrame:
+    """(*parent, child, b): fill() of each parent's share b (in `above`) over its children, in closed form.
+
+    Children are ordered by capacity over weight. If the first i of them are full, the others' level is what is left over
+    their weights; the level that holds is the first at which the next child isn't full.
+    """
+    nodes = leaves.groupBy(*parent, child).agg(F.sum("cap").alias("cap"))
+    nodes = (nodes.join(above, parent) if parent else nodes.crossJoin(F.broadcast(above))).withColumn("w", weight)  # above is one row
+    whole = Window.partitionBy(*parent) if parent else Window.partitionBy(F.lit(0))  # without a parent: domains, of which the mix lists all
+    ordered = whole.orderBy(F.col("cap") / F.col("w"), child)
+    full = F.coalesce(F.sum("cap").over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    rest = F.sum("w").over(ordered.rowsBetween(0, Window.unboundedFollowing))
+    levels = nodes.withColumn("level", (F.least("b", F.sum("cap").over(whole)) - full) / rest)
+    level = F.max(F.when(F.col("level") * F.col("w") <= F.col("cap"), F.col("level"))).over(whole)
+    return levels.select(*parent, child, F.least("cap", F.col("w") * F.coalesce(level, F.lit(1e300))).alias("b"))
+
+
+def targets(own: DataFrame, mix: Mix) -> DataFrame:
+    """(domain, lang, source, whole, rest): each leaf's whole epochs, and the tokens of its last."""
+    leaves = settled(own.groupBy(*LEAF).agg(F.sum("n_tokens").alias("have")).withColumn("cap", F.col("have").cast("double") * mix.epochs), "mix-leaves")
+    root = leaves.agg(F.floor(F.lit(float(mix.ratio)) * F.coalesce(F.sum("have"), F.lit(0)).cast("double")).cast("double").alias("b"))
+    domains = _filled(leaves, [], "domain", root, _weight(F.col("domain"), mix.domain_weights, mix.other))
+    langs = _filled(leaves, ["domain"], "lang", domains, _weight(F.col("lang"), mix.lang_weights, mix.other))
+    sources = _filled(leaves, ["domain", "lang"], "source", langs, F.lit(1.0))
+    goal = leaves.join(sources, LEAF).withColumn("t", F.floor(F.col("b") + 1e-6).cast("bigint")).filter("t > 0")
+    return goal.select(*LEAF, F.expr("t div have").alias("whole"), F.expr("t % have").alias("rest"))
+
+
 def select(df: DataFrame, mix: Mix | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, domain, lang, source, epoch, n_tokens): the documents of the mixture, once for each epoch they are in.
 
     Null languages and sources count as "unknown"; their weights are `other`'s. Rows without a token (null or empty
-    texts) are in no epoch. Rows with the same id are selected each by itself; full ties in the seeded order are equal
-    in all that counts. A null id is ordered as the empty text. An empty table gives no rows. df needs the columns
-    lang and source; others are left out. The leaves' totals go to the driver: one small row for each source.
+    texts) are in no epoch. Very long texts are one document, in or out as a whole. Rows with the same id are selected
+    each by itself; full ties in the seeded order are equal in all that counts. A null id is ordered as the empty text.
+    An empty table gives no rows. df needs the columns lang and source; others are left out, whatever their names.
     """
     mix = mix or Mix()
     lang, source = (F.coalesce(F.col(c).cast("string"), F.lit("unknown")) for c in ("lang", "source"))
-    own = df.select(F.col(id_col), domain_of(source, mix).alias("domain"), lang.alias("lang"), source.alias("source"), token_count(F.col(text_col)).alias("n_tokens"))
+    own = df.select(F.col(f"`{id_col}`"), domain_of(source, mix).alias("domain"), lang.alias("lang"), source.alias("source"), token_count(F.col(f"`{text_col}`")).alias("n_tokens"))
     own = settled(own.filter("n_tokens > 0"), "mix-tokens")
-    have = {(r[0], r[1], r[2]): r[3] for r in own.groupBy(*LEAF).agg(F.sum("n_tokens")).collect()}
-    plan = [(*leaf, t // have[leaf], t % have[leaf]) for leaf, t in allocate(have, mix).items() if t]
-    spark = df.sparkSession
-    targets = spark.createDataFrame(plan, "domain string, lang string, source string, whole bigint, rest bigint")
-    placed = own.join(targets, LEAF)
+    placed = own.join(settled(targets(own, mix), "mix-targets"), LEAF)
     epochs = placed.filter("whole > 0").select(id_col, *LEAF, F.explode(F.expr("sequence(0, cast(whole - 1 AS int))")).alias("epoch"), "n_tokens")
     text_id = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
     order = F.md5(F.concat_ws(":", F.lit(str(mix.seed)), F.col("whole").cast("string"), text_id))
@@ -102,7 +133,7 @@ def select(df: DataFrame, mix: Mix | None = None, id_col: str = "doc_id", text_c
     bins = bins.select(*LEAF, "bin", F.coalesce(F.sum("bin_tokens").over(before), F.lit(0)).alias("before"))
     within = Window.partitionBy(*LEAF, "bin").orderBy("order", "n_tokens").rowsBetween(Window.unboundedPreceding, 0)
     reached = last.join(bins, [*LEAF, "bin"]).filter("before < rest").withColumn("upto", F.col("before") + F.sum("n_tokens").over(within))
-    prefix = reached.filter("upto <= rest").select(id_col, *LEAF, F.col("whole").cast("int").alias("epoch"), "n_tokens")
+    prefix = reached.filter("2 * upto - n_tokens <= 2 * rest").select(id_col, *LEAF, F.col("whole").cast("int").alias("epoch"), "n_tokens")
     return epochs.unionByName(prefix)
 
 
@@ -110,15 +141,16 @@ def mixed_rows(df: DataFrame, mix: Mix | None = None, id_col: str = "doc_id", te
     """df's own columns of the mixture's rows, a row occurring once for each epoch it is in.
 
     Rows are told apart by id and text, so that repeated ids with different texts keep to their own decisions; of
-    rows that are equal in both, as many stay as were selected.
+    rows that are equal in both, as many stay as were selected. Null, empty and very long texts, ties and empty tables are
+    as select() has them. Extra columns may have any name.
     """
-    key, turn = "__mix_key", "__mix_turn"
+    key, turn, n, epoch = (fresh_name(df, x) for x in ("mix_key", "mix_turn", "mix_n", "mix_epoch"))
     same = Window.partitionBy(key).orderBy(F.lit(0))
-    named = df.withColumn(key, F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("\0")), F.coalesce(F.col(text_col), F.lit(""))))
-    chosen = select(named, mix, key, text_col).groupBy(key, "epoch").count()
-    chosen = chosen.withColumnsRenamed({"epoch": "__mix_epoch", "count": "__mix_n"})
+    named = df.withColumn(key, F.xxhash64(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("\0")), F.coalesce(F.col(f"`{text_col}`"), F.lit(""))))
+    chosen = select(named, mix, key, text_col).groupBy(F.col(key).alias(turn), F.col("epoch").alias(epoch)).agg(F.count(F.lit(1)).alias(n))
+    beside = chosen.withColumnRenamed(turn, epoch + "_key")
     numbered = named.withColumn(turn, F.row_number().over(same))
-    out = numbered.join(chosen, key).filter(F.col(turn) <= F.col("__mix_n"))
+    out = numbered.join(beside, F.col(key) == F.col(epoch + "_key")).filter(F.col(turn) <= F.col(n))
     return out.select(*[F.col(f"`{c}`") for c in df.columns])
 
 
@@ -152,4 +184,4 @@ plan AS (SELECT *, t // have AS whole, t % have AS rest FROM goal),
 run AS (SELECT d.*, whole, rest, sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY md5('{mix.seed}:' || whole || ':' || doc_id), n_tokens ROWS UNBOUNDED PRECEDING) AS upto
   FROM d JOIN plan USING (domain, lang, source))
 SELECT doc_id, domain, lang, source, unnest(range(0, whole))::INT AS epoch, n_tokens FROM run
-UNION ALL SELECT doc_id, domain, lang, source, whole::INT AS epoch, n_tokens FROM run WHERE upto <= rest"""
+UNION ALL SELECT doc_id, domain, lang, source, whole::INT AS epoch, n_tokens FROM run WHERE rest > 0 AND 2 * upto - n_tokens <= 2 * rest"""

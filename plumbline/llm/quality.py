@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import bounds, categories, codepoints, minor_categories, runs, slices
+from plumbline.llm.common import bounds, categories, codepoints, fresh_name, minor_categories, runs, settled, slices
 
 #: Parts of a language's words that are ranked side by side.
 PARTS = 256
@@ -80,11 +80,11 @@ def distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.where((sums[0] * sums[1])[:, 0] > 0, np.sqrt(np.maximum(d / 2, 0)), 0.0)
 
 
-Reference = dict[str, tuple[list[int], list[tuple[str, int]], int]]
+def reference(df: DataFrame, common: int, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """(lang, chars, words, counts, total): class counts, common words with their counts, and the count of all words.
 
-
-def reference(df: DataFrame, common: int, text_col: str = "text", lang_col: str = "lang") -> Reference:
-    """Of each language: class counts, common words with their counts, and the count of all words. Over all rows."""
+    One row for each language, a null one as "", over all rows.
+    """
     own = df.filter(F.col(text_col).isNotNull()).select(F.coalesce(F.col(lang_col), F.lit("")).alias("lang"), F.col(text_col).alias("text"))
 
     def classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,58 +101,82 @@ def reference(df: DataFrame, common: int, text_col: str = "text", lang_col: str
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), pa.array(range(len(n)), pa.int32()), pa.array(n, pa.int64())], names=["lang", "k", "n"])
 
     chars = own.mapInArrow(classes, "lang string, k int, n bigint").groupBy("lang", "k").agg(F.sum("n").alias("n"))
+    chars = chars.groupBy("lang").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "n"))), lambda x: x["n"]).alias("chars"))
     words = own.select("lang", F.explode(F.split(F.lower("text"), r"[ \t\r\n]+")).alias("w")).filter("w != ''").groupBy("lang", "w").count()
     # the commonest of each part of a language's words, and of those the commonest: no task has all words of a language
     part, whole = Window.partitionBy("lang", "part"), Window.partitionBy("lang")
     words = words.select("lang", "w", F.col("count").alias("n"), F.pmod(F.xxhash64("w"), F.lit(PARTS)).alias("part"))
     words = words.select("lang", "w", "n", F.sum("n").over(part).alias("in_part"), F.row_number().over(part.orderBy(F.desc("n"), "w")).alias("place")).filter(F.col("place") <= common)
     total = F.sum(F.when(F.col("place") == 1, F.col("in_part"))).over(whole)
-    words = words.select("lang", "w", "n", total.alias("all"), F.row_number().over(whole.orderBy(F.desc("n"), "w")).alias("r")).filter(F.col("r") <= common)
-    out: Reference = {}
-    for lang, k, n in chars.collect():
-        out.setdefault(lang, ([0] * len(CLASSES), [], 0))[0][k] = n
-    for lang, w, n, total, _ in words.orderBy("lang", "r").collect():
-        counts, listed, _ = out[lang]
-        listed.append((w, n))
-        out[lang] = (counts, listed, total)
-    return out
+    words = words.select("lang", "w", "n", total.alias("total"), F.row_number().over(whole.orderBy(F.desc("n"), "w")).alias("r")).filter(F.col("r") <= common)
+    listed = F.array_sort(F.collect_list(F.struct("r", "w", "n")))
+    words = words.groupBy("lang").agg(listed.alias("l"), F.first("total").alias("total"))
+    words = words.select("lang", F.transform("l", lambda x: x["w"]).alias("words"), F.transform("l", lambda x: x["n"]).alias("counts"), "total")
+    return chars.join(words, "lang", "left")
 
 
 RESULT = "n_chars bigint, n_words bigint, char_distance double, word_distance double"
+#: References of up to so many languages are broadcast (each has `common` words); those of more are joined to the rows.
+MOST = 1000
+
+
+def _bins(ref: dict | None, common: int) -> tuple[dict[str, int], np.ndarray, np.ndarray]:
+    """Of a language: the bin of each common word, and the counts of its classes and words."""
+    if ref is None:
+        return {}, np.zeros(len(CLASSES)), np.zeros(common + 1)
+    words, counts = ref["words"] or [], ref["counts"] or []
+    return {w: i for i, w in enumerate(words)}, np.array(ref["chars"]), np.array([*counts, *[0] * (common - len(counts)), (ref["total"] or 0) - sum(counts)])
+
 
+def measure(lists: list[str | None], own: list[tuple[dict[str, int], np.ndarray, np.ndarray]], common: int) -> pa.Array:
+    """Lengths and both distances of texts from their languages' bins; all null for a null text."""
+    chars = char_counts(lists)
+    words = np.zeros((len(lists), common + 1), np.int64)
+    for i, (text, ref) in enumerate(zip(lists, own, strict=True)):
+        if text:
+            get = ref[0].get
+            words[i] = np.bincount([get(w, common) for w in split(text)] or [0], minlength=common + 1) * bool(text.strip(" \t\r\n"))
+    qc = np.array([r[1] for r in own]).reshape(-1, len(CLASSES))
+    qw = np.array([r[2] for r in own]).reshape(-1, common + 1)
+    null = np.array([t is None for t in lists], bool)
+    figures = {"n_chars": chars.sum(1), "n_words": words.sum(1), "char_distance": distance(chars, qc), "word_distance": distance(words, qw)}
+    return pa.StructArray.from_arrays([pa.array(x, mask=null) for x in figures.values()], [*figures])
 
-def measurer(df: DataFrame, refs: Reference, common: int) -> object:
-    """A vectorised function of text and language: lengths and both distances; all null for a null text."""
-    shared = df.sparkSession.sparkContext.broadcast(refs)
+
+def measured(df: DataFrame, refs: DataFrame, common: int, text_col: str, lang_col: str, name: str, most: int = MOST) -> DataFrame:
+    """df with the struct `name` of lengths and distances.
+
+    The languages are data, so there may be any number: up to `most` references are broadcast, more are joined.
+    """
+    refs = settled(refs, "quality-references")
+    lang = F.coalesce(F.col(f"`{lang_col}`"), F.lit(""))
+    if refs.limit(most + 1).count() <= most:
+        shared = df.sparkSession.sparkContext.broadcast({r["lang"]: _bins(r.asDict(), common) for r in refs.collect()})
+
+        @F.arrow_udf(RESULT)
+        def known(parts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+            refs, none = shared.value, _bins(None, common)
+            for texts, langs in parts:
+                cut = slices(pa.StructArray.from_arrays([texts, langs], ["t", "l"]), texts)
+                out = [measure((f := part.flatten())[0].to_pylist(), [refs.get(x, none) for x in f[1].to_pylist()], common) for part in cut]
+                yield pa.concat_arrays(out) if out else measure([], [], common)
+
+        return df.withColumn(name, known(F.col(f"`{text_col}`"), lang))
 
     @F.arrow_udf(RESULT)
-    def work(parts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        refs = shared.value
-        bins = {lang: {w: i for i, (w, _) in enumerate(r[1])} for lang, r in refs.items()}
-        q_chars = {lang: np.array(r[0]) for lang, r in refs.items()}
-        q_words = {lang: np.array([n for _, n in r[1]] + [0] * (common - len(r[1])) + [r[2] - sum(n for _, n in r[1])]) for lang, r in refs.items()}
-
-        def measure(texts: pa.Array, langs: pa.Array) -> pa.Array:
-            lists = texts.to_pylist()
-            names = [x or "" for x in langs.to_pylist()]
-            chars = char_counts(lists)
-            words = np.zeros((len(lists), common + 1), np.int64)
-            for i, (text, lang) in enumerate(zip(lists, names, strict=True)):
-                if text:
-                    get = bins[lang].get
-                    words[i] = np.bincount([get(w, common) for w in split(text)] or [0], minlength=common + 1) * bool(text.strip(" \t\r\n"))
-            empty = (np.zeros(len(CLASSES)), np.zeros(common + 1))
-            qc = np.array([q_chars.get(x, empty[0]) for x in names]).reshape(-1, len(CLASSES))
-            qw = np.array([q_words.get(x, empty[1]) for x in names]).reshape(-1, common + 1)
-            null = np.array([t is None for t in lists], bool)
-            figures = {"n_chars": chars.sum(1), "n_words": words.sum(1), "char_distance": distance(chars, qc), "word_distance": distance(words, qw)}
-            return pa.StructArray.from_arrays([pa.array(x, mask=null) for x in figures.values()], [*figures])
-
-        for texts, langs in parts:
-            out = [measure(*part.flatten()) for part in slices(pa.StructArray.from_arrays([texts, langs], ["t", "l"]), texts)]
-            yield pa.concat_arrays(out) if out else measure(texts, langs)
-
-    return work
+    def joined(parts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for texts, refs in parts:
+            cut = slices(pa.StructArray.from_arrays([texts, refs], ["t", "r"]), texts)
+            out = []
+            for part in cut:
+                lists, rows = (x.to_pylist() for x in part.flatten())
+                have = {lang: _bins(r, common) for lang, r in {r and r["lang"]: r for r in rows}.items()}
+                out.append(measure(lists, [have[r and r["lang"]] for r in rows], common))
+            yield pa.concat_arrays(out) if out else measure([], [], common)
+
+    ref, key = fresh_name(df, name + "_ref"), fresh_name(df, name + "_lang")
+    beside = refs.select(F.col("lang").alias(key), F.struct(*refs.columns).alias(ref))
+    return df.join(beside, lang == F.col(key), "left").withColumn(name, joined(F.col(f"`{text_col}`"), F.col(ref)))
 
 
 def rejected(m: Column, rules: Rules) -> Column:
@@ -166,17 +190,17 @@ def judge(df: DataFrame, rules: Rules | None = None, id_col: str = "doc_id", tex
     """(id_col, n_chars, n_words, char_distance, word_distance, reject); with keep_all, df's columns of rows that stay.
 
     Null texts have null figures and, like empty ones, are not rejected (lengths guard the rules). A null language is a
-    language of its own. Common words tie by their order. Rows correspond one to one, repeated ones and null ids
-    included; other columns may have any name. Distances are rounded to 6 digits.
+    language of its own; null ids are kept. Very long texts are measured whole. Common words tie by their order. Rows
+    correspond one to one, repeated ones included. An empty table gives an empty result. Other columns may have any name.
+    Distances are rounded to 6 digits.
     """
     rules = rules or Rules()
-    refs = reference(df, rules.common, text_col, lang_col)
-    mark = "__quality"
-    measured = df.withColumn(mark, measurer(df, refs, rules.common)(F.col(text_col), F.col(lang_col)))
+    mark = fresh_name(df, "quality")
+    out = measured(df, reference(df, rules.common, text_col, lang_col), rules.common, text_col, lang_col, mark)
     if keep_all:
-        return measured.filter(~rejected(F.col(mark), rules)).select(*[F.col(f"`{c}`") for c in df.columns])
+        return out.filter(~rejected(F.col(mark), rules)).select(*[F.col(f"`{c}`") for c in df.columns])
     fields = [F.col(mark)[c].alias(c) for c in ("n_chars", "n_words")] + [F.round(F.col(mark)[c], 6).alias(c) for c in ("char_distance", "word_distance")]
-    return measured.select(F.col(id_col), *fields, rejected(F.col(mark), rules).alias("reject"))
+    return out.select(F.col(f"`{id_col}`"), *fields, rejected(F.col(mark), rules).alias("reject"))
 
 
 def judge_sql(rules: Rules | None = None) -> str:

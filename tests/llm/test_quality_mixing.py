@@ -40,6 +40,21 @@ def test_judge_odd(odd, empty) -> None:
     assert quality.judge(empty).collect() == []
 
 
+def test_many_languages(documents, odd) -> None:
+    """References that are joined, as they are for very many languages, give the same as broadcast ones."""
+    rules = quality.Rules()
+    for df in (documents, odd):
+        refs = quality.reference(df, rules.common)
+        one, two = (Counter(map(str, quality.measured(df, refs, rules.common, "text", "lang", "m__", most).select("doc_id", "m__").collect())) for most in (1000, 2))
+        assert one == two
+
+
+def test_clashing_names_keep_their_values(odd) -> None:
+    for kept in (quality.judge(odd, keep_all=True), mixing.mixed_rows(odd)):
+        assert kept.columns == odd.columns
+        assert all(r[c] == "clash" for r in kept.collect() for c in odd.columns[5:])
+
+
 def test_judge_keeps_prose(documents, spark, sf_dir) -> None:
     """Of documents labelled good, nearly all stay; what is rejected is mostly labelled bad."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -82,7 +97,7 @@ def brute_mix(rows: list[tuple], mix: mixing.Mix) -> Counter:
         upto = 0
         for i, n in order:
             upto += n
-            if upto > rest:
+            if not rest or 2 * upto - n > 2 * rest:
                 break
             out[i, *leaf, whole, n] += 1
     return out
@@ -103,6 +118,6 @@ def test_mixed_rows(documents, odd, empty) -> None:
     assert 0 < got.count() <= 2 * total and got.filter(n == 0).count() == 0
     budget = 0.8 * documents.select(mixing.token_count(documents["text"]).alias("n")).agg({"n": "sum"}).first()[0]
     have = got.select(n.alias("n")).agg({"n": "sum"}).first()[0]
-    assert 0.6 * budget <= have <= budget  # a leaf of a few documents stops below its share
+    assert 0.6 * budget <= have <= 1.1 * budget  # leaves of a few documents miss their shares
     assert mixing.mixed_rows(odd).columns == odd.columns and mixing.mixed_rows(odd).count() > 0
     assert mixing.mixed_rows(empty).collect() == [] and mixing.select(empty).collect() == []
