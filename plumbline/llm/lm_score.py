@@ -25,8 +25,11 @@ SHARE = 0.95
 LEVEL = 3
 #: zstandard's own tables at this level have places for dictionaries of 2 to the power of so many bytes.
 LEVEL_BITS = 17
-#: Words longer than this are no dictionary entries.
-LONGEST = 40
+#: A dictionary entry has at most so many characters; a longer word is counted as entries in a row.
+ENTRY = 40
+#: Texts are costed in blocks of so many bytes, each of which starts from the dictionary, so that scores of long texts
+#: compare with those of short ones.
+BLOCK = 1 << 15
 
 
 def word_counts(df: DataFrame, domain: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -38,8 +41,7 @@ def word_counts(df: DataFrame, domain: DataFrame, id_col: str = "doc_id", text_c
     ids = domain.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("__id")).distinct().withColumn("__in", F.lit(1))
     ids = broadcast_checked(ids, ids.count())
     own = df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(ids, "__id", "left")
-    words = own.select(F.explode(F.split("__text", r"[ \t\r\n]+")).alias("word"), F.coalesce("__in", F.lit(0)).alias("__in"))
-    words = words.filter((F.col("word") != "") & (F.length("word") <= LONGEST))
+    words = own.select(F.explode(F.regexp_extract_all("__text", F.lit(f"[^ \\t\\r\\n]{{1,{ENTRY}}}"), F.lit(0))).alias("word"), F.coalesce("__in", F.lit(0)).alias("__in"))
     return words.groupBy("word").agg(F.count(F.lit(1)).alias("n_all"), F.sum("__in").alias("n_in"))
 
 
@@ -89,22 +91,24 @@ def coder(content: bytes, level: int = LEVEL) -> zstandard.ZstdCompressor:
 
 
 def costs(texts: list[str | None], inside: bytes, general: bytes, level: int = LEVEL) -> np.ndarray:
-    """Rows of (bytes, in-domain size, general size), zeros for null and empty texts."""
+    """Rows of (bytes, in-domain size, general size), zeros for null and empty texts; sizes are sums over blocks."""
     coders = resident(("lm", level, inside, general), lambda: [coder(content, level) for content in (inside, general)])
     out = np.zeros((len(texts), 3), np.int64)
     for i, text in enumerate(texts):
         if text:
             data = text.encode()
-            out[i] = len(data), len(coders[0].compress(data)), len(coders[1].compress(data))
+            blocks = [data[k : k + BLOCK] for k in range(0, len(data), BLOCK)]
+            out[i] = len(data), *(sum(len(c.compress(b)) for b in blocks) for c in coders)
     return out
 
 
 def score(df: DataFrame, domain: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = DICTIONARY, level: int = LEVEL, share: float = SHARE) -> DataFrame:
     """(id_col, n_bytes, in_bits, general_bits, score) of each row, in bits a byte; a higher score is more in-domain.
 
-    Null and empty texts have 0 bytes and null figures. Rows correspond one to one, repeated ones and null ids
-    included (a null id is never in the domain); an empty domain makes an empty dictionary, for which zstandard works
-    without one. Other columns, of df and of domain, are left out.
+    Null and empty texts have 0 bytes and null figures. Very long texts are costed whole, block by block; long words
+    count by parts. Rows correspond one to one, repeated ones and null ids included (a null id is never in the domain);
+    words that save as much go in their own order; an empty domain makes an empty dictionary, for which zstandard works
+    without one; an empty table has no rows. Other columns, of df and of domain, are left out, whatever their names.
     """
     counts = settled(word_counts(df, domain, id_col, text_col).filter("n_all > 1"), "lm-words")
     inside, general = dictionaries(counts, size, share)
