@@ -390,6 +390,19 @@ class ByteBPE:
         done = np.concatenate([[0], np.cumsum(size)])
         return self.bytes[np.repeat(self.starts[ids] - done[:-1], size) + np.arange(done[-1])].tobytes()
 
+    def placed(self, ids: np.ndarray, offsets: np.ndarray) -> bytes:
+        """The bytes of the tokens, each where its offset says (counted from the first token's)."""
+        real = (ids >= 0) & (ids < len(self.pieces))
+        ids, offsets = ids[real], offsets[real].astype(np.int64)
+        if not len(ids):
+            return b""
+        size = self.lengths[ids]
+        done = np.concatenate([[0], np.cumsum(size)])
+        within = np.arange(done[-1]) - np.repeat(done[:-1], size)
+        out = np.zeros(int((offsets + size).max() - offsets[0]), np.uint8)
+        out[np.repeat(offsets - offsets[0], size) + within] = self.bytes[np.repeat(self.starts[ids], size) + within]
+        return out.tobytes()
+
 
 def tokenizer(data: bytes) -> ByteBPE:
     """The worker's tokenizer for this vocabulary file; it lives, with its cache, from task to task."""
@@ -450,15 +463,53 @@ def _lists(done: np.ndarray, values: np.ndarray, null: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(at, pa.array(values))
 
 
-def decode(df: DataFrame, id_col: str = "doc_id", tokens_col: str = "tokens", path: str = VOCABULARY) -> DataFrame:
-    """(id_col, text) from token ids; null tokens have a null text, ids outside the vocabulary stand for nothing."""
+def decode(df: DataFrame, id_col: str = "doc_id", tokens_col: str = "tokens", path: str = VOCABULARY, offsets_col: str | None = None, begin: str | None = None, end: str | None = None) -> DataFrame:
+    """(id_col, text) from token ids, by one gather over a batch.
+
+    With offsets_col each token's bytes are put where its offset says; with begin and end, columns of byte places, only
+    the tokens that lie in that span (from the first that reaches into it) are decoded, which the offsets find by binary
+    search. Null tokens have a null text, ids outside the vocabulary and null ids stand for nothing, bytes that are no
+    UTF-8 become replacement characters. Repeated rows and null row ids are kept, lists of any length are decoded whole,
+    an empty table gives no rows; no ties arise; other columns are left out, whatever their names.
+    """
     shared = df.sparkSession.sparkContext.broadcast(vocabulary(path))
+    if (begin is None) != (end is None) or begin is not None and offsets_col is None:
+        raise ValueError("a span needs begin, end and offsets")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(shared.value)
         for batch in batches:
-            texts = [None if ids is None else bpe.decode(np.array([-1 if x is None else x for x in ids], np.int64)).decode("utf-8", "replace") for ids in batch.column(1).to_pylist()]
+            lists = batch.column(1)
+            at, flat = lists.offsets.to_numpy(), lists.values.fill_null(-1).to_numpy(zero_copy_only=False)
+            first, last = at[:-1].astype(np.int64), at[1:].astype(np.int64)
+            null = lists.is_null().to_numpy(zero_copy_only=False)
+            if offsets_col is not None:
+                offset = batch.column(2).values.fill_null(0).to_numpy(zero_copy_only=False)
+            if begin is not None:
+                spans = zip(*(batch.column(k).to_pylist() for k in (3, 4)), strict=True)
+                for k, (lo, hi) in enumerate(spans):
+                    own = offset[first[k] : last[k]]
+                    if null[k] or lo is None or hi is None:
+                        null[k] = True
+                        continue
+                    first[k], last[k] = first[k] + max(0, np.searchsorted(own, lo, "right") - 1), first[k] + np.searchsorted(own, hi, "left")
+            texts = []
+            for k in range(batch.num_rows):
+                if null[k]:
+                    texts.append(None)
+                    continue
+                ids = flat[first[k] : last[k]]
+                if offsets_col is None:
+                    data = bpe.decode(ids)
+                else:
+                    data = bpe.placed(ids, offset[first[k] : last[k]])
+                texts.append(data.decode("utf-8", "replace"))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=[id_col, "text"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(id_col), F.col(tokens_col).cast("array<int>")).mapInArrow(work, f"`{id_col}` {kind}, text string")
+    columns = [F.col(f"`{id_col}`"), F.col(f"`{tokens_col}`").cast("array<int>").alias("t")]
+    if offsets_col is not None:
+        columns.append(F.col(f"`{offsets_col}`").cast("array<int>").alias("o"))
+    if begin is not None:
+        columns += [F.col(f"`{begin}`").cast("bigint").alias("b"), F.col(f"`{end}`").cast("bigint").alias("e")]
+    return df.select(*columns).mapInArrow(work, f"`{id_col}` {kind}, text string")

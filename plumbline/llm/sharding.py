@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import broadcast_checked
+from plumbline.llm.common import broadcast_checked, fresh_name
 
 SLOTS = 65537
 SHARDS = [f"shard-{i:04d}" for i in range(256)]
@@ -57,20 +57,37 @@ def table_frame(spark: SparkSession, shards: list[str], slots: int = SLOTS) -> D
 def shard(df: DataFrame, shards: list[str] | None = None, id_col: str = "doc_id", slots: int = SLOTS) -> DataFrame:
     """(id_col, slot, shard) of each row.
 
-    Rows with equal ids share a shard, null ids that of the empty text; repeated rows are kept; only the id is read, so
-    other columns can have any names and contents; an empty table gives an empty result.
+    Rows with equal ids share a shard, null ids that of the empty text; repeated rows are kept; no ties arise. Only the
+    id is read, so other columns can have any names, and null, empty and very long texts don't matter; an empty table
+    gives an empty result.
     """
     names = SHARDS if shards is None else shards
     placed = df.select(F.col(id_col), slot_of(F.col(id_col), slots).alias("slot"))
     return placed.join(broadcast_checked(table_frame(df.sparkSession, names, slots), slots), "slot").select(id_col, "slot", "shard")
 
 
-def write_shards(df: DataFrame, folder: str, shards: list[str] | None = None, id_col: str = "doc_id", slots: int = SLOTS) -> None:
-    """All columns of df, in one folder of Parquet files for each shard (in the column named shard)."""
+def write_shards(df: DataFrame, folder: str, shards: list[str] | None = None, id_col: str = "doc_id", slots: int = SLOTS, rows: int = 1_000_000) -> None:
+    """All columns of df, in one folder of Parquet files for each shard (in the column named shard).
+
+    Rows go where shard() says: null ids with those of the empty text, repeated rows all; texts of any length, nulls and
+    empty values are written as they are; an empty table writes no shard. A shard of more than about `rows` rows is
+    written by several tasks, among which its rows are spread by their contents. A column of df named shard (in any case
+    of letters) can't be written beside the folder's own and raises; all other names may be used.
+    """
+    if "shard" in {c.lower() for c in df.columns}:
+        raise ValueError("the table has a column named shard already")
     names = SHARDS if shards is None else shards
-    keyed = df.withColumn("__slot", slot_of(F.col(id_col), slots))
-    table = table_frame(df.sparkSession, names, slots).withColumnsRenamed({"slot": "__slot"})
-    keyed.join(broadcast_checked(table, slots), "__slot").drop("__slot").repartition("shard").write.partitionBy("shard").parquet(folder)
+    slot, salt = fresh_name(df, "slot_"), fresh_name(df, "salt_")
+    keyed = df.withColumn(slot, slot_of(F.col(f"`{id_col}`"), slots))
+    table = table_frame(df.sparkSession, names, slots).withColumnRenamed("slot", slot)
+    placed = keyed.join(broadcast_checked(table, slots), slot).drop(slot)
+    largest = placed.groupBy("shard").count().agg(F.max("count")).first()[0] or 0
+    parts = -(-largest // rows)
+    if parts > 1:
+        placed = placed.withColumn(salt, F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(parts))).repartition("shard", salt).drop(salt)
+    else:
+        placed = placed.repartition("shard")
+    placed.write.partitionBy("shard").parquet(folder)
 
 
 def shard_sql(shards: list[str] | None = None, slots: int = SLOTS) -> str:

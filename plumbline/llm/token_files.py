@@ -74,8 +74,10 @@ def write(df: DataFrame, folder: str | None = None, id_col: str = "doc_id", text
 
     A row's tokens begin in sequence first_row of its file at first_pos and go on over as many sequences as it takes;
     n_tokens counts the end token too, so an empty text has 1. A null text is not written and has null places and 0
-    tokens. Repeated rows are written each time they occur; null ids are kept; other columns are left out; an empty
-    table has an empty index. Ids take 16 bits where the vocabulary allows it.
+    tokens; a very long text goes on over as many sequences as it takes. Repeated rows are written each time they occur;
+    null ids are kept; no ties arise; other columns are left out, whatever their names; an empty table has an empty index.
+    Ids take 16 bits where the vocabulary allows it. Without `folder` the files lie in the shared folder and are removed,
+    like all that the operators write there, when the driver's program ends: name a folder to keep them.
     """
     spark = df.sparkSession
     folder = folder or new_path(spark, "token-files")

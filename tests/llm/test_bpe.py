@@ -9,6 +9,7 @@ import pytest
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from plumbline.llm import bpe
 
@@ -72,6 +73,12 @@ def test_odd_rows(odd, empty, known) -> None:
     for r in got.collect():
         assert (r["tokens"] is None) == (r["round_trip"] is None)
         assert r["round_trip"] in (None, True)
-    back = {(r["doc_id"], r["text"]) for r in bpe.decode(got).collect()}
-    assert back == {(r["doc_id"], r["text"]) for r in odd.select("doc_id", "text").collect()}
+    for offsets in (None, "offsets"):
+        back = {(r["doc_id"], r["text"]) for r in bpe.decode(got, offsets_col=offsets).collect()}
+        assert back == {(r["doc_id"], r["text"]) for r in odd.select("doc_id", "text").collect()}
+    spans = got.withColumn("b", F.lit(7)).withColumn("e", F.lit(25))
+    for r in bpe.decode(spans, offsets_col="offsets", begin="b", end="e").join(odd.select("doc_id", F.col("text").alias("whole")), "doc_id").collect():
+        assert r["text"] is None and r["whole"] is None or r["text"] == "" or r["whole"].encode()[7:25].decode("utf-8", "ignore") in r["text"]
+    with pytest.raises(ValueError):
+        bpe.decode(spans, begin="b", end="e")
     assert bpe.encode(empty).collect() == []

@@ -25,8 +25,9 @@ def test_stages_take_effect(documents, spark, sf_dir) -> None:
         out = stage(spark, docs, sf_dir)
         after = Counter(r["doc_id"] for r in out.select("doc_id").collect())
         if name == "language_id":
-            want = {r["doc_id"] for r in langid.identify(docs).filter("not reject").collect()}
-            assert set(after) == want
+            found = {r["doc_id"]: r for r in langid.identify(docs).filter("not reject").collect()}
+            assert set(after) == set(found)
+            assert all(r["lang"] == found[r["doc_id"]]["language"] or found[r["doc_id"]]["own_gap"] <= langid.RELABEL for r in out.collect())
         if name == "quality_rules":
             assert set(after) == {r["doc_id"] for r in quality.judge(docs).filter("not reject").collect()}
         if name == "near_duplicates":
@@ -54,8 +55,19 @@ def test_run(documents, spark, sf_dir) -> None:
 
 
 def test_odd_rows(odd, empty, spark, sf_dir) -> None:
+    """Which rows survive each stage; clashing columns keep their values."""
+    want = {"language_id": ["1", "2", "2", "6", "7", "9", "None"], "quality_rules": ["1", "2", "2", "6", "7", "9", "None"], "near_duplicates": ["1", "6", "7", "9"]}
     for start in (odd, empty):
         docs = start
-        for _, stage in corpus_pipeline.STAGES:
+        for name, stage in corpus_pipeline.STAGES:
             docs = spark.createDataFrame((out := stage(spark, docs, sf_dir)).collect(), out.schema)
+            rows = docs.collect()
+            if start is empty:
+                assert rows == []
+            elif name in want:
+                assert sorted(str(r["doc_id"]) for r in rows) == want[name]
+            elif name == "byte_bpe":
+                assert rows and all(r["round_trip"] for r in rows)
+            if name != "byte_bpe":
+                assert docs.columns == odd.columns and all(r[c] == "clash" for r in rows for c in odd.columns[5:])
         assert docs.columns == ["doc_id", "tokens", "offsets", "round_trip"]

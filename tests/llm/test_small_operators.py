@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+import re
 from collections import Counter
 
 import numpy as np
@@ -36,9 +38,17 @@ def test_token_files_round_trip(documents, tmp_path) -> None:
 def test_token_files_odd(odd, empty, tmp_path) -> None:
     got = token_files.write(odd, f"file://{tmp_path}/t", length=16).collect()
     assert len(got) == odd.count()
+    tok = bpe.ByteBPE(bpe.vocabulary(bpe.VOCABULARY))
+    back, opened = [], {}
     for r in got:
         assert (r["file"] is None) == (r["n_tokens"] == 0)
-    assert sorted(r["n_tokens"] for r in got)[:2] == [0, 0]
+        if r["file"] is None:
+            back.append((r["doc_id"], None))
+            continue
+        ids = opened.setdefault(r["file"], token_files.Sequences(r["file"])).tokens(r["first_row"], r["first_pos"], r["n_tokens"])
+        assert ids[-1] == 50256
+        back.append((r["doc_id"], tok.decode(ids[:-1].astype(np.int64)).decode()))
+    assert Counter(back) == Counter((r["doc_id"], r["text"]) for r in odd.select("doc_id", "text").collect())
     assert token_files.write(empty, f"file://{tmp_path}/e").collect() == []
 
 
@@ -63,6 +73,20 @@ def test_shard_odd(odd, empty) -> None:
     assert sharding.shard(empty, ["a"], slots=101).collect() == []
 
 
+def test_write_shards(odd, empty, spark, tmp_path) -> None:
+    names = ["a", "b", "c"]
+    table = odd.drop("shard")
+    for rows in (1_000_000, 2):
+        sharding.write_shards(table, f"file://{tmp_path}/s{rows}", names, slots=101, rows=rows)
+        got = spark.read.schema(table.select("*").withColumn("shard", table["text"]).schema).parquet(f"file://{tmp_path}/s{rows}")
+        assert Counter(map(tuple, got.select(*table.columns).collect())) == Counter(map(tuple, table.collect()))
+        want = Counter((r["doc_id"], r["shard"]) for r in sharding.shard(table, names, slots=101).collect())
+        assert Counter((r["doc_id"], r["shard"]) for r in got.select("doc_id", "shard").collect()) == want
+    sharding.write_shards(empty.drop("shard"), f"file://{tmp_path}/e", names, slots=101)
+    with pytest.raises(ValueError):
+        sharding.write_shards(odd, f"file://{tmp_path}/n", names, slots=101)
+
+
 def common_length(a: str, b: str) -> int:
     return next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
 
@@ -115,9 +139,28 @@ def test_fingerprints_passages(spark) -> None:
     assert got[100]["passage"] == 300 and got[103]["passage"] is None and got[104]["passage"] is None
 
 
+def test_fingerprints_catch_shared_passages(documents) -> None:
+    """Every text that shares enough characters in a row with a different one has a match, which is real and can't grow."""
+    least = fingerprints.ANCHOR + fingerprints.WINDOW - 1
+    texts = dict(documents.select("doc_id", "text").collect())
+    where: dict[str, set[str]] = {}
+    for t in texts.values():
+        for k in range(len(t or "") - least + 1):
+            where.setdefault(t[k : k + least], set()).add(t)
+    shared = {t for ts in where.values() if len(ts) > 1 for t in ts}
+    got = {r["doc_id"]: r for r in fingerprints.fingerprints(documents).collect()}
+    assert shared and all(got[i]["passage"] is not None for i, t in texts.items() if t in shared)
+    for i, r in got.items():
+        if r["passage"] is not None:
+            x, y, a, b, n = texts[i], texts[r["other"]], r["start"], r["other_start"], r["passage"]
+            assert x != y and x[a : a + n] == y[b : b + n] and n >= fingerprints.ANCHOR
+            assert x[a + n : a + n + 1] != y[b + n : b + n + 1] or a + n == len(x) or b + n == len(y)
+            assert not a or not b or x[a - 1] != y[b - 1]
+
+
 def brute_dictionary(counts: Counter, size: int) -> bytes:
     parts, left = [], size
-    saved = {w: n * len(w.encode()) for w, n in counts.items() if n > 1 and len(w.encode()) > 1 and len(w) <= lm_score.LONGEST}
+    saved = {w: n * len(w.encode()) for w, n in counts.items() if n > 1 and len(w.encode()) > 1}
     for w in sorted(saved, key=lambda w: (-saved[w], w.encode())):
         entry = b" " + w.encode()
         if len(entry) > left:
@@ -131,7 +174,7 @@ def test_lm_score_brute(documents, spark, sf_dir) -> None:
     domain = spark.read.parquet(f"{sf_dir}/labels.parquet").filter("quality = 1")
     inside_ids = {r["doc_id"] for r in domain.collect()}
     texts = dict(documents.select("doc_id", "text").collect())
-    cut = lambda t: [w for w in t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") if w]
+    cut = lambda t: [w[k : k + 40] for w in t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for k in range(0, len(w), 40)]
     every, own = Counter(), Counter()
     for i, t in texts.items():
         every.update(cut(t))
@@ -141,10 +184,20 @@ def test_lm_score_brute(documents, spark, sf_dir) -> None:
     coders = [zstandard.ZstdCompressor(level=lm_score.LEVEL, dict_data=zstandard.ZstdCompressionDict(b, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False) for b in books]
     for r in lm_score.score(documents, domain).collect():
         data = texts[r["doc_id"]].encode()
-        a, b = (len(c.compress(data)) for c in coders)
+        a, b = (sum(len(c.compress(data[k : k + 32768])) for k in range(0, len(data), 32768)) for c in coders)
         assert r["n_bytes"] == len(data) and r["score"] == pytest.approx((b - a) * 8 / len(data))
 
 
+def test_lm_long_words_and_texts(spark) -> None:
+    """Words without blanks count by parts, and a long text costs as much as its blocks."""
+    long = "".join(f"{k:x}," for k in range(100_000, 101_000))
+    df = spark.createDataFrame([(1, long), (2, long), (3, "other words of no use")], "doc_id bigint, text string")
+    counts = {r["word"]: (r["n_all"], r["n_in"]) for r in lm_score.word_counts(df, df.filter("doc_id = 1")).collect()}
+    assert all(counts[long[k : k + 40]] == (2, 1) for k in range(0, len(long), 40))
+    once = lm_score.costs([long[: lm_score.BLOCK].ljust(lm_score.BLOCK)], b"", b"")
+    assert lm_score.costs([long[: lm_score.BLOCK].ljust(lm_score.BLOCK) * 5], b"", b"").tolist() == (5 * once).tolist()
+
+
 def test_lm_dictionaries_follow_the_vocabulary(spark) -> None:
     base, sizes = lm_score.DICTIONARY // 8, []
     for n in (base, 4 * base):
@@ -166,6 +219,28 @@ def test_lm_score_odd(odd, empty, spark) -> None:
     assert lm_score.score(empty, odd).collect() == []
 
 
+def brute_blocks(rows: list[tuple], templates: dict[str, str], threshold: float) -> list[tuple]:
+    """Every block of every text with every template."""
+    cut = lambda t: [w for w in re.split(r"[\W_]+", t.lower()) if w]
+    out = []
+    for i, text in rows:
+        own = cut(text or "")
+        for name, t in templates.items():
+            words, stretch = set(cut(t)), math.ceil(len(cut(t)) / threshold - 1e-9)
+            for b in range(-(-len(own) // stretch) if words else 0):
+                n = len(words & set(own[b * stretch : (b + 2) * stretch]))
+                if n >= threshold * len(words) - 1e-9:
+                    out.append((str(i), b, name, n))
+    return sorted(out)
+
+
+def test_licenses_brute(documents, odd) -> None:
+    for df, templates, threshold in ((documents, licenses.TEMPLATES, 0.8), (odd, licenses.TEMPLATES, 0.6), (documents, {"a": "the of and in", "b": "of of of a"}, 0.7)):
+        rows = [tuple(r) for r in df.select("doc_id", "text").collect()]
+        got = sorted((str(r["doc_id"]), r["block"], r["template"], r["shared"]) for r in licenses.scan(df, templates, threshold).collect())
+        assert got == brute_blocks(rows, templates, threshold) and got
+
+
 def test_licenses_odd(odd, empty) -> None:
     got = sorted((str(r["doc_id"]), r["block"], r["template"], r["containment"]) for r in licenses.scan(odd).collect())
     assert got == sorted((i, 0, "apache-short", 1.0) for i in ("1", "2", "2", "None"))
@@ -183,5 +258,10 @@ def test_licenses_wrapped(spark) -> None:
     }
     rows = [(k, f"first line\n\n{x}\n\nlast") for k, x in enumerate(headers.values())]
     rows += [(10, "Permission is hereby granted, free of charge, to any\n\nperson obtaining a copy of this software and associated documentation files"), (11, "all the\nother lines here are about their own rights and have nothing\nreserved"), (12, None)]
-    got = sorted((r["doc_id"], r["block"], r["template"], r["containment"]) for r in licenses.scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect())
-    assert got == [(k, 2, name, 1.0) for k, name in enumerate(headers)]
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {(k, name) for k, name in enumerate(headers)} <= {(r["doc_id"], r["template"]) for r in got if r["containment"] == 1}
+    assert {r["doc_id"] for r in got} == {0, 1, 2, 3, 10}
+    whole = licenses.TEMPLATES["mit-whole"]
+    wrapped = "\n".join(f"// {whole[k : k + 70]}" for k in range(0, len(whole), 70)).replace("MERCHANTABILITY", "")
+    found = licenses.scan(spark.createDataFrame([(1, "x " * 5000 + wrapped + " y" * 3000)], "doc_id bigint, text string")).collect()
+    assert {"mit-whole", "mit-grant", "mit-warranty"} <= {r["template"] for r in found}
