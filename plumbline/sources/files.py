@@ -1,147 +1,281 @@
 """Files whose format is found out from their head; every cell is read as text, by Spark.
 
-Only the head of one file is looked at on the driver: HEAD_BYTES, HEAD_LINES. Avro is recognised; reading it takes
-Spark's avro package on the class path.
+Source is a file, or data that is there already, with its format: frames, records, batches, and what the head told.
 """
 
 from __future__ import annotations
 
 import csv
 import io
-import json
-from collections import Counter
-from pathlib import Path
+from collections.abc import Iterator
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-HEAD_BYTES, HEAD_LINES = 65_536, 1000
-DELIMITERS = (",", "\t", ";", "|", "@", ":", " ")
-SOURCE_WORDS, TARGET_WORDS, GRAPH_WORDS = ("src", "source", "from"), ("dst", "target", "to", "dest"), ("node", "vertex")
+from plumbline.functions.texts import chunks
+from plumbline.operators import rows as row_operators
+from plumbline.sources import avro, heads, jsons, remote
+from plumbline.sources.heads import encoding, graph_columns  # noqa: F401
+from plumbline.sources.jsons import flattened  # noqa: F401
 
+KINDS = ("json", "graph", "csv", "parquet", "avro", "text")
 
-def head(path: str) -> bytes:
-    own = Path(path.removeprefix("file://"))
-    if own.is_dir():
-        own = next(p for p in sorted(own.rglob("*")) if p.is_file() and not p.name.startswith(("_", ".")))
-    with own.open("rb") as f:
-        return f.read(HEAD_BYTES)
 
+@dataclass(frozen=True)
+class ReadOptions:
+    """How a file is read; what is None is found out from its head. header is the number of the row with the names, or -1."""
 
-def encoding(data: bytes) -> str:
-    """From the byte order mark; else UTF-8 where it decodes (a character cut off at the end aside), else Latin-1."""
-    for mark, name in ((b"\xef\xbb\xbf", "utf-8-sig"), (b"\xff\xfe", "utf-16"), (b"\xfe\xff", "utf-16")):
-        if data.startswith(mark):
-            return name
-    try:
-        data[:-3].decode("utf-8") if len(data) == HEAD_BYTES else data.decode("utf-8")
-    except UnicodeDecodeError as e:
-        return "utf-8" if e.start >= len(data) - 6 and len(data) == HEAD_BYTES else "latin-1"
-    return "utf-8"
+    kind: str | None = None
+    encoding: str | None = None
+    delimiter: str | None = None
+    quote: str | None = None
+    header: int | None = None
+    columns: tuple[str, ...] | None = None
+    sample_rows: int | None = None
+    seed: int = 0
+    payload_keys: tuple[str, ...] = jsons.PAYLOAD_KEYS
+    separator: str = "."
+    samples_per_line: int = 5_000_000_000
 
+    def check(self) -> None:
+        if self.kind is not None and self.kind not in KINDS:
+            raise ValueError(f"no such kind of file: {self.kind}")
+        for name in ("delimiter", "quote"):
+            x = getattr(self, name)
+            if x is not None and (not isinstance(x, str) or len(x) != 1):
+                raise ValueError(f"{name} is one character")
+        if self.header is not None and (not isinstance(self.header, int) or self.header < -1):
+            raise ValueError("header is a row's number, or -1")
+        if self.sample_rows is not None and self.sample_rows < 1 or self.samples_per_line < 1:
+            raise ValueError("numbers of rows and characters are above 0")
+        if self.columns is not None and not all(isinstance(c, str) for c in self.columns):
+            raise ValueError("columns are names")
+        if self.encoding is not None:
+            "".encode(self.encoding)
 
-def _lines(data: bytes) -> list[str]:
-    lines = data.decode(encoding(data), "replace").splitlines()
-    return [x for x in (lines[:-1] if len(data) == HEAD_BYTES else lines) if x.strip()][:HEAD_LINES]
 
+def kind(path: str, spark: SparkSession | None = None) -> str:
+    """parquet, avro, json, graph, csv or text."""
+    return heads.kind(heads.head(spark or SparkSession.active(), path))
 
-def delimiter(lines: list[str], quote: str = '"') -> str | None:
-    """The delimiter that cuts most lines into one number of fields, two or more; more fields win, then the order above."""
-    best: tuple[float, int, int] | None = None
-    for place, d in enumerate(DELIMITERS):
-        widths = Counter(len(row) for row in csv.reader(io.StringIO("\n".join(lines)), delimiter=d, quotechar=quote) if row)
-        if not widths:
-            continue
-        width, n = widths.most_common(1)[0]
-        share = n / sum(widths.values())
-        if width > 1 and share >= 0.9 and (best is None or (share, -place if d in ",\t" else -place - 10, width) > best):
-            best = (share, -place if d in ",\t" else -place - 10, width)
-    if best is None:
-        return None
-    return DELIMITERS[-(best[1] if best[1] > -10 else best[1] + 10)]
 
+def _csv(spark: SparkSession, path: str, o: ReadOptions, head: bytes) -> DataFrame:
+    rows = heads.lines(head)
+    quote = o.quote or heads.quote(rows)
+    delimiter = o.delimiter or heads.delimiter(rows, quote) or ","
+    java = heads.java_name(o.encoding or heads.encoding(head))
+    parsed = [*csv.reader(io.StringIO(heads.text(head)), delimiter=delimiter, quotechar=quote)]
+    parsed = [r for r in (parsed[:-1] if len(head) >= heads.HEAD_BYTES else parsed) if r]
+    header = heads.header_row(parsed) if o.header is None else None if o.header < 0 else o.header
+    if heads.trailing_only(rows, delimiter):
+        names = [rows[header].rstrip()[:-1]] if header is not None else ["_c0"]
+        lines = spark.read.option("encoding", java).text(path).select(F.regexp_replace("value", f"\\{delimiter}\\s*$", "").alias(names[0]))
+        return lines.filter(F.col(f"`{names[0]}`") != names[0]) if header is not None else lines
+    over_lines = heads.open_quote(rows, quote)
+    reader = spark.read.option("sep", delimiter).option("quote", quote).option("escape", quote).option("encoding", java).option("multiLine", over_lines or java.startswith(("UTF-16", "UTF-32"))).option("nullValue", "\0").option("emptyValue", "")
+    if not header:
+        return reader.option("header", header == 0).csv(path).na.fill("")
+    names = parsed[header]
+    out = reader.option("header", False).schema(", ".join(f"`{i}` string" for i in range(len(names)))).csv(path).na.fill("")
+    title = {tuple((r + [""] * len(names))[: len(names)]) for r in parsed[: header + 1]}  # lines down to the header
+    is_title = [F.array(*[F.col(f"`{i}`") for i in range(len(names))]) == F.array(*map(F.lit, t)) for t in title]
+    keep = ~is_title[0]
+    for t in is_title[1:]:
+        keep &= ~t
+    return out.filter(keep).toDF(*names)
 
-def has_header(rows: list[list[str]]) -> bool:
-    """Whether the first row's cells are all filled, different, and no numbers, while some column has numbers below."""
-    if not rows or not all(c.strip() for c in rows[0]) or len(set(rows[0])) < len(rows[0]):
-        return False
-    number = lambda c: c.strip().lstrip("+-").replace(".", "", 1).isdigit()
-    if any(map(number, rows[0])):
-        return False
-    below = [r for r in rows[1:] if len(r) == len(rows[0])]
-    numeric = any(below and all(number(r[i]) or not r[i].strip() for r in below) and any(r[i].strip() for r in below) for i in range(len(rows[0])))
-    return numeric or bool(below) and not any(r[i] == rows[0][i] for r in below for i in range(len(rows[0])))
 
+def read(spark: SparkSession, path: str, as_kind: str | None = None, columns: list[str] | None = None, delimited_by: str | None = None, header: bool | None = None, options: ReadOptions | None = None) -> DataFrame:
+    """The file as text columns; a text file has one, value. columns are pushed down to the scan."""
+    o = options or ReadOptions(as_kind, delimiter=delimited_by, header=None if header is None else 0 if header else -1, columns=tuple(columns) if columns else None)
+    o.check()
+    head = heads.head(spark, path)
+    as_kind = o.kind or heads.kind(head)
+    code = o.encoding or heads.encoding(head)
+    if as_kind == "parquet":
+        out = jsons.flattened(spark.read.parquet(path), o.separator)
+    elif as_kind == "avro":
+        out = avro.read(spark, path, head, o.separator)
+    elif as_kind == "json":
+        out = json_source(spark, path, o)[0]
+    elif as_kind in ("csv", "graph"):
+        out = _csv(spark, path, o, head)
+    else:
+        out = spark.read.text(path) if code in ("utf-8", "ascii") else _decoded(spark, path, code)
+    if code.lower() == "windows-1252" and as_kind in ("csv", "graph", "json", "text"):
+        out = out.select(*[F.translate(F.col(f"`{c}`"), heads.CONTROLS, heads.SIGNS).alias(c.translate(str.maketrans(heads.CONTROLS, heads.SIGNS))) for c in out.columns])
+    if o.columns:
+        out = out.select(*[F.col(f"`{c}`") for c in o.columns])
+    return row_operators.reservoir(out, o.sample_rows, o.seed) if o.sample_rows else out
 
-def _column(names: list[str], words: tuple[str, ...]) -> str | None:
-    return next((n for n in names for p in n.lower().replace("-", "_").replace(".", "_").split("_") if p in words), None)
 
+def _decoded(spark: SparkSession, path: str, code: str) -> DataFrame:
+    """Lines of a text in another encoding than UTF-8: one task for each file."""
+    lines = F.split(F.regexp_replace(F.decode("content", heads.java_name(code)), "^\ufeff", ""), "\r\n|\n|\r")
+    whole = spark.read.format("binaryFile").load(path).select(lines.alias("l"))
+    return whole.select(F.explode(F.when(F.element_at("l", -1) == "", F.slice("l", 1, F.size("l") - 1)).otherwise(F.col("l"))).alias("value"))
 
-def graph_columns(names: list[str]) -> tuple[str, str] | None:
-    """The columns of an edge's ends, if the header speaks of nodes with a source and a target."""
-    nodes = [n for n in names if _column([n], GRAPH_WORDS)]
-    source, target = _column(nodes, SOURCE_WORDS), _column(nodes, TARGET_WORDS)
-    return (source, target) if source and target else None
 
+def json_source(spark: SparkSession, path: str, o: ReadOptions) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+    """Rows, what surrounds the payload of a document, and the lines of JSON lines that couldn't be read."""
+    head = heads.head(spark, path)
+    rows = heads.lines(head)
+    code = o.encoding or heads.encoding(head)
+    import json
 
-def kind(path: str) -> str:
-    """parquet, avro, json, graph, csv or text."""
-    data = head(path)
-    if data.startswith(b"PAR1"):
-        return "parquet"
-    if data.startswith(b"Obj\x01"):
-        return "avro"
-    lines = _lines(data)
-
-    def parses(x: str) -> bool:
+    def whole(x: str) -> bool:
         try:
             return isinstance(json.loads(x), (dict, list))
         except ValueError:
             return False
 
-    if lines and (parses("\n".join(lines)) or sum(map(parses, lines)) * 2 >= len(lines)):
-        return "json"
-    d = delimiter(lines) if len(lines) >= 2 else None
-    if d is None or d == " ":
-        return "text"
-    return "graph" if graph_columns(next(csv.reader([lines[0]], delimiter=d))) else "csv"
+    if len(rows) > 1 and sum(map(whole, rows)) * 2 >= len(rows) or len(rows) == 1 and isinstance(json.loads(rows[0]) if whole(rows[0]) else None, dict) and not any(k in json.loads(rows[0]) for k in o.payload_keys):
+        good, bad = jsons.lines(spark, path, heads.java_name(code))
+        return good, None, bad
+    data, around = jsons.document(spark, path, code, o.payload_keys, o.separator)
+    return data, around, None
 
 
-def flattened(df: DataFrame, separator: str = ".") -> DataFrame:
-    """Nested fields as text columns with dotted names; arrays and maps stay single columns, as JSON."""
+@dataclass
+class Source:
+    """A file or a frame, read when it is asked for. What it doesn't have itself is that of its frame."""
 
-    def walk(schema: T.StructType, path: list[str]) -> list:
-        out = []
-        for f in schema:
-            at = [*path, f.name]
-            if isinstance(f.dataType, T.StructType):
-                out += walk(f.dataType, at)
-                continue
-            c = F.col(".".join(f"`{p}`" for p in at))
-            out.append((F.to_json(c) if isinstance(f.dataType, (T.ArrayType, T.MapType)) else c.cast("string")).alias(separator.join(at)))
-        return out
+    spark: SparkSession
+    path: str | None = None
+    frame: DataFrame | None = None
+    options: ReadOptions = field(default_factory=ReadOptions)
 
-    return df.select(*walk(df.schema, []))
+    def __post_init__(self) -> None:
+        if (self.path is None) == (self.frame is None):
+            raise ValueError("a source has either a path or a frame")
+        self.options.check()
+        if self.path is not None and remote.is_s3(self.path):
+            self.path = remote.s3_path(self.spark, self.path)
+        self._data = self.frame
 
+    @property
+    def kind(self) -> str:
+        return self.options.kind or (kind(self.path, self.spark) if self.path is not None else "frame")
 
-def read(spark: SparkSession, path: str, as_kind: str | None = None, columns: list[str] | None = None, delimited_by: str | None = None, header: bool | None = None) -> DataFrame:
-    """The file as text columns; a text file has one, value. columns are pushed down to the scan."""
-    as_kind = as_kind or kind(path)
-    if as_kind == "parquet":
-        out = flattened(spark.read.parquet(path))
-    elif as_kind == "avro":
-        out = flattened(spark.read.format("avro").load(path))
-    elif as_kind == "json":
-        whole = not all(x.lstrip().startswith(("{", "[")) and x.rstrip().endswith(("}", "]")) for x in _lines(head(path)))
-        out = flattened(spark.read.option("multiLine", whole).option("primitivesAsString", True).option("mode", "DROPMALFORMED").json(path))
-    elif as_kind in ("csv", "graph"):
-        lines = _lines(head(path))
-        delimited_by = delimited_by or delimiter(lines) or ","
-        header = has_header([*csv.reader(lines, delimiter=delimited_by)]) if header is None else header
-        out = spark.read.option("sep", delimited_by).option("header", header).option("multiLine", False).option("nullValue", "\0").option("emptyValue", "").option("escape", '"').csv(path).na.fill("")
-    elif as_kind == "text":
-        out = spark.read.text(path)
-    else:
-        raise ValueError(f"no such kind of file: {as_kind}")
-    return out.select(*[F.col(f"`{c}`") for c in columns]) if columns else out
+    @property
+    def encoding(self) -> str | None:
+        """None for formats that have none."""
+        if self.path is None or self.kind in ("parquet", "avro"):
+            return None
+        return self.options.encoding or heads.encoding(heads.head(self.spark, self.path))
+
+    @encoding.setter
+    def encoding(self, name: str) -> None:
+        if name.lower().replace("_", "-") not in ("ascii", "utf-8", "utf-16", "utf-32", "latin-1", "windows-1252"):
+            raise ValueError(f"{name} can't be set")
+        self.options, self._data = replace(self.options, encoding=name), self.frame
+
+    @property
+    def data(self) -> DataFrame:
+        if self._data is None:
+            self._data = read(self.spark, self.path, options=self.options)
+        return self._data
+
+    @property
+    def metadata(self) -> DataFrame | None:
+        """What surrounds the payload of a JSON document."""
+        return json_source(self.spark, self.path, self.options)[1] if self.path is not None and self.kind == "json" else None
+
+    @property
+    def bad_lines(self) -> DataFrame | None:
+        """Lines of JSON lines that couldn't be read."""
+        return json_source(self.spark, self.path, self.options)[2] if self.path is not None and self.kind == "json" else None
+
+    @property
+    def data_and_metadata(self) -> DataFrame:
+        around = self.metadata
+        return self.data if around is None else jsons.beside(around, self.data)
+
+    def records(self, as_json: bool | None = None) -> DataFrame:
+        """(value): rows as lines of the source's format: JSON, or delimited by commas (the first holds the names)."""
+        if as_json or as_json is None and self.kind in ("json", "parquet", "avro"):
+            return jsons.records(self.data, self.options.separator)
+        if self.kind == "text":
+            return self.text()
+        names = io.StringIO()
+        csv.writer(names, lineterminator="").writerow(self.data.columns)
+        first = self.spark.createDataFrame([(names.getvalue(),)], "value string").coalesce(1)
+        return first.unionByName(self.data.select(F.to_csv(F.struct(*[F.col(f"`{c}`") for c in self.data.columns])).alias("value")))
+
+    def text(self) -> DataFrame:
+        """(value): each line in pieces of at most samples_per_line characters."""
+        n = min(self.options.samples_per_line, 1 << 30)
+        c = F.concat_ws("", *[F.col(f"`{c}`") for c in self.data.columns])
+        return self.data.select(F.explode(F.transform(F.sequence(F.lit(0), F.floor(F.greatest(F.length(c) - 1, F.lit(0)) / n)), lambda k: F.substr(c, (k * n + 1).cast("int"), F.lit(n)))).alias("value"))
+
+    def tokenize(self) -> None:
+        raise NotImplementedError("texts are cut into words by the text profile")
+
+    def edges(self) -> DataFrame:
+        """(u, v, attributes…) of a graph, of repeated edges the last."""
+        from plumbline.operators import graph
+
+        ends = graph_columns(self.data.columns)
+        if ends is None:
+            raise ValueError("no columns with a source and a target")
+        return graph.edges(self.data, *ends, [c for c in self.data.columns if c not in ends])
+
+    def batches(self, n: int, seed: int = 0) -> Iterator[DataFrame]:
+        """The rows in random parts of about n, each row once."""
+        parts = max(1, -(-len(self) // n))
+        marked = self.data.withColumn("__part", F.floor(F.rand(seed) * parts).cast("int"))
+        for k in range(parts):
+            yield marked.filter(F.col("__part") == k).drop("__part")
+
+    def lines(self, size: int = 1000) -> Iterator[list[str]]:
+        """The records as lists of lines, for consumers on the driver; partition by partition."""
+        at: list[str] = []
+        for r in self.records().toLocalIterator():
+            at.append(r["value"])
+            if len(at) == size:
+                yield at
+                at = []
+        yield from chunks(at, size)
+
+    def reload(self, path: str | None = None, frame: DataFrame | None = None, options: ReadOptions | None = None) -> Source:
+        return Source(self.spark, path, frame, options or self.options)
+
+    def __len__(self) -> int:
+        return self.data.count()
+
+    def __getattr__(self, name: str) -> object:
+        if name.startswith("_"):
+            raise AttributeError(name)
+        return getattr(self.data, name)
+
+
+def from_lines(spark: SparkSession, lines: Iterator[str]) -> DataFrame:
+    """(value) from lines that are on the driver: a list, or an open file's."""
+    return spark.createDataFrame([(x.rstrip("\r\n"),) for x in lines], "value string")
+
+
+def from_dicts(spark: SparkSession, data: dict | list[dict], separator: str = ".") -> DataFrame:
+    """Nested dictionaries as text columns."""
+    rows = data if isinstance(data, list) else [data]
+    return jsons.frame(spark, [dict(y for leaf in jsons.walk(x, "", separator) for y in leaf.items()) for x in rows])
+
+
+def from_buffer(spark: SparkSession, buffer: io.StringIO | io.BytesIO, folder: str, options: ReadOptions | None = None) -> Source:
+    """A source of what an open buffer holds, by way of a file in `folder`, which all nodes share."""
+    import uuid
+
+    data = buffer.read()
+    path = f"{folder.rstrip('/')}/buffer-{uuid.uuid4().hex}"
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    out = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(place)
+    try:
+        out.write(bytearray(data.encode() if isinstance(data, str) else data))
+    finally:
+        out.close()
+    return Source(spark, path, None, options or ReadOptions())
+
+
+def from_url(spark: SparkSession, url: str, folder: str, verify: bool = True, options: ReadOptions | None = None) -> Source:
+    return Source(spark, remote.fetched(spark, url, folder, verify), None, options or ReadOptions())
