@@ -100,10 +100,21 @@ def parse_date(c: Column, fmt: str) -> Column:
 
 
 def date_ladder(c: Column, formats: tuple[str, ...] = FORMATS) -> Column:
-    """(time, format) of the first format that fits, null if none does."""
+    """(time, format) of the first format that fits, null if none does.
+
+    The signs in a format, which a text in it must have, tell which formats are tried; none for texts that are too long
+    or too short, or have no digit where one has to be. The first whose pattern fits and whose parts make a time counts.
+    """
     clean = without_day_suffix(c)
-    tries = [F.when(parse_date(clean, f).isNotNull(), F.struct(parse_date(clean, f).alias("time"), F.lit(f).alias("format"))) for f in formats]
-    return F.coalesce(*tries)
+
+    def first(own: list[str]) -> Column:
+        tries = [F.struct(parse_date(clean, f).alias("time"), F.lit(f).alias("format")) for f in own]
+        return F.get(F.filter(F.array(*tries), lambda t: t["time"].isNotNull()), F.lit(0)) if tries else F.lit(None)
+
+    signs = {s: [f for f in formats if s in re.sub(r"%[A-Za-z]", "", f)] for s in "/-,"}
+    rest = [f for f in formats if not any(f in own for own in signs.values())]
+    found = F.when(F.contains(clean, F.lit("/")), first(signs["/"])).when(F.contains(clean, F.lit("-")), first(signs["-"])).when(F.contains(clean, F.lit(",")), first(signs[","])).otherwise(first(rest))
+    return F.when(F.length(clean).between(5, 100) & clean.rlike("[0-9]"), found)
 
 
 def characters(c: Column) -> Column:

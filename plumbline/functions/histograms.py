@@ -7,6 +7,8 @@ from dataclasses import dataclass
 
 import numpy as np
 
+from plumbline.functions.moments import Moments
+
 STORED_BINS, MOST_BINS = 1000, 100_000
 METHODS = ("auto", "fd", "doane", "scott", "rice", "sturges", "sqrt")
 
@@ -133,6 +135,72 @@ class Histogram:
         return self.rebin(np.linspace(self.edges[0], self.edges[-1], bins + 1))[0]
 
 
+def expanded(h: Histogram) -> np.ndarray:
+    """Values that stand for a histogram's: each bin's left edge as often as it counts, half of the last bin's its right."""
+    if not h.total:
+        return np.zeros(0)
+    half = int(h.counts[-1]) // 2
+    return np.concatenate([np.repeat(h.edges[:-1], [*h.counts[:-1], h.counts[-1] - half]), np.repeat(h.edges[-1:], half)])
+
+
+def of_values(values: np.ndarray, bins: int = STORED_BINS) -> Histogram:
+    """Equal bins over finite values."""
+    x = np.asarray(values, float)
+    x = x[np.isfinite(x)]
+    if not len(x):
+        return Histogram.empty()
+    if x.min() == x.max():
+        return Histogram(np.array([len(x)]), np.array([x.min(), x.max()]))
+    return Histogram(*np.histogram(x, bins))
+
+
+def updated(h: Histogram, values: np.ndarray) -> Histogram:
+    """With a further batch of values, over the range of both."""
+    return h + of_values(values)
+
+
+def view(h: Histogram, method: str, m: Moments) -> tuple[Histogram, float]:
+    """The histogram in as many bins as the method suggests from what is known of the values, and the loss of that."""
+    q = h.quantile(np.array([0.25, 0.75]))
+    n = bin_count(method, h.total, float(h.edges[0]), float(h.edges[-1]), stddev=m.stddev(False), skew=m.skewness(False), iqr=float(q[1] - q[0]))
+    if h.edges[0] == h.edges[-1]:
+        return h, 0.0
+    return h.rebin(np.linspace(h.edges[0], h.edges[-1], min(n, MOST_BINS) + 1))
+
+
+def losses(views: dict[str, tuple[Histogram, float]], m: Moments) -> dict[str, float]:
+    """Of each view, how far its variance is from the true one, and its squared shifts, each over the mean of all views."""
+    def variance(h: Histogram) -> float:
+        x = (h.edges[:-1] + h.edges[1:]) / 2
+        mean = (x * h.counts).sum() / h.total
+        return float(((x - mean) ** 2 * h.counts).sum() / h.total)
+
+    off = {k: abs(variance(h) - m.variance(False)) for k, (h, _) in views.items()}
+    shift = {k: loss for k, (_, loss) in views.items()}
+    share = lambda x, all_: x / (sum(all_.values()) / len(all_)) if sum(all_.values()) else 0.0
+    return {k: share(off[k], off) + share(shift[k], shift) for k in views}
+
+
+def best_histogram(h: Histogram, method: str | int | tuple, m: Moments) -> Histogram:
+    """The histogram to show: in a given number of bins, or by the method with the least loss (of those that tie, more bins)."""
+    if not h.total:
+        return h
+    own = method if isinstance(method, (tuple, list)) else (method,)
+    if isinstance(own[0], int):
+        return h.suggested(own[0])
+    views = {k: view(h, k, m) for k in own}
+    loss = losses(views, m)
+    return views[min(views, key=lambda k: (round(loss[k], 12), -len(views[k][0].counts), k))][0]
+
+
+def cut_points(quantiles: list[float], groups: int) -> list[float]:
+    """The groups - 1 cuts among stored ones that part them evenly."""
+    n = len(quantiles) + 1
+    if not 1 < groups <= n:
+        raise ValueError(f"groups lie between 2 and {n}")
+    return [quantiles[math.ceil((i + 1) * n / groups) - 1] for i in range(groups - 1)]
+
+
 def psi(one: Histogram, two: Histogram, bins: int = 10) -> float:
     """The population stability index over bins of the common range; terms without a limit are left out."""
     if not one.total or not two.total:

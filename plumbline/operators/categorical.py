@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import exprs
@@ -35,12 +35,35 @@ def top(df: DataFrame, columns: list[str], k: int) -> DataFrame:
     return counts(df, columns).withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k)
 
 
-def heavy_hitters(df: DataFrame, column: str, k: int = 5000, confidence: float = 0.95, error: float = 0.01) -> tuple[DataFrame, bytes]:
-    """(value, n) of the values with at least a k-th of the cells, and a count-min sketch of all of them."""
-    own = cells(df, [column])
-    least = own.count() / k
-    sketch = own.agg(F.count_min_sketch("value", F.lit(error), F.lit(confidence), F.lit(1))).first()[0]
-    return own.groupBy("value").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least), bytes(sketch)
+def sketch(df: DataFrame, column: str, confidence: float = 0.95, error: float = 0.01) -> bytes:
+    """A count-min sketch of a column's cells; one pass, and a size that doesn't depend on them."""
+    got = cells(df, [column]).agg(F.count_min_sketch("value", F.lit(error), F.lit(confidence), F.lit(1))).first()[0]
+    return bytes(got or b"")
+
+
+def heavy_hitters(df: DataFrame, column: str, k: int = 5000) -> DataFrame:
+    """(value, n) of the values with at least a k-th of the cells, exact."""
+    own = cells(df, [column]).groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+    total = F.broadcast(own.agg(F.sum("n").alias("total")))  # one row
+    return own.crossJoin(total).filter(F.col("n") >= F.col("total") / k).select("value", "n")
+
+
+def sketched_count(spark: SparkSession, one: bytes, value: str) -> int:
+    """What a sketch says of a value: never less than its count."""
+    jvm = spark.sparkContext._jvm
+    return jvm.org.apache.spark.util.sketch.CountMinSketch.readFrom(bytearray(one)).estimateCount(value)
+
+
+def merged_sketches(spark: SparkSession, one: bytes, two: bytes) -> bytes:
+    """The sketch of both columns' cells; both have to be of one size."""
+    jvm = spark.sparkContext._jvm
+    read = jvm.org.apache.spark.util.sketch.CountMinSketch.readFrom
+    return bytes(read(bytearray(one)).mergeInPlace(read(bytearray(two))).toByteArray())
+
+
+def merged_heavy_hitters(one: DataFrame, two: DataFrame, n: int, k: int = 5000) -> DataFrame:
+    """(value, n) of two frames of exact counts together, of at least a k-th of n cells."""
+    return merge_counts(one, two).filter(F.col("n") >= n / k)
 
 
 def stopped(df: DataFrame, column: str, at_least: int, ratio: float) -> bool:
@@ -54,7 +77,15 @@ def merge_counts(one: DataFrame, two: DataFrame) -> DataFrame:
     return one.unionByName(two).groupBy("value").agg(F.sum("n").alias("n"))
 
 
-def psi(one: DataFrame, two: DataFrame) -> Column | float:
-    """The stability index of two (value, n) frames; a value that one side lacks has no term."""
-    a, b = (x.select("value", (F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(0)))).alias(c)) for x, c in ((one, "p"), (two, "q")))
-    return a.join(b, "value").agg(F.sum((F.col("q") - F.col("p")) * F.ln(F.col("q") / F.col("p"))).alias("psi"))
+def superset(one: DataFrame, two: DataFrame) -> DataFrame:
+    """(value, n1, n2) of all values of either (value, n) frame, 0 where one lacks it."""
+    both = one.select("value", F.col("n").alias("n1"), F.lit(0).cast("bigint").alias("n2")).unionByName(two.select("value", F.lit(0).cast("bigint").alias("n1"), F.col("n").alias("n2")))
+    return both.groupBy("value").agg(F.sum("n1").alias("n1"), F.sum("n2").alias("n2"))
+
+
+def psi(one: DataFrame, two: DataFrame) -> DataFrame:
+    """One row, psi: the stability index of two (value, n) frames; a value that one side lacks has no term."""
+    both = superset(one, two)
+    total = F.broadcast(both.agg(F.sum("n1").alias("a"), F.sum("n2").alias("b")))  # one row
+    shares = both.filter("n1 > 0 and n2 > 0").crossJoin(total).select((F.col("n1") / F.col("a")).alias("p"), (F.col("n2") / F.col("b")).alias("q"))
+    return shares.agg(F.sum((F.col("q") - F.col("p")) * F.ln(F.col("q") / F.col("p"))).alias("psi"))

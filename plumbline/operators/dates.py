@@ -2,28 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import exprs
 
 
-def parsed(df: DataFrame, column: str) -> DataFrame:
-    """(raw, time, format) of the cells that are dates; the abbreviated month's format is skipped where all are May."""
-    raw = df.select(F.col(f"`{column}`").cast("string").alias("raw")).filter(~exprs.is_null_token(F.col("raw")))
-    return raw.withColumn("d", exprs.date_ladder(F.col("raw"))).filter("d is not null").select("raw", "d.time", "d.format")
+ABBREVIATED, FULL = "%b %d, %Y", "%B %d, %Y"
+
+
+def parsed(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column_name, raw, time, format) of the cells that are dates, in one pass over the table."""
+    texts = df.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in columns]).unpivot([], [F.col(f"`{c}`") for c in columns], "column_name", "raw")
+    found = texts.filter(~exprs.is_null_token(F.col("raw"))).withColumn("d", exprs.date_ladder(F.col("raw"))).filter("d is not null")
+    return found.select("column_name", "raw", "d.time", "d.format")
+
+
+def shown_formats(formats: Column, only_may: Column) -> Column:
+    """Sorted formats, joined. May is spelled alike in full and abbreviated: where all such dates are May, it is in full."""
+    renamed = F.when(only_may, F.array_distinct(F.transform(formats, lambda f: F.when(f == ABBREVIATED, FULL).otherwise(f)))).otherwise(formats)
+    return F.concat_ws("|", F.array_sort(renamed))
 
 
 def profile(df: DataFrame, columns: list[str]) -> DataFrame:
     """(column_name, n, min, max, formats): the least and greatest cell as written; formats are sorted."""
-    parts = []
-    for c in columns:
-        got = parsed(df, c).groupBy().agg(F.count(F.lit(1)).alias("n"), F.min_by("raw", F.struct("time", "raw")).alias("min"), F.max_by("raw", F.struct("time", "raw")).alias("max"), F.concat_ws("|", F.array_sort(F.collect_set("format"))).alias("formats"))
-        parts.append(got.select(F.lit(c).alias("column_name"), "n", "min", "max", "formats"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    may = F.min(F.when(F.col("format") == ABBREVIATED, (F.month("time") == 5).cast("int")))
+    got = parsed(df, columns).groupBy("column_name").agg(F.count(F.lit(1)).alias("n"), F.min_by("raw", F.struct("time", "raw")).alias("min"), F.max_by("raw", F.struct("time", "raw")).alias("max"), F.collect_set("format").alias("f"), may.alias("may"))
+    return got.select("column_name", "n", "min", "max", shown_formats(F.col("f"), F.coalesce(F.col("may") == 1, F.lit(False))).alias("formats"))
 
 
 def is_date_column(df: DataFrame, column: str, sample: int = 50, least: float = 0.1) -> bool:

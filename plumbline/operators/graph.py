@@ -5,11 +5,12 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.histograms import bin_count
 from plumbline.functions.special import digamma, trigamma
+from plumbline.operators.numeric import ranked
 
 
 def edges(df: DataFrame, source: str, target: str, attributes: list[str] | None = None, by: str | None = None) -> DataFrame:
@@ -35,22 +36,21 @@ def summary(e: DataFrame) -> DataFrame:
     return d.select("num_nodes", "num_edges", F.try_divide(2 * F.col("num_edges"), F.col("num_nodes")).alias("avg_node_degree"))
 
 
-def components(e: DataFrame, most: int = 100) -> DataFrame:
+def components(e: DataFrame) -> DataFrame:
     """(node, component): the least node that a node is connected with.
 
-    Large and small stars in turn, each round written by checkpoint(); the number of rounds grows with the logarithm
-    of the longest path.
+    Large and small stars in turn, each round written by checkpoint(), until nothing changes; the number of rounds grows
+    with the logarithm of the longest path. Least neighbours are summed up before they are moved, so that a hub's star is
+    no task of its own.
     """
-    plain = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u != v").distinct()
-    least, stars = Window.partitionBy("u"), plain.checkpoint()
+    stars = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u != v").distinct().checkpoint()
     mark = lambda s: s.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     before = mark(stars)
-    for _ in range(most):
-        if not before[0]:
-            break
+    while before[0]:
         both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.withColumn("m", F.least("u", F.min("v").over(least))).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.withColumn("m", F.min("v").over(least))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct().checkpoint()
+        low = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
         stars = low.filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).filter("u != v").distinct().checkpoint()
         after = mark(stars)
         if after == before:
@@ -108,9 +108,12 @@ def fit_distribution(e: DataFrame, attribute: str) -> dict[str, object] | None:
 def categorical_distribution(e: DataFrame, attribute: str) -> dict[str, list[float]]:
     """An equal-width histogram with the number of bins that `auto` suggests."""
     x = F.col(f"`{attribute}`").cast("double")
-    n, lo, hi, q = e.agg(F.count(x), F.min(x), F.max(x), F.percentile(x, F.array(F.lit(0.25), F.lit(0.75)))).first()
-    bins = bin_count("auto", n, lo, hi, iqr=q[1] - q[0])
+    n, lo, hi = e.agg(F.count(x), F.min(x), F.max(x)).first()
+    if not n:
+        return {"bin_counts": [], "bin_edges": []}
     if lo == hi:
         return {"bin_counts": [n], "bin_edges": [lo - 0.5, lo + 0.5]}
+    q = ranked(e, [attribute], [0.25, 0.75])[attribute]
+    bins = bin_count("auto", n, lo, hi, iqr=q[1] - q[0])
     counts = dict(e.filter(x.isNotNull()).groupBy(F.least(F.floor((x - lo) / (hi - lo) * bins), F.lit(bins - 1)).alias("b")).count().collect())
     return {"bin_counts": [counts.get(i, 0) for i in range(bins)], "bin_edges": np.linspace(lo, hi, bins + 1).tolist()}

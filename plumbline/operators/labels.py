@@ -1,14 +1,17 @@
 """Sensitive entities: by patterns inside texts, and by columns' names.
 
-Patterns run in the JVM as regular expressions over whole cells; no text goes through Python. Column names are few, so
+Texts in which no entity can be (they lack the signs that all patterns have) are told apart in the JVM; the others go
+through compiled patterns in Arrow batches, kind after kind, each over what earlier kinds left. Column names are few, so
 their fuzzy match is made on the driver.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections import Counter
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,45 +42,85 @@ def bounded(pattern: str) -> str:
     return rf"(?<![{EDGE}])(?:{pattern})(?![{EDGE}])"
 
 
-def _tagged(label: str) -> Callable[[Column], Column]:
-    return lambda e: F.struct(F.lit(label).alias("label"), e.alias("entity"))
+#: What a text must have for a kind's entities to be in it; kinds that aren't listed are always tried.
+SIGNS = {"EMAIL_ADDRESS": "@", "URL": "://", "UUID": "-", "SSN": "-", "PHONE_NUMBER": "+", "DATETIME": "-", "IPV4": "."}
+ANY_SIGN = "[0-9@:]"
 
 
-def found(text: Column, patterns: dict[str, str] | None = None) -> Column:
-    """array<struct<label, entity>> of a text's entities in order of priority; what one kind took, later ones don't see."""
-    rest, parts = text, []
-    for label, pattern in (PATTERNS if patterns is None else patterns).items():
-        hits = F.regexp_extract_all(rest, F.lit(bounded(pattern)), F.lit(0))
-        parts.append(F.transform(hits, _tagged(label)))
-        rest = F.regexp_replace(rest, bounded(pattern), "\u0001")
-    return F.flatten(F.array(*parts))
+def found(text: str, rules: list[tuple[str, str, re.Pattern]]) -> list[tuple[str, str]]:
+    """(label, entity) of a text in order of priority; what one kind took, later ones don't see."""
+    out = []
+    for label, sign, rule in rules:
+        if sign in text and (hits := rule.findall(text)):
+            out += [(label, h) for h in hits]
+            text = rule.sub("\u0001", text)
+    return out
+
+
+def _rules(patterns: dict[str, str] | None) -> list[tuple[str, str, re.Pattern]]:
+    own = PATTERNS if patterns is None else patterns
+    return [(k, SIGNS.get(k, "") if patterns is None else "", re.compile(bounded(p), re.ASCII)) for k, p in own.items()]
+
+
+def _likely(df: DataFrame, text_col: str, patterns: dict[str, str] | None) -> DataFrame:
+    c = F.col(f"`{text_col}`").cast("string")
+    return df.filter(c.rlike(ANY_SIGN) if patterns is None else c.isNotNull())
 
 
 def entities(df: DataFrame, id_col: str, text_col: str, patterns: dict[str, str] | None = None) -> DataFrame:
     """(id_col, label, entity), a row for each occurrence. Null texts have none."""
-    got = df.filter(F.col(f"`{text_col}`").isNotNull()).select(F.col(f"`{id_col}`"), F.explode(found(F.col(f"`{text_col}`"), patterns)).alias("e"))
-    return got.select(id_col, "e.label", "e.entity")
+    kind, rules = df.schema[id_col].dataType.simpleString(), _rules(patterns)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hits = [(k, *h) for k, t in enumerate(batch.column(1).to_pylist()) for h in found(t, rules)]
+            columns = [pa.array([h[c] for h in hits], t) for c, t in enumerate((pa.int64(), pa.string(), pa.string()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(columns[0]), *columns[1:]], names=[id_col, "label", "entity"])
+
+    own = _likely(df, text_col, patterns).select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string").alias("t"))
+    return own.mapInArrow(work, f"`{id_col}` {kind}, label string, entity string")
 
 
 def entity_counts(df: DataFrame, text_col: str, patterns: dict[str, str] | None = None) -> DataFrame:
-    """(label, n, n_chars): occurrences and the characters they cover, over all texts."""
-    got = df.select(F.explode(found(F.col(f"`{text_col}`"), patterns)).alias("e"))
-    return got.groupBy(F.col("e.label").alias("label")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("e.entity")).cast("bigint").alias("n_chars"))
+    """(label, n, n_chars): occurrences and the characters they cover, over all texts; summed up before they are moved."""
+    rules = _rules(patterns)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n: Counter = Counter()
+        chars: Counter = Counter()
+        for batch in batches:
+            for t in batch.column(0).to_pylist():
+                for label, e in found(t, rules):
+                    n[label] += 1
+                    chars[label] += len(e)
+        yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64()), pa.array([chars[k] for k in n], pa.int64())], names=["label", "n", "c"])
+
+    own = _likely(df, text_col, patterns).select(F.col(f"`{text_col}`").cast("string").alias("t"))
+    return own.mapInArrow(work, "label string, n bigint, c bigint").groupBy("label").agg(F.sum("n").alias("n"), F.sum("c").alias("n_chars"))
+
+
+def cell_label(patterns: dict[str, str] | None = None) -> Callable[[Column], Column]:
+    """A function of cells: the kind of entity that covers most of a cell's characters, UNKNOWN where none covers half."""
+    rules = _rules(patterns)
 
+    @F.arrow_udf("string")
+    def label(cells: pa.Array) -> pa.Array:
+        out = []
+        for t in cells.to_pylist():
+            size: Counter = Counter()
+            for k, e in found(t or "", rules):
+                size[k] += len(e)
+            best = max(size, key=size.get, default=None)
+            out.append(best if best is not None and size[best] * 2 >= len(t) else "UNKNOWN")
+        return pa.array(out, pa.string())
 
-def cell_label(text: Column, patterns: dict[str, str] | None = None) -> Column:
-    """The label of a cell: the kind of entity that covers most of its characters, UNKNOWN where none covers half."""
-    kinds = found(text, patterns)
-    names = list(PATTERNS if patterns is None else patterns)
-    size = lambda n: F.aggregate(F.filter(kinds, lambda e: e["label"] == n), F.lit(0), lambda a, e: a + F.length(e["entity"]))
-    best = F.array_max(F.array(*[F.struct(size(n).alias("s"), F.lit(-i).alias("i")) for i, n in enumerate(names)]))
-    return F.when(best["s"] * 2 >= F.length(text), F.element_at(F.array(*map(F.lit, names)), 1 - best["i"])).otherwise(F.lit("UNKNOWN"))
+    return label
 
 
 def column_labels(df: DataFrame, columns: list[str], patterns: dict[str, str] | None = None) -> DataFrame:
     """(column_name, label, n, share, place): votes of the cells that aren't null, place 1 being the column's label."""
     long = df.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in columns]).unpivot([], [F.col(f"`{c}`") for c in columns], "column_name", "value").filter("value is not null")
-    votes = long.groupBy("column_name", cell_label(F.col("value"), patterns).alias("label")).agg(F.count(F.lit(1)).alias("n"))
+    votes = long.groupBy("column_name", cell_label(patterns)(F.col("value")).alias("label")).agg(F.count(F.lit(1)).alias("n"))
     by = Window.partitionBy("column_name")
     share = F.col("n") / F.sum("n").over(by)
     return votes.select("column_name", "label", "n", share.alias("share"), F.row_number().over(by.orderBy(F.desc("n"), "label")).alias("place"))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,15 +20,31 @@ def _number(df: DataFrame, c: str) -> Column:
 
 
 def correlation(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(column_1, column_2, correlation) of all ordered pairs: Pearson's, missing values replaced by the mean."""
-    numbers = df.select(*[exprs.finite(_number(df, c)).alias(c) for c in columns])
-    means = F.broadcast(numbers.agg(*[F.avg(f"`{c}`").alias(f"m{i}") for i, c in enumerate(columns)]))  # one row
-    filled = numbers.crossJoin(means).select(*[F.coalesce(F.col(f"`{c}`"), F.col(f"m{i}")).alias(f"x{i}") for i, c in enumerate(columns)])
+    """(column_1, column_2, correlation) of all ordered pairs: Pearson's, missing values replaced by the mean.
+
+    A missing value that is the mean has no deviation, so a batch's part is the product of its matrix of deviations with
+    itself; parts are summed up cell by cell, whatever the number of columns.
+    """
     k = len(columns)
-    got = filled.agg(*[F.corr(f"x{i}", f"x{j}").alias(f"r{i}_{j}") for i in range(k) for j in range(i)])
-    cell = lambda i, j: F.lit(1.0) if i == j else F.col(f"r{max(i, j)}_{min(i, j)}")
-    cells = [F.struct(F.lit(columns[i]).alias("column_1"), F.lit(columns[j]).alias("column_2"), cell(i, j).alias("correlation")) for i in range(k) for j in range(k)]
-    return got.select(F.explode(F.array(*cells)).alias("c")).select("c.*")
+    numbers = df.select(*[exprs.finite(_number(df, c)).alias(f"x{i}") for i, c in enumerate(columns)])
+    means = numbers.agg(*[F.avg(f"x{i}") for i in range(k)]).first()
+    centre = np.array([0.0 if m is None else m for m in means])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((k, k))
+        for batch in batches:
+            x = np.stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns]) - centre[:, None]
+            x = np.where(np.isnan(x), 0.0, x)
+            total += x @ x.T
+        i, j = np.indices((k, k))
+        yield pa.RecordBatch.from_arrays([pa.array(i.ravel(), pa.int32()), pa.array(j.ravel(), pa.int32()), pa.array(total.ravel())], names=["i", "j", "s"])
+
+    cells = numbers.mapInArrow(work, "i int, j int, s double").groupBy("i", "j").agg(F.sum("s").alias("s"))
+    own = cells.filter("i = j").select("i", F.col("s").alias("own"))
+    both = cells.join(own, "i").join(own.select(F.col("i").alias("j"), F.col("own").alias("other")), "j")
+    name = lambda c: F.element_at(F.array(*map(F.lit, columns)), F.col(c) + 1)
+    r = F.when(F.col("i") == F.col("j"), 1.0).when((F.col("own") > 0) & (F.col("other") > 0), F.col("s") / F.sqrt("own") / F.sqrt("other"))
+    return both.select(name("i").alias("column_1"), name("j").alias("column_2"), r.alias("correlation"))
 
 
 def homogeneity(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -72,7 +92,7 @@ def chi2_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def null_replication(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(column_name, other, null_prior, sum_null, sum_there, mean_null, mean_there).
+    """(column_name, other, null_prior, sum_null, sum_there, n_null, n_there, mean_null, mean_there).
 
     For each column with missing cells, sums and means of the other columns over the rows where it is missing and
     where it is there.
@@ -85,12 +105,12 @@ def null_replication(df: DataFrame, columns: list[str]) -> DataFrame:
             if i != j:
                 for tag, test in (("a", F.col(f"z{i}")), ("b", ~F.col(f"z{i}"))):
                     x = F.when(test, F.col(f"x{j}"))
-                    aggs += [F.sum(x).alias(f"s{tag}{i}_{j}"), F.avg(x).alias(f"m{tag}{i}_{j}")]
+                    aggs += [F.sum(x).alias(f"s{tag}{i}_{j}"), F.count(x).alias(f"c{tag}{i}_{j}"), F.avg(x).alias(f"m{tag}{i}_{j}")]
     got = numbers.agg(*aggs)
     cells = [
         F.struct(
             F.lit(columns[i]).alias("column_name"), F.lit(columns[j]).alias("other"), (F.col(f"n{i}") / F.col("n")).alias("null_prior"),
-            *[F.col(f"{s}{i}_{j}").alias(a) for s, a in (("sa", "sum_null"), ("sb", "sum_there"), ("ma", "mean_null"), ("mb", "mean_there"))],
+            *[F.col(f"{s}{i}_{j}").alias(a) for s, a in (("sa", "sum_null"), ("sb", "sum_there"), ("ca", "n_null"), ("cb", "n_there"), ("ma", "mean_null"), ("mb", "mean_there"))],
         )
         for i in range(k) for j in range(k) if i != j
     ]

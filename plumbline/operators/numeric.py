@@ -45,10 +45,59 @@ def moments(df: DataFrame, columns: list[str]) -> DataFrame:
     )
 
 
+BRACKET_BINS, FEW = 4096, 100_000
+
+
+def ranked(df: DataFrame, columns: list[str], shares: list[float]) -> dict[str, list[float | None]]:
+    """Exact quantiles of each column, with linear interpolation between neighbours.
+
+    The value of a rank lies in one bin of a histogram over the range; that bin is the next range, until few values are
+    left in it or it has no width. Each round is one aggregation for all columns and ranks, of which only bins' counts
+    reach the driver, so no task ever holds a column's values.
+    """
+    own = long_form(df, columns).select("column_name", exprs.finite(F.col("value")).alias("x")).filter("x is not null")
+    sizes = {r[0]: (r[1], r[2], r[3]) for r in own.groupBy("column_name").agg(F.count("x"), F.min("x"), F.max("x")).collect()}
+    wanted = {(c, k) for c, (n, _, _) in sizes.items() for p in shares for k in {int(p * (n - 1)), min(int(p * (n - 1)) + 1, n - 1)}}
+    found: dict[tuple[str, int], float] = {}
+    open_ = {(c, k): (sizes[c][1], sizes[c][2], 0, sizes[c][0]) for c, k in wanted}  # low, high, values below, values within
+    while open_:
+        found |= {key: low for key, (low, high, _, _) in open_.items() if low == high}
+        open_ = {key: b for key, b in open_.items() if key not in found}
+        ranges = sorted({(c, *b) for (c, _), b in open_.items()})
+        few = [r for r in ranges if r[4] <= FEW]
+        many = [r for r in ranges if r[4] > FEW]
+        spark = df.sparkSession
+        for group, small in ((few, True), (many, False)):
+            if not group:
+                continue
+            table = F.broadcast(spark.createDataFrame([(i, r[0], r[1], r[2]) for i, r in enumerate(group)], "g int, column_name string, low double, high double"))  # one row for each rank at most
+            inside = own.join(table, "column_name").filter((F.col("x") >= F.col("low")) & (F.col("x") <= F.col("high")))
+            key = F.col("x") if small else exprs.bin_index(F.col("x"), F.col("low"), F.col("high"), F.lit(BRACKET_BINS)).cast("double")
+            rows: dict[int, list] = {}
+            for r in inside.groupBy("g", key.alias("k")).agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("low"), F.max("x").alias("high")).collect():
+                rows.setdefault(r["g"], []).append((r["low"], r["high"], r["n"]))
+            for i, r in enumerate(group):
+                for (c, k), b in list(open_.items()):
+                    if (c, *b) != r:
+                        continue
+                    below = b[2]
+                    for low, high, n in sorted(rows[i]):
+                        if k < below + n:
+                            open_[c, k] = (low, high, below, n)
+                            break
+                        below += n
+    out = {}
+    for c in columns:
+        n = sizes.get(c, (0,))[0]
+        at = [p * (n - 1) for p in shares]
+        out[c] = [None if not n else found[c, int(x)] + (x - int(x)) * (found[c, min(int(x) + 1, n - 1)] - found[c, int(x)]) for x in at]
+    return out
+
+
 def quantiles(df: DataFrame, columns: list[str], shares: list[float]) -> DataFrame:
     """Exact quantiles with linear interpolation: (column_name, share, value)."""
-    got = long_form(df, columns).groupBy("column_name").agg(F.percentile(exprs.finite(F.col("value")), F.array(*map(F.lit, shares))).alias("q"))
-    return got.select("column_name", F.posexplode("q").alias("i", "value")).select("column_name", F.element_at(F.array(*map(F.lit, shares)), F.col("i") + 1).alias("share"), "value")
+    got = ranked(df, columns, shares)
+    return df.sparkSession.createDataFrame([(c, float(p), v) for c in columns for p, v in zip(shares, got[c], strict=True)], "column_name string, share double, value double")
 
 
 def quantiles_sketched(df: DataFrame, columns: list[str], shares: list[float], accuracy: int = 10_000) -> DataFrame:
@@ -58,11 +107,12 @@ def quantiles_sketched(df: DataFrame, columns: list[str], shares: list[float], a
 
 
 def median_deviation(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(column_name, median, mad), exact: a second pass over the distances from the median."""
-    values = long_form(df, columns).filter(exprs.finite(F.col("value")).isNotNull())
-    middle = values.groupBy("column_name").agg(F.median("value").alias("median"))
-    near = values.join(F.broadcast(middle), "column_name")  # a row for each column
-    return near.groupBy("column_name").agg(F.first("median").alias("median"), F.median(F.abs(F.col("value") - F.col("median"))).alias("mad"))
+    """(column_name, median, mad), exact: the median of the distances from the median."""
+    middle = {c: q[0] for c, q in ranked(df, columns, [0.5]).items()}
+    typed = [(exprs.to_double(F.col(f"`{c}`")) if isinstance_string(df, c) else F.col(f"`{c}`").cast("double")) for c in columns]
+    away = df.select(*[F.abs(x - F.lit(middle[c])).alias(c) for c, x in zip(columns, typed, strict=True)])
+    far = ranked(away, columns, [0.5])
+    return df.sparkSession.createDataFrame([(c, middle[c], far[c][0]) for c in columns], "column_name string, median double, mad double")
 
 
 def ranges(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -108,14 +158,16 @@ def histogram_estimates(df: DataFrame, columns: list[str], bins: int) -> DataFra
 
 
 def bin_counts(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(column_name, method, bins): what each estimator suggests, from one aggregation."""
+    """(column_name, method, bins): what each estimator suggests."""
     v = exprs.finite(F.col("value"))
     s = long_form(df, columns).groupBy("column_name").agg(
-        F.count(v).cast("double").alias("n"), (F.max(v) - F.min(v)).alias("span"), F.stddev_pop(v).alias("sd"), F.coalesce(F.skewness(v), F.lit(0.0)).alias("g"), F.percentile(v, F.array(F.lit(0.25), F.lit(0.75))).alias("q")
+        F.count(v).cast("double").alias("n"), (F.max(v) - F.min(v)).alias("span"), F.stddev_pop(v).alias("sd"), F.coalesce(F.skewness(v), F.lit(0.0)).alias("g")
     )
+    quarters = [(c, q[1] - q[0] if q[0] is not None else None) for c, q in ranked(df, columns, [0.25, 0.75]).items()]
+    s = s.join(F.broadcast(df.sparkSession.createDataFrame(quarters, "column_name string, iqr double")), "column_name")  # a row for each column
     n, span = F.col("n"), F.col("span")
     error = F.sqrt(6.0 * (n - 2) / ((n + 1) * (n + 3)))
-    fd = 2.0 * (F.col("q")[1] - F.col("q")[0]) * F.pow(n, F.lit(-1 / 3))
+    fd = 2.0 * F.col("iqr") * F.pow(n, F.lit(-1 / 3))
     sturges = span / (F.log2(n) + 1)
     widths = {
         "sqrt": span / F.sqrt(n), "sturges": sturges, "rice": span / (2 * F.pow(n, F.lit(1 / 3))), "scott": F.pow(F.lit(24 * 3.141592653589793**0.5) / n, F.lit(1 / 3)) * F.col("sd"),
@@ -142,10 +194,14 @@ def text_lengths(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def type_ratios(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(column_name, n, datetime, int, float, text): shares of the cells that are no null tokens, and the type they make."""
-    texts = df.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in columns]).unpivot([], [F.col(f"`{c}`") for c in columns], "column_name", "text")
-    cells = texts.filter(~exprs.is_null_token(F.col("text")))
-    parsed = cells.select("column_name", "text", exprs.to_double(F.col("text")).alias("d"), exprs.either([exprs.parse_date(exprs.without_day_suffix(F.col("text")), f).isNotNull() for f in exprs.FORMATS]).alias("t"))
+    """(column_name, n, datetime, int, float, text): shares of the cells that are no null tokens, and the type they make.
+
+    Cells of columns that are numbers by their type are not looked at as texts.
+    """
+    typed = [not isinstance_string(df, c) and df.schema[c].dataType.typeName() in ("byte", "short", "integer", "long", "float", "double", "decimal") for c in columns]
+    cells = [F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").cast("string").alias("text"), (F.col(f"`{c}`").cast("double") if t else F.lit(None).cast("double")).alias("number"), F.lit(t).alias("typed")) for c, t in zip(columns, typed, strict=True)]
+    long = df.select(F.explode(F.array(*cells)).alias("c")).select("c.*").filter(~F.when(F.col("typed"), F.col("number").isNull() | F.col("number").isNaN()).otherwise(exprs.is_null_token(F.col("text"))))
+    parsed = long.select("column_name", "text", F.when(F.col("typed"), F.col("number")).otherwise(exprs.to_double(F.col("text"))).alias("d"), F.when(~F.col("typed"), exprs.date_ladder(F.col("text"))).isNotNull().alias("t"))
     n = F.count(F.lit(1))
     got = parsed.groupBy("column_name").agg(n.alias("n"), (F.count_if("t") / n).alias("datetime"), (F.count_if(exprs.is_int(F.col("d"))) / n).alias("int"), (F.count("d") / n).alias("float"), F.lit(1.0).alias("text"), F.max(F.length("text")).alias("longest"))
     kind = F.when(F.col("datetime") == 1, "datetime").when(F.col("int") == 1, "int").when(F.col("float") == 1, "float").when(F.col("longest") > 255, "text").otherwise("string")

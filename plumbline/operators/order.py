@@ -7,42 +7,108 @@ partitions, in row order. So there is no window over the whole table.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.functions import exprs
+
 ASCENDING, DESCENDING, CONSTANT, RANDOM = "ascending", "descending", "constant value", "random"
 
 
+def bounds(a: Run) -> tuple:
+    """The lesser and the greater end of a run."""
+    return min(a.first, a.last), max(a.first, a.last)
+
+
+def intersects(a: Run, b: Run) -> bool:
+    """Whether an end of one lies strictly within the other, or both ranges are the same."""
+    (lo, hi), (low, high) = bounds(a), bounds(b)
+    return low < lo < high or low < hi < high or lo < low < hi or lo < high < hi or (lo, hi) == (low, high)
+
+
+def envelopes(a: Run, b: Run) -> bool:
+    """Whether a's range strictly contains b's."""
+    (lo, hi), (low, high) = bounds(a), bounds(b)
+    return lo < low and hi > high
+
+
 @dataclass(frozen=True)
 class Run:
-    """The order of a run of rows and its first and last values; None stands for no rows."""
+    """The order of a run of rows and its first and last values; None stands for no rows.
+
+    piecewise runs were merged from parts whose order is unknown: their values needn't follow each other in the rows.
+    """
 
     order: str | None = None
     first: object = None
     last: object = None
+    piecewise: bool = False
 
     def __add__(self, o: Run) -> Run:
         """The run with o's rows after it."""
         if self.order is None or o.order is None:
             return self if o.order is None else o
-        kinds = {self.order, o.order} - {CONSTANT}
-        step = CONSTANT if o.first == self.last else ASCENDING if o.first > self.last else DESCENDING
+        one, two = self._alike(o)
+        kinds = {one.order, two.order} - {CONSTANT}
+        step = CONSTANT if two.first == one.last else ASCENDING if two.first > one.last else DESCENDING
         kinds |= {step} - {CONSTANT}
         order = CONSTANT if not kinds else kinds.pop() if len(kinds) == 1 else RANDOM
-        return Run(order, self.first, o.last)
+        return Run(order, one.first, two.last, one.piecewise or two.piecewise)
+
+    def _alike(self, o: Run) -> tuple[Run, Run]:
+        """Both with values that compare: as texts, if one of them has texts."""
+        if isinstance(self.first, str) != isinstance(o.first, str):
+            return tuple(replace(x, first=str(x.first), last=str(x.last)) for x in (self, o))
+        return self, o
 
     def merged(self, o: Run) -> Run:
-        """Two batches whose order is unknown: the one that fits decides, else random."""
-        one, two = self + o, o + self
-        return one if one.order != RANDOM or two.order == RANDOM else two
+        """Two batches of which nobody knows which came first: one order, if their ranges allow it.
+
+        Batches of one order keep it if their ranges lie apart, if both are piecewise, or if a piecewise one contains the
+        other. A constant goes with an ascending or descending batch that it lies beside, or that is piecewise.
+        """
+        if self.order is None or o.order is None:
+            return self if o.order is None else o
+        a, b = self._alike(o)
+        apart, orders = not intersects(a, b), {a.order, b.order}
+        if RANDOM in orders or {ASCENDING, DESCENDING} <= orders:
+            order = RANDOM
+        elif len(orders) == 1:
+            fits = apart or a.piecewise and b.piecewise or a.piecewise and envelopes(a, b) or b.piecewise and envelopes(b, a) or orders == {CONSTANT}
+            order = a.order if fits else RANDOM
+        else:
+            other = (orders - {CONSTANT}).pop()
+            order = other if apart or (b if a.order == CONSTANT else a).piecewise else RANDOM
+        low, high = min(bounds(a)[0], bounds(b)[0]), max(bounds(a)[1], bounds(b)[1])
+        first, last = (high, low) if order == DESCENDING else (low, high)
+        return Run(order, first, last, not (order == RANDOM or order == CONSTANT and low == high))
 
 
 def runs(ordered: DataFrame, columns: list[str]) -> dict[str, Run]:
-    """The run of each column over the frame's partitions in their order, nulls left out; values compare as they are."""
+    """The run of each column over the frame's partitions in their order; null tokens and nulls are left out.
+
+    Texts compare as numbers if all of a column's cells are numbers, else as texts; other values as they are.
+    """
+    texts = [c for c in columns if ordered.schema[c].dataType.typeName() == "string"]
+    filled = {c: F.when(~exprs.is_null_token(F.col(f"`{c}`")), F.col(f"`{c}`")) for c in texts}
+    number = {c: exprs.to_double(filled[c]) for c in texts}
+    spare = [F.when(filled[c].isNotNull() & number[c].isNull(), F.lit(1)).alias(f"{i}t") for i, c in enumerate(texts)]
+    own = ordered.select(*[filled[c].alias(f"{i}s") if c in filled else F.col(f"`{c}`").alias(f"{i}s") for i, c in enumerate(columns)], *[number[c].alias(f"{i}n") for i, c in enumerate(texts)], *spare)
+    found = _runs(own, own.columns)
+    out = {}
+    for i, c in enumerate(columns):
+        k = texts.index(c) if c in filled else -1
+        numeric = k >= 0 and found[f"{k}t"].order is None and found[f"{k}n"].order is not None
+        out[c] = found[f"{k}n"] if numeric else found[f"{i}s"]
+    return out
+
+
+def _runs(ordered: DataFrame, columns: list[str]) -> dict[str, Run]:
+    """The run of each column, values compared as they are."""
     names = [f"c{i}" for i in range(len(columns))]
     own = ordered.select(F.spark_partition_id().alias("p"), *[F.col(f"`{c}`").alias(n) for c, n in zip(columns, names, strict=True)])
     kinds = [ordered.schema[c].dataType.simpleString() for c in columns]

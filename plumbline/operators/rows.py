@@ -18,13 +18,17 @@ def null_counts(df: DataFrame, columns: list[str], tokens: tuple[str, ...] = exp
     return flags.groupBy("column_name").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("flag").alias("null_count"), F.avg("flag").alias("null_ratio"))
 
 
-def null_types(df: DataFrame, columns: list[str], row_id: str | None = None, tokens: tuple[str, ...] = exprs.NULL_TOKENS) -> DataFrame:
-    """(column_name, token, n) of the missing cells, SQL's null as "NULL"; with a row_id also rows, the list of their ids."""
-    key = [F.col(f"`{row_id}`").cast("bigint").alias("__row")] if row_id else []
-    cells = df.select(*key, *[F.when(exprs.is_null_token(_text(df, c), tokens), F.coalesce(_text(df, c), F.lit("NULL"))).alias(c) for c in columns])
-    long = cells.unpivot(["__row"] if row_id else [], [F.col(f"`{c}`") for c in columns], "column_name", "token").filter("token is not null")
-    rows = [F.array_sort(F.collect_list("__row")).alias("rows")] if row_id else []
-    return long.groupBy("column_name", "token").agg(F.count(F.lit(1)).alias("n"), *rows)
+def null_types(df: DataFrame, columns: list[str], tokens: tuple[str, ...] = exprs.NULL_TOKENS) -> DataFrame:
+    """(column_name, token, n) of the missing cells, SQL's null as "NULL"."""
+    cells = df.select(*[F.when(exprs.is_null_token(_text(df, c), tokens), F.coalesce(_text(df, c), F.lit("NULL"))).alias(c) for c in columns])
+    long = cells.unpivot([], [F.col(f"`{c}`") for c in columns], "column_name", "token").filter("token is not null")
+    return long.groupBy("column_name", "token").agg(F.count(F.lit(1)).alias("n"))
+
+
+def null_rows(df: DataFrame, columns: list[str], row_id: str, tokens: tuple[str, ...] = exprs.NULL_TOKENS) -> DataFrame:
+    """(column_name, token, row_id): where the missing cells are, a row for each, so that no list of them is ever put together."""
+    texts = [F.when(exprs.is_null_token(_text(df, c), tokens), F.struct(F.lit(c).alias("column_name"), F.coalesce(_text(df, c), F.lit("NULL")).alias("token"))) for c in columns]
+    return df.select(F.col(f"`{row_id}`").alias("row_id"), F.explode(F.array_compact(F.array(*texts))).alias("c")).select("c.column_name", "c.token", "row_id")
 
 
 def row_nulls(df: DataFrame, columns: list[str] | None = None, tokens: tuple[str, ...] = exprs.NULL_TOKENS) -> DataFrame:
@@ -41,6 +45,17 @@ def unique_rows(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return per.agg(n.alias("n_rows"), u.alias("unique_rows"), F.try_divide(u, n).alias("unique_row_ratio"), (n - u).alias("duplicate_rows"))
 
 
+def row_figures(df: DataFrame, columns: list[str] | None = None, tokens: tuple[str, ...] = exprs.NULL_TOKENS) -> DataFrame:
+    """row_nulls() and unique_rows() in one pass: one row of both."""
+    names = columns or df.columns
+    flags = [exprs.is_null_token(_text(df, c), tokens) for c in names]
+    h = F.xxhash64(*[F.struct(F.coalesce(_text(df, c), F.lit("\0null"))) for c in names])
+    own = df.select(h.alias("h"), exprs.either(flags).cast("int").alias("some"), exprs.every(flags).cast("int").alias("all"))
+    per = own.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.sum("some").alias("some"), F.sum("all").alias("all"))
+    n, u = F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))
+    return per.agg(n.alias("n_rows"), F.try_divide(F.sum("some"), n).alias("row_has_null_ratio"), F.try_divide(F.sum("all"), n).alias("row_is_null_ratio"), u.alias("unique_rows"), F.try_divide(u, n).alias("unique_row_ratio"), (n - u).alias("duplicate_rows"))
+
+
 def unique_rows_sketched(df: DataFrame, columns: list[str] | None = None, lg_k: int = 15) -> DataFrame:
     """The same by a HyperLogLog sketch of 2**lg_k registers; no shuffle of rows."""
     row = F.to_json(F.struct(*[F.col(f"`{c}`") for c in columns or df.columns]))
@@ -48,20 +63,26 @@ def unique_rows_sketched(df: DataFrame, columns: list[str] | None = None, lg_k:
     return df.agg(n.alias("n_rows"), u.alias("unique_rows"), F.try_divide(u, n).alias("unique_row_ratio"), (n - u).alias("duplicate_rows"))
 
 
-def null_runs(df: DataFrame, column: str, row_id: str) -> DataFrame:
-    """(start, stop, n): runs of neighbouring rows whose cell is missing, from the ids of missing rows alone."""
-    ids = df.filter(exprs.is_null_token(_text(df, column))).select(F.col(f"`{row_id}`").cast("bigint").alias("r"))
-    block = F.floor(F.col("r") / 1_000_000)
+def null_runs(df: DataFrame, column: str, row_id: str, block: int = 1_000_000) -> DataFrame:
+    """(start, stop, n): runs of neighbouring rows whose cell is missing, from the ids of missing rows alone.
+
+    Runs are found block by block; only those that touch a block's end, two for each block at most, are then put in one
+    order and joined with their neighbours.
+    """
+    ids = df.filter(exprs.is_null_token(_text(df, column))).select(F.col(f"`{row_id}`").cast("bigint").alias("r")).withColumn("block", F.floor(F.col("r") / block))
     w = Window.partitionBy("block").orderBy("r")
-    parts = ids.withColumn("block", block).withColumn("g", F.col("r") - F.row_number().over(w)).groupBy("block", "g").agg(F.min("r").alias("a"), F.max("r").alias("b"))
-    every = Window.partitionBy(F.lit(0)).orderBy("a")  # runs, of which there are far fewer than rows
-    joined = parts.withColumn("new", (F.coalesce(F.lag("b").over(every), F.col("a") - 2) + 1 < F.col("a")).cast("int")).withColumn("k", F.sum("new").over(every))
-    return joined.groupBy("k").agg(F.min("a").alias("start"), F.max("b").alias("stop")).select("start", "stop", (F.col("stop") - F.col("start") + 1).alias("n"))
+    parts = ids.withColumn("g", F.col("r") - F.row_number().over(w)).groupBy("block", "g").agg(F.min("r").alias("a"), F.max("r").alias("b"))
+    touching = (F.pmod("a", F.lit(block)) == 0) | (F.pmod("b", F.lit(block)) == block - 1)
+    every = Window.orderBy("a")
+    ends = parts.filter(touching).withColumn("new", (F.coalesce(F.lag("b").over(every), F.col("a") - 2) + 1 < F.col("a")).cast("int")).withColumn("k", F.sum("new").over(every))
+    joined = ends.groupBy("k").agg(F.min("a").alias("start"), F.max("b").alias("stop")).select("start", "stop")
+    runs = parts.filter(~touching).select(F.col("a").alias("start"), F.col("b").alias("stop")).unionByName(joined)
+    return runs.select("start", "stop", (F.col("stop") - F.col("start") + 1).alias("n"))
 
 
 def reservoir(df: DataFrame, n: int, seed: int = 0, key: str | None = None) -> DataFrame:
     """n random rows, the same for the same seed: by the hash of `key`, or by a seeded random number for each row."""
-    order = F.xxhash64(F.col(f"`{key}`"), F.lit(seed)) if key else F.rand(seed)
+    order = F.md5(F.concat(F.col(f"`{key}`").cast("string"), F.lit(f":{seed}"))) if key else F.rand(seed)
     return df.orderBy(order, *([F.col(f"`{key}`")] if key else [])).limit(n)
 
 

@@ -8,10 +8,19 @@ from pyspark.sql import functions as F
 from plumbline.functions import exprs
 
 STOP_WORDS = tuple(
-    """a about above after again against all am an and any are as at be because been before being below between both but by can could did do does doing down during each few for
-    from further had has have having he her here hers herself him himself his how i if in into is it its itself just me more most my myself no nor not now of off on once only or
-    other our ours ourselves out over own same she should so some such than that the their theirs them themselves then there these they this those through to too under until up
-    very was we were what when where which while who whom why will with would you your yours yourself yourselves""".split()
+    """'d 'll 'm 're 's 've a about above across after afterwards again against ain all almost alone along already also although always am among amongst amount an and another any anyhow anyone
+    anything anyway anywhere are aren aren't around as at back be became because become becomes becoming been before beforehand behind being below beside besides between beyond both bottom but
+    by ca call can cannot cant could couldn couldn't couldnt d did didn didn't didnt do does doesn doesn't doing don don't done dont down due during each eight either eleven else elsewhere empty
+    enough even ever every everyone everything everywhere except few fifteen fifty first five for former formerly forty four from front full further get give go had hadn hadn't has hasn hasn't
+    hasnt have haven haven't havent having he hence her here hereafter hereby herein hereupon hers herself hes him himself his how however hundred i if in indeed into is isn isn't isnt it it's
+    its itself just keep last latter latterly least less ll m ma made make many may me meanwhile might mightn mightn't mightnt mightve mine more moreover most mostly move much must mustn mustn't
+    my myself n't namely needn needn't neednt neither never nevertheless next nine no nobody none noone nor not nothing now nowhere n‘t n’t o of off often on once one only onto or other others
+    otherwise our ours ourselves out over own part per perhaps please put quite rather re really regarding s same say see seem seemed seeming seems serious several shan shan't she she's shes
+    should should've shouldn shouldn't shouldnt shouldve shoulve show side since six sixty so some somehow someone something sometime sometimes somewhere still such t take ten than that that'll
+    thatllwas the their theirs them themselves then thence there thereafter thereby therefore therein thereupon these they third this those though three through throughout thru thus to together
+    too top toward towards twelve twenty two under unless until up upon us used using various ve very via was wasn wasn't wasnt we well were weren weren't werent what whatever when whence
+    whenever where whereafter whereas whereby wherein whereupon wherever whether which while whither who whoever whole whom whose why will with within without won won't wont would wouldn
+    wouldn't wouldnt y yet you you'd you'll you're you've your youre yours yourself yourselves youve ‘d ‘ll ‘m ‘re ‘s ‘ve ’d ’ll ’m ’re ’s ’ve""".split()
 )
 
 

@@ -36,10 +36,14 @@ class Validator:
         self.found = hits.select("hit.*", "row_id")
         return self.found
 
-    def get(self) -> dict[str, dict[str, list[int]]]:
+    def get(self, most: int = 1_000_000) -> dict[str, dict[str, list[int]]]:
+        """The ids as lists; raises for over `most` of them, which belong in the frame that validate() gives."""
         if self.found is None:
             raise Warning("validate() comes before get()")
+        rows = self.found.limit(most + 1).collect()
+        if len(rows) > most:
+            raise ValueError(f"over {most} rows meet the rules")
         out: dict[str, dict[str, list[int]]] = {}
-        for c, r, ids in self.found.groupBy("column_name", "rule").agg(F.array_sort(F.collect_list("row_id"))).collect():
-            out.setdefault(c, {})[r] = ids
-        return out
+        for r in rows:
+            out.setdefault(r["column_name"], {}).setdefault(r["rule"], []).append(r["row_id"])
+        return {c: {k: sorted(v) for k, v in x.items()} for c, x in out.items()}

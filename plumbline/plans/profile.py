@@ -1,167 +1,181 @@
 """A table's profile: what every column holds, as state that adds up, can be compared, saved and shown.
 
-A profile takes a fixed number of Spark jobs, whatever the number of columns: types, moments and missing cells are each
-one aggregation over an unpivoted frame. State that reaches the driver is bounded: figures, STORED_BINS histogram bins,
-and value counts only of columns with few values.
+A profile takes a fixed number of passes over the table, whatever the number of columns: one for all figures of cells
+(each row's cells unfolded, and aggregated before anything is moved), one for histograms and value counts together, one
+for the rows as a whole, and one for their order and the characters in use. State that reaches the driver is bounded:
+figures, STORED_BINS histogram bins, and value counts only of columns with few values.
 """
 
 from __future__ import annotations
 
 import json
 import math
-from dataclasses import asdict, dataclass, field, replace
-from pathlib import Path
+from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.functions.histograms import STORED_BINS, Histogram
-from plumbline.functions.histograms import psi as histogram_psi
+from plumbline.functions import exprs
+from plumbline.functions.histograms import METHODS, STORED_BINS, Histogram, bin_count
 from plumbline.functions.moments import Moments
-from plumbline.operators import categorical, compare, matrices, numeric, rows
+from plumbline.operators import compare, dates, matrices, order, rows
+from plumbline.plans.column import Column, Counts, Dates, Numbers, Precision
+from plumbline.plans.options import Options, Structured
 
+GUESS = 200
+NUMBERS = ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")
 
-@dataclass(frozen=True)
-class Options:
-    """What a profile has. Columns of at most most_values values, or a share of them up to ratio, are categories."""
 
-    columns: tuple[str, ...] | None = None
-    histograms: bool = True
-    categories: bool = True
-    row_statistics: bool = True
-    sketched_rows: bool = False
-    correlation: bool = False
-    most_values: int = 1000
-    top_k: int | None = None
-
-    def set(self, **changes: object) -> Options:
-        return replace(self, **changes)
-
-
-PRESETS = {
-    "complete": Options(correlation=True), "data_types": Options(histograms=False, categories=False, row_statistics=False),
-    "numeric_stats_disabled": Options(histograms=False), "lower_memory_sketching": Options(sketched_rows=True, most_values=100),
-}
-
-
-@dataclass
-class Column:
-    """One column's state; + gives that of both parts' cells together."""
-
-    n_rows: int = 0
-    null_count: int = 0
-    kinds: dict[str, int] = field(default_factory=dict)
-    longest: int = 0
-    moments: Moments = field(default_factory=Moments)
-    low: float | None = None
-    high: float | None = None
-    zeros: int = 0
-    negatives: int = 0
-    histogram: Histogram = field(default_factory=Histogram.empty)
-    values: dict[str, int] | None = None
-
-    def __add__(self, o: Column) -> Column:
-        pick = lambda f, a, b: f(x for x in (a, b) if x is not None) if (a is not None or b is not None) else None
-        values = None
-        if self.values is not None and o.values is not None:
-            values = {v: self.values.get(v, 0) + o.values.get(v, 0) for v in self.values.keys() | o.values.keys()}
-        return Column(
-            self.n_rows + o.n_rows, self.null_count + o.null_count, {k: self.kinds.get(k, 0) + o.kinds.get(k, 0) for k in self.kinds.keys() | o.kinds.keys()}, max(self.longest, o.longest), self.moments + o.moments,
-            pick(min, self.low, o.low), pick(max, self.high, o.high), self.zeros + o.zeros, self.negatives + o.negatives, self.histogram + o.histogram, values,
-        )
-
-    @property
-    def cells(self) -> int:
-        return self.n_rows - self.null_count
-
-    @property
-    def data_type(self) -> str | None:
-        """The first kind that all cells are of."""
-        if not self.cells:
-            return None
-        return next((k for k in ("datetime", "int", "float") if self.kinds.get(k) == self.cells), "text" if self.longest > 255 else "string")
-
-    def report(self, top_k: int | None = None) -> dict[str, object]:
-        out: dict[str, object] = {"data_type": self.data_type, "sample_size": self.n_rows, "null_count": self.null_count, "null_ratio": self.null_count / self.n_rows if self.n_rows else 0.0, "data_type_representation": {k: n / max(1, self.cells) for k, n in sorted(self.kinds.items())}}
-        if self.moments.n:
-            m = self.moments
-            out |= {"min": self.low, "max": self.high, "sum": m.mean * m.n, "mean": m.mean, "variance": m.variance(), "stddev": m.stddev(), "skewness": m.skewness(), "kurtosis": m.kurtosis(), "num_zeros": self.zeros, "num_negatives": self.negatives}
-            if h := self.histogram.total:
-                q = self.histogram.quantile(np.array([0.25, 0.5, 0.75])).tolist()
-                out |= {"histogram": {"bin_counts": self.histogram.counts.tolist(), "bin_edges": self.histogram.edges.tolist()}, "quantiles": q, "median": q[1], "mode": self.histogram.modes(), "median_abs_deviation": self.histogram.deviation()}
-                assert h
-        if self.values is not None:
-            n = sum(self.values.values())
-            sq = sum(x * x for x in self.values.values())
-            top = sorted(self.values.items(), key=lambda v: (-v[1], v[0]))[:top_k]
-            out |= {"categorical": True, "unique_count": len(self.values), "unique_ratio": len(self.values) / n if n else 0.0, "categorical_count": dict(top), "gini_impurity": 1 - sq / n**2 if n else None, "unalikeability": (n * n - sq) / (n * n - n) if n > 1 else 0.0}
-        return out
-
-
-def _plain(c: Column) -> dict[str, object]:
-    out = asdict(c)
-    return out | {"histogram": {"counts": c.histogram.counts.tolist(), "edges": c.histogram.edges.tolist()}}
-
-
-def _column(d: dict) -> Column:
-    h = d["histogram"]
-    return Column(**(d | {"moments": Moments(**d["moments"]), "histogram": Histogram(np.array(h["counts"], np.int64), np.array(h["edges"], float))}))
+def presets() -> dict[str, Options]:
+    return {k: Options.preset(k) for k in ("complete", "data_types", "numeric_stats_disabled", "lower_memory_sketching")}
 
 
 @dataclass
 class Profile:
     columns: dict[str, Column] = field(default_factory=dict)
     rows: dict[str, float] = field(default_factory=dict)
-    correlation: list[tuple[str, str, float]] | None = None
+    correlation: dict[tuple[str, str], float] | None = None
+    replication: dict[tuple[str, str], dict[str, float]] | None = None
+    options: Structured = field(default_factory=Structured)
+    encoding: str | None = None
+    file_type: str | None = None
 
     def __add__(self, o: Profile) -> Profile:
-        """The profile of both tables' rows. How many rows are unique, and correlations, don't follow from the parts."""
-        if self.columns and o.columns and set(self.columns) != set(o.columns):
-            raise ValueError("profiles have different columns")
+        """The profile of both tables' rows. How many rows are unique, and what is imputed, doesn't follow from the parts."""
         if not self.columns or not o.columns:
             return self if self.columns else o
+        if sorted(self.columns) != sorted(o.columns):
+            raise ValueError("profiles have different columns")
+        if self.options.rows.unique != o.options.rows.unique or self.options.null_values != o.options.null_values:
+            raise ValueError("profiles were made with different options for rows or nulls")
         n = self.rows.get("n_rows", 0) + o.rows.get("n_rows", 0)
-        share = lambda k: (self.rows[k] * self.rows["n_rows"] + o.rows[k] * o.rows["n_rows"]) / n if n and k in self.rows and k in o.rows else None
+        share = lambda k: (self.rows[k] * self.rows["n_rows"] + o.rows[k] * o.rows["n_rows"]) / n if n and None not in (self.rows.get(k), o.rows.get(k)) else None
         merged = {k: share(k) for k in ("row_has_null_ratio", "row_is_null_ratio")}
-        return Profile({c: self.columns[c] + o.columns[c] for c in self.columns}, {"n_rows": n} | {k: v for k, v in merged.items() if v is not None})
+        both = {c: self.columns[c] + o.columns[c] for c in self.columns}
+        same = lambda a, b: a if a == b else "multiple files"
+        return Profile(
+            both, {"n_rows": n} | {k: v for k, v in merged.items() if v is not None}, self._correlated(o, both), _replicated(self, o), self.options, same(self.encoding, o.encoding), same(self.file_type, o.file_type)
+        )
+
+    def _correlated(self, o: Profile, both: dict[str, Column]) -> dict[tuple[str, str], float] | None:
+        """Correlations of both parts together, from co-moments; only of pairs that both have, without missing cells."""
+        if self.correlation is None or o.correlation is None or self.correlation.keys() != o.correlation.keys():
+            return None
+        out = {}
+        for (a, b), r in self.correlation.items():
+            x, y, u, v = self.columns[a].moments, self.columns[b].moments, o.columns[a].moments, o.columns[b].moments
+            if a == b:
+                out[a, b] = 1.0
+            elif not (x.n == y.n and u.n == v.n) or None in (r, o.correlation[a, b]):
+                out[a, b] = None
+            else:
+                co = r * math.sqrt(x.m2 * y.m2) + o.correlation[a, b] * math.sqrt(u.m2 * v.m2) + (x.mean - u.mean) * (y.mean - v.mean) * x.n * u.n / (x.n + u.n)
+                whole = both[a].moments.m2 * both[b].moments.m2
+                out[a, b] = co / math.sqrt(whole) if whole > 0 else None
+        return out
 
-    def report(self, output_format: str | None = None, omit_keys: tuple[str, ...] = (), top_k: int | None = None) -> dict[str, object]:
-        """None and "serializable" as it is, "pretty" rounded to 4 digits with short lists, "compact" without histograms, "flat" with joined keys."""
-        out: dict[str, object] = {"global_stats": dict(self.rows) | ({"correlation": self.correlation} if self.correlation else {}), "data_stats": {c: s.report(top_k) for c, s in self.columns.items()}}
+    def chi2(self) -> dict[tuple[str, str], float | None]:
+        """p-values of homogeneity for pairs of categorical columns whose counts are known."""
+        own = {c: s.counts for c, s in self.columns.items() if s.counts is not None and s.counts.values is not None and s.counts.categorical}
+        names = list(own)
+        return {(a, b): matrices.chi2_test(own[a].values, own[a].n, own[b].values, own[b].n)["p-value"] for i, a in enumerate(names) for b in names[i + 1 :]}
+
+    def report(self, output_format: str | None = None, omit_keys: tuple[str, ...] = (), top_k: int | None = None, quantile_groups: int = 4) -> dict[str, object]:
+        """None and "serializable" as it is, "pretty" rounded to 4 digits with short lists, "compact" without histograms
+        and null types, "flat" with joined keys."""
+        top: dict[str, object] = dict(self.rows) | {"column_count": len(self.columns), "encoding": self.encoding, "file_type": self.file_type, "profile_schema": {c: [i] for i, c in enumerate(self.columns)}}
+        if self.correlation is not None:
+            top["correlation_matrix"] = _square(self.correlation, list(self.columns))
+        if self.options.chi2.enabled:
+            top["chi2_matrix"] = _square({**{(c, c): 1.0 for c in self.columns}, **(p := self.chi2()), **{(b, a): v for (a, b), v in p.items()}}, list(self.columns))
+        out = {"global_stats": top, "data_stats": {c: s.report(self.options, top_k) for c, s in self.columns.items()}}
+        for (c, other), figures in (self.replication or {}).items():
+            out["data_stats"][c]["statistics"].setdefault("null_replication_metrics", {})[other] = figures
+        for c, s in self.columns.items():
+            h = (s.numbers if s.data_type in ("int", "float") else s.lengths).histogram
+            if "quantiles" in out["data_stats"][c]["statistics"] and h.total and quantile_groups != 4:
+                out["data_stats"][c]["statistics"]["quantiles"] = dict(enumerate(h.quantile(np.arange(1, quantile_groups) / quantile_groups).tolist()))
         return formatted(out, output_format, omit_keys)
 
     def diff(self, o: Profile) -> dict[str, object]:
-        """Differences of both reports, with tests of the columns that both have."""
-        out: dict[str, object] = {"global_stats": compare.dicts(self.rows, o.rows), "data_stats": {}}
-        for c in self.columns.keys() & o.columns.keys():
-            a, b = self.columns[c], o.columns[c]
-            drop = {"histogram", "mode", "quantiles", "categorical_count"}
-            got = compare.dicts(*({k: v for k, v in x.report().items() if k not in drop} for x in (a, b)))
-            tests: dict[str, object] = {}
-            if a.moments.n and b.moments.n:
-                tests["t-test"] = compare.t_test(a.moments.mean, a.moments.variance(), a.moments.n, b.moments.mean, b.moments.variance(), b.moments.n)
-                tests["psi"] = histogram_psi(a.histogram, b.histogram)
-            if a.values is not None and b.values is not None:
-                tests["chi2-test"] = matrices.chi2_test(a.values, a.cells, b.values, b.cells)
-                tests["categorical_count"] = compare.dicts(a.values, b.values)
-            out["data_stats"][c] = {"diff": got, **tests}
-        return out
+        """Differences of both profiles; of columns, where both have the same ones."""
+        same = sorted(self.columns) == sorted(o.columns)
+        matrix = lambda p: None if p.correlation is None else np.array(_square(p.correlation, list(self.columns)), float)
+        top = {k: compare.numbers(self.rows.get(k), o.rows.get(k)) for k in sorted(self.rows.keys() | o.rows.keys())}
+        top |= {"column_count": compare.numbers(len(self.columns), len(o.columns)), "file_type": compare.values(self.file_type, o.file_type), "encoding": compare.values(self.encoding, o.encoding), "profile_schema": compare.dicts_by_keys({c: i for i, c in enumerate(self.columns)}, {c: i for i, c in enumerate(o.columns)})}
+        if same:
+            top |= {"correlation_matrix": compare.matrices(matrix(self), matrix(o)), "chi2_matrix": compare.dicts({f"{a}|{b}": v for (a, b), v in self.chi2().items()}, {f"{a}|{b}": v for (a, b), v in o.chi2().items()})}
+        return {"global_stats": top, "data_stats": {c: self.columns[c].diff(o.columns[c]) for c in self.columns} if same else {}}
 
     def to_json(self) -> str:
-        return json.dumps({"columns": {c: _plain(s) for c, s in self.columns.items()}, "rows": self.rows, "correlation": self.correlation})
+        pairs = lambda d: d and [[*k, v] for k, v in d.items()]
+        return json.dumps({"class": "Profile", "columns": {c: s.plain() for c, s in self.columns.items()}, "rows": self.rows, "correlation": pairs(self.correlation), "replication": pairs(self.replication), "options": self.options.to_dict(), "encoding": self.encoding, "file_type": self.file_type})
 
     @classmethod
     def from_json(cls, text: str) -> Profile:
         d = json.loads(text)
-        return cls({c: _column(s) for c, s in d["columns"].items()}, d["rows"], d["correlation"] and [tuple(x) for x in d["correlation"]])
+        pairs = lambda x: x and {(a, b): v for a, b, v in x}
+        return cls({c: Column.of(s) for c, s in d["columns"].items()}, d["rows"], pairs(d["correlation"]), pairs(d["replication"]), Structured.of(d["options"]), d["encoding"], d["file_type"])
 
-    def save(self, path: str) -> None:
-        Path(path).write_text(self.to_json())
+    def save(self, path: str, spark: SparkSession | None = None) -> None:
+        """As JSON, through Hadoop's file systems."""
+        put(spark or SparkSession.active(), path, self.to_json())
 
     @classmethod
-    def load(cls, path: str) -> Profile:
-        return cls.from_json(Path(path).read_text())
+    def load(cls, path: str, spark: SparkSession | None = None) -> Profile:
+        return cls.from_json(get(spark or SparkSession.active(), path))
+
+    def update(self, df: DataFrame) -> Profile:
+        """With a further batch of rows."""
+        return self + of(df, self.options)
+
+    @property
+    def most_samples(self) -> int:
+        return max((c.cells for c in self.columns.values()), default=0)
+
+    @property
+    def least_samples(self) -> int:
+        return min((c.cells for c in self.columns.values()), default=0)
+
+
+def put(spark: SparkSession, path: str, text: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(place, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def get(spark: SparkSession, path: str) -> str:
+    rows = spark.read.text(path, wholetext=True).collect()
+    return rows[0][0]
+
+
+def _square(pairs: dict[tuple[str, str], float | None], names: list[str]) -> list[list[float | None]]:
+    return [[pairs.get((a, b)) for b in names] for a in names]
+
+
+def _replicated(one: Profile, two: Profile) -> dict[tuple[str, str], dict[str, float]] | None:
+    """Sums add; priors and means follow from them and the counts."""
+    if one.replication is None or two.replication is None:
+        return None
+    out = {}
+    for key in [*one.replication, *(k for k in two.replication if k not in one.replication)]:
+        c, other = key
+        parts = []
+        for p in (one, two):
+            s = p.columns[c]
+            r = p.replication.get(key)
+            total = p.columns[other].moments.mean * p.columns[other].moments.n
+            parts.append(r or {"sum_null": 0.0, "sum_there": total, "n_null": 0, "n_there": p.columns[other].moments.n} | {"rows": s.n_rows})
+        sums = {k: sum(x.get(k) or 0 for x in parts) for k in ("sum_null", "sum_there", "n_null", "n_there")}
+        n, nulls = one.columns[c].n_rows + two.columns[c].n_rows, one.columns[c].null_count + two.columns[c].null_count
+        out[key] = sums | {"null_prior": nulls / n, "mean_null": sums["sum_null"] / sums["n_null"] if sums["n_null"] else None, "mean_there": sums["sum_there"] / sums["n_there"] if sums["n_there"] else None}
+    return out
 
 
 def formatted(report: dict[str, object], output_format: str | None = None, omit_keys: tuple[str, ...] = ()) -> dict[str, object]:
@@ -174,7 +188,7 @@ def formatted(report: dict[str, object], output_format: str | None = None, omit_
 
     def walk(x: object, path: list[str]) -> object:
         if isinstance(x, dict):
-            gone = {"histogram"} if output_format == "compact" else set()
+            gone = {"histogram", "null_types_count", "correlation_matrix", "chi2_matrix"} if output_format == "compact" else set()
             return {k: walk(v, [*path, str(k)]) for k, v in x.items() if k not in gone and not omitted([*path, str(k)])}
         if output_format == "pretty":
             if isinstance(x, float):
@@ -196,51 +210,235 @@ def flat(x: dict[str, object], separator: str = "_", key: str = "") -> dict[str,
     return out
 
 
-def of(df: DataFrame, options: Options | None = None) -> Profile:
+NUMBER, TIME, TEXT, DATED = range(4)
+
+
+def _kinds(df: DataFrame, names: list[str], o: Structured) -> list[int]:
+    """Whether a column's type tells its cells' kind, or they are texts; dates are looked for in those of which some of the
+    first cells are dates."""
+    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    out = [NUMBER if types[c].startswith(NUMBERS) else TIME if types[c].startswith(("timestamp", "date")) else TEXT for c in names]
+    texts = [c for c, k in zip(names, out, strict=True) if k == TEXT]
+    if o.datetime.enabled and texts:
+        head = df.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in texts]).limit(GUESS).unpivot([], [F.col(f"`{c}`") for c in texts], "c", "x")
+        dated = {r["c"] for r in head.filter(exprs.date_ladder(F.col("x")).isNotNull()).select("c").distinct().collect()}
+        out = [DATED if c in dated else k for c, k in zip(names, out, strict=True)]
+    return out
+
+
+def _unfolded(df: DataFrame, names: list[str], kinds: list[int], o: Structured) -> DataFrame:
+    """(i, kind, text, number, time, fmt, token) of every cell, token being what a missing one has: each expression once."""
+    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    structs = []
+    for i, (c, k) in enumerate(zip(names, kinds, strict=True)):
+        own = F.col(f"`{c}`")
+        number = own.cast("double") if k == NUMBER else F.lit(None).cast("double")
+        time = own.cast("timestamp_ntz") if k == TIME else F.lit(None).cast("timestamp_ntz")
+        structs.append(F.struct(F.lit(i).alias("i"), F.lit(k if types[c] != "date" else 4).alias("kind"), own.cast("string").alias("text"), number.alias("number"), time.alias("time")))
+    long = df.select(F.explode(F.array(*structs)).alias("c")).select("c.*")
+    null = F.col("text").isNull() | F.when(F.col("kind") == NUMBER, F.col("number").isNaN() & F.lit("nan" in o.null_values)).when(F.col("kind").isin(TEXT, DATED), F.col("text").rlike(exprs.null_pattern(tuple(o.null_values)))).otherwise(F.lit(False))
+    long = long.withColumn("token", F.when(null, F.coalesce("text", F.lit("NULL"))))
+    there = F.col("token").isNull()
+    is_text = F.col("kind").isin(TEXT, DATED)
+    long = long.withColumn("number", F.when(there & is_text, exprs.to_double(F.col("text"))).when(there, F.col("number")))
+    if DATED in kinds:
+        long = long.withColumn("date", F.when(there & (F.col("kind") == DATED), exprs.date_ladder(F.col("text"))))
+        long = long.withColumns({"time": F.coalesce("date.time", "time"), "fmt": F.col("date.format")}).drop("date")
+    else:
+        long = long.withColumn("fmt", F.lit(None).cast("string"))
+    if TIME in kinds:  # a timestamp is written in whole seconds, or it has no format that is known
+        whole = F.date_format("time", "SSSSSS") == "000000"
+        typed = F.when(F.col("kind") == 4, "%Y-%m-%d").when((F.col("kind") == TIME) & whole, "%Y-%m-%d %H:%M:%S")
+        long = long.withColumn("fmt", F.when(F.col("time").isNotNull(), F.coalesce("fmt", typed)))
+    return long.withColumn("text", F.when(there, F.col("text")))
+
+
+def _figures(df: DataFrame, names: list[str], kinds: list[int], o: Structured) -> DataFrame:
+    """One row for each column (i) with all that is known of its cells, from one pass."""
+    long = _unfolded(df, names, kinds, o)
+    digits = F.when(F.col("number").isNotNull(), exprs.significant_digits(F.trim("text"))).cast("double") if o.precision.enabled else F.lit(None).cast("double")
+    long = long.withColumns({"digits": digits, "x": exprs.finite(F.col("number")), "size": F.when(F.col("kind").isin(TEXT, DATED), F.length("text")).cast("double")})
+    moments = lambda x, k: [F.count(x).alias(f"{k}n"), F.avg(x).alias(f"{k}mean"), F.var_pop(x).alias(f"{k}v"), F.skewness(x).alias(f"{k}g"), F.kurtosis(x).alias(f"{k}k"), F.min(x).alias(f"{k}low"), F.max(x).alias(f"{k}high")]
+    dated = F.col("fmt").isNotNull()
+    when = F.struct(F.date_format("time", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("t"), F.col("text").alias("raw"))
+    return long.groupBy("i").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count("token").alias("nulls"), F.count("fmt").alias("datetime"), F.count_if(exprs.is_int(F.col("number"))).alias("int"), F.count("number").alias("float"), F.max(F.length("text")).alias("longest"),
+        *moments(F.col("x"), "x"), F.count_if(F.col("x") == 0).alias("zeros"), F.count_if(F.col("x") < 0).alias("negatives"), *moments(F.col("size"), "l"), *moments(F.col("digits"), "p"),
+        F.min(F.when(dated, when)).alias("first_date"), F.max(F.when(dated, when)).alias("last_date"), F.collect_set("fmt").alias("formats"),
+        F.min(F.when(F.col("fmt") == dates.ABBREVIATED, (F.month("time") == 5).cast("int"))).alias("may"), F.approx_count_distinct("text", 0.02).alias("values"),
+    )
+
+
+def _counted(df: DataFrame, names: list[str], kinds: list[int], found: dict[int, dict], o: Structured, numeric: set[int], counted: list[int], stored: dict[int, int]) -> tuple[dict[int, dict[int, int]], dict[int, Counts], dict[int, dict[str, int]]]:
+    """Histogram bins, value counts and null tokens of all columns, from one pass.
+
+    Bins, values and tokens are keys of one aggregation, summed up before they are moved; what reaches the driver are the
+    bins, the tokens, and values of columns with few.
+    """
+    bins: dict[int, dict[int, int]] = {}
+    values: dict[int, dict[str, int]] = {}
+    tokens: dict[int, dict[str, int]] = {}
+    wanted = [i for i in found if i in counted or stored.get(i) or found[i]["nulls"]]
+    if not wanted:
+        return bins, {}, tokens
+    long = _unfolded(df, [names[i] for i in wanted], [k if k != DATED else TEXT for k in (kinds[i] for i in wanted)], o)
+    at = lambda f: F.element_at(F.array(*[F.lit(f(i)) for i in wanted]), F.col("i") + 1)
+    low = at(lambda i: float((found[i]["xlow"] if i in numeric else found[i]["llow"]) or 0.0))
+    high = at(lambda i: float((found[i]["xhigh"] if i in numeric else found[i]["lhigh"]) or 0.0))
+    long = long.withColumns({"x": F.when(at(lambda i: i in numeric), exprs.finite(F.col("number"))).otherwise(F.length("text").cast("double")), "low": low, "high": high, "bins": at(lambda i: stored.get(i, 0))})
+    key = lambda what, k: F.struct(F.lit(what).alias("what"), k.alias("key"))
+    place = exprs.bin_index(F.col("x"), F.col("low"), F.col("high"), F.col("bins")).cast("string")
+    keys = [F.when(F.col("token").isNotNull(), key("t", F.col("token"))), F.when(F.col("text").isNotNull() & at(lambda i: i in counted), key("v", F.col("text"))), F.when((F.col("bins") > 0) & F.col("x").isNotNull(), key("b", place))]
+    each = long.select("i", F.explode(F.array_compact(F.array(*keys))).alias("c")).groupBy("i", "c.what", "c.key").agg(F.count(F.lit(1)).alias("n"))
+    many = [k for k, i in enumerate(wanted) if i in counted and found[i]["values"] > o.category.most_values]
+    if many:  # their values are added up where they are
+        each = each.withColumn("key", F.when((F.col("what") != "v") | ~F.col("i").isin(many), F.col("key")))
+        n = F.col("n").cast("double")
+        each = each.groupBy("i", "what", "key").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("unique"), F.sum(n * n).alias("squares"))
+    out: dict[int, Counts] = {}
+    for r in each.collect():
+        i = wanted[r["i"]]
+        if r["what"] == "b":
+            bins.setdefault(i, {})[int(r["key"])] = r["n"]
+        elif r["what"] == "t":
+            tokens.setdefault(i, {})[r["key"]] = r["n"]
+        elif many and r["i"] in many:
+            out[i] = Counts(r["n"], r["unique"], r["squares"])
+        else:
+            values.setdefault(i, {})[r["key"]] = r["n"]
+    return bins, out | {i: Counts.over(v) for i, v in values.items()}, tokens
+
+
+def _characters(df: DataFrame, columns: list[str], tokens: tuple[str, ...]) -> dict[str, list[str]]:
+    """The characters that columns' cells have: worked out batch by batch, and put together."""
+    if not columns:
+        return {}
+    own = df.select(*[F.when(~exprs.is_null_token(F.col(f"`{c}`").cast("string"), tokens), F.col(f"`{c}`").cast("string")).alias(str(i)) for i, c in enumerate(columns)])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = [np.zeros(0, np.uint32) for _ in columns]
+        for batch in batches:
+            for i in range(len(columns)):
+                data = "".join(x for x in batch.column(i).to_pylist() if x).encode("utf-32-le", "surrogatepass")
+                seen[i] = np.union1d(seen[i], np.frombuffer(data, np.uint32))
+        i = np.repeat(np.arange(len(columns)), [len(s) for s in seen])
+        yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(np.concatenate(seen).astype(np.int32))], names=["i", "c"])
+
+    out: dict[str, list[str]] = {c: [] for c in columns}
+    for i, c in own.mapInArrow(work, "i int, c int").distinct().orderBy("i", "c").collect():  # at most as many as there are characters
+        out[columns[i]].append(chr(c))
+    return out
+
+
+def of(df: DataFrame, options: Options | Structured | None = None, encoding: str | None = None, file_type: str | None = None) -> Profile:
     """The profile of a table, exact, over all rows. An empty table has columns without cells."""
-    o = options or Options()
+    o = options.structured if isinstance(options, Options) else options or Structured()
+    o.check()
     names = [*(o.columns or df.columns)]
+    kinds = _kinds(df, names, o)
+    found = {r["i"]: r.asDict() for r in _figures(df, names, kinds, o).collect()}
     out = {c: Column() for c in names}
-    for r in rows.null_counts(df, names).collect():
-        out[r["column_name"]].n_rows, out[r["column_name"]].null_count = r["n_rows"], r["null_count"] or 0
-    for r in numeric.type_ratios(df, names).collect():
-        c = out[r["column_name"]]
-        c.kinds = {k: round(r[k] * r["n"]) for k in ("datetime", "int", "float")}
-        c.longest = 256 if r["data_type"] == "text" else 255
+    if not found:
+        return Profile(out, {"n_rows": 0}, None, None, o, encoding, file_type)
+    for i, f in found.items():
+        c = out[names[i]]
+        c.n_rows, c.longest = f["n_rows"], f["longest"] or 0
+        c.kinds = {k: f[k] for k in ("datetime", "int", "float")}
+        c.null_types = {"": f["nulls"]} if f["nulls"] else {}
+    numeric = {i for i in found if out[names[i]].data_type in ("int", "float")}
+    textual = {i for i in found if kinds[i] in (TEXT, DATED) and out[names[i]].data_type in ("string", "text")}
+    stored: dict[int, int] = {}
+    for i, f in found.items():
+        c = out[names[i]]
+        moments = lambda k, f=f: Moments.of(f[f"{k}n"], f[f"{k}mean"], f[f"{k}v"], f[f"{k}g"], f[f"{k}k"])
+        if i in numeric:
+            c.numbers = Numbers(moments("x"), f["xlow"], f["xhigh"], f["zeros"], f["negatives"])
+            if c.data_type == "float" and o.precision.enabled:
+                c.precision = Precision(moments("p"), f["plow"] and int(f["plow"]), f["phigh"] and int(f["phigh"]))
+        if i in textual and o.text.enabled:
+            c.lengths = Numbers(moments("l"), f["llow"], f["lhigh"])
+        own = c.numbers if i in numeric else c.lengths
+        if own.moments.n and (o.histogram.enabled or o.mode.enabled or not {"median", "median_abs_deviation"} <= o.numeric.off):
+            methods = [m for m in (o.histogram.method if isinstance(o.histogram.method, (tuple, list)) else (o.histogram.method,)) if m in METHODS and m not in ("fd", "auto")]
+            most = max([STORED_BINS, *[bin_count(m, own.moments.n, own.low, own.high, stddev=own.moments.stddev(False), skew=own.moments.skewness(False)) for m in methods]])
+            stored[i] = o.histogram.method if isinstance(o.histogram.method, int) else min(most, 100_000)
+        if c.data_type == "datetime" and o.datetime.enabled:
+            formats = f["formats"]
+            if f["may"] == 1:
+                formats = list({dates.FULL if x == dates.ABBREVIATED else x for x in formats})
+            c.dates = Dates(f["datetime"], tuple(f["first_date"]), tuple(f["last_date"]), sorted(formats))
+    counted = [i for i in found if o.category.enabled and not _stopped(found[i], o)]
+    bins, values, tokens = _counted(df, names, kinds, found, o, numeric, counted, stored)
+    for i, f in found.items():
+        c = out[names[i]]
+        c.null_types = tokens.get(i, {})
+        if o.category.enabled:
+            c.counts = values.get(i) or Counts(c.cells, min(f["values"], c.cells), math.nan, None, True)
+        if i in bins:
+            own = c.numbers if i in numeric else c.lengths
+            n = 1 if own.low == own.high else stored[i]
+            edges = np.array([own.low, own.high]) if n == 1 and own.low == own.high else np.linspace(own.low, own.high, n + 1)
+            own.histogram = Histogram(np.array([bins[i].get(k, 0) for k in range(n)], np.int64), edges)
+    if o.order.enabled:
+        for c, run in order.runs(df, names).items():
+            out[c].order = order.Run(run.order, _plain(run.first), _plain(run.last))
+    if o.text.enabled and o.text.vocabulary:
+        for c, chars in _characters(df, [names[i] for i in textual], tuple(o.null_values)).items():
+            out[c].characters = chars
+    if o.labeler.enabled:
+        _labelled(df, out, o)
+    for r in df.select(*[F.col(f"`{c}`").cast("string").alias(str(i)) for i, c in enumerate(names)]).limit(5).collect():
+        for i, c in enumerate(names):
+            out[c].samples += [] if r[i] is None else [r[i]]
+    return Profile(out, _row_figures(df, names, o, next(iter(found.values()))["n_rows"]), _correlations(df, out, o), _replications(df, out, names, o), o, encoding, file_type)
+
+
+def _plain(x: object) -> object:
+    return x if x is None or isinstance(x, (int, float, str, bool)) else str(x)
+
+
+def _stopped(f: dict, o: Structured) -> bool:
+    """Whether a column's values are mostly different, so that a sketch of them is enough."""
+    n = f["n_rows"] - f["nulls"]
+    return o.category.sketched or o.category.stop_at is not None and n >= o.category.stop_at and f["values"] >= o.category.stop_ratio * n
+
+
+def _row_figures(df: DataFrame, names: list[str], o: Structured, n_rows: int) -> dict[str, float]:
+    out: dict[str, float] = {"n_rows": n_rows}
+    if not o.rows.enabled:
+        return out
+    if o.rows.unique == "full":
+        return out | rows.row_figures(df, names, tuple(o.null_values)).first().asDict()
+    if o.rows.nulls:
+        out |= rows.row_nulls(df, names, tuple(o.null_values)).first().asDict()
+    return out | rows.unique_rows_sketched(df, names, o.rows.registers).first().asDict()
+
+
+def _correlations(df: DataFrame, out: dict[str, Column], o: Structured) -> dict[tuple[str, str], float] | None:
+    numbers = [c for c, s in out.items() if s.data_type in ("int", "float") and (o.correlation.columns is None or c in o.correlation.columns)]
+    if not o.correlation.enabled or not numbers:
+        return None
+    return {(a, b): r for a, b, r in matrices.correlation(df, numbers).collect()}
+
+
+def _replications(df: DataFrame, out: dict[str, Column], names: list[str], o: Structured) -> dict[tuple[str, str], dict[str, float]] | None:
+    if not o.null_replication.enabled:
+        return None
     numbers = [c for c in names if out[c].data_type in ("int", "float")]
-    if numbers:
-        for r in _moments(df, numbers).collect():
-            c = out[r["column_name"]]
-            c.moments, c.low, c.high, c.zeros, c.negatives = Moments.of(r["n"], r["mean"], r["v"], r["g"], r["k"]), r["low"], r["high"], r["zeros"], r["negatives"]
-        if o.histograms:
-            counted: dict[str, dict[int, int]] = {}
-            for r in numeric.histogram(df, numbers, STORED_BINS).collect():  # at most STORED_BINS rows for each column
-                counted.setdefault(r["column_name"], {})[r["bin"]] = r["n"]
-            for name, bins in counted.items():
-                c = out[name]
-                one = c.low == c.high
-                edges = np.array([c.low, c.high]) if one else np.linspace(c.low, c.high, STORED_BINS + 1)
-                c.histogram = Histogram(np.array([bins.get(i, 0) for i in range(len(edges) - 1)], np.int64), edges)
-    if o.categories:
-        few = categorical.cells(df, names).groupBy("column_name").agg(F.approx_count_distinct("value", 0.02).alias("n")).collect()
-        few = [r["column_name"] for r in few if r["n"] <= o.most_values]
-        if few:
-            for r in categorical.counts(df, few).collect():
-                c = out[r["column_name"]]
-                c.values = (c.values or {}) | {r["value"]: r["n"]}
-    found = rows.row_nulls(df, names).first().asDict()
-    if o.row_statistics:
-        found |= (rows.unique_rows_sketched if o.sketched_rows else rows.unique_rows)(df, names).first().asDict()
-    pairs = [tuple(r) for r in matrices.correlation(df, numbers).collect()] if o.correlation and numbers else None
-    return Profile(out, found, pairs)
-
-
-def _moments(df: DataFrame, columns: list[str]) -> DataFrame:
-    v = numeric.exprs.finite(F.col("value"))
-    return numeric.long_form(df, columns).groupBy("column_name").agg(
-        F.count(v).alias("n"), F.avg(v).alias("mean"), F.var_pop(v).alias("v"), F.skewness(v).alias("g"), F.kurtosis(v).alias("k"), F.min(v).alias("low"), F.max(v).alias("high"),
-        F.count_if(v == 0).alias("zeros"), F.count_if(v < 0).alias("negatives"),
-    )
+    return {(r["column_name"], r["other"]): {k: r[k] for k in ("null_prior", "sum_null", "sum_there", "n_null", "n_there", "mean_null", "mean_there")} for r in matrices.null_replication(df, numbers).collect()} if len(numbers) > 1 else {}
+
+
+def _labelled(df: DataFrame, out: dict[str, Column], o: Structured) -> None:
+    """Labels of at most o.labeler.cells cells of each column, those of the least hashes."""
+    from plumbline.labelers.labeler import Labeler
+
+    labeler = Labeler.from_disk(o.labeler.folder) if o.labeler.folder else Labeler.from_library(o.labeler.name)
+    texts = [c for c in out if out[c].data_type in ("string", "text")]
+    if not texts:
+        return
+    few = df.orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in texts])).limit(o.labeler.cells)
+    for c, label, n in labeler.cells(few, texts).groupBy("column_name", "label").agg(F.count(F.lit(1))).collect():
+        out[c].labels = (out[c].labels or {}) | {label: n}
 
 
 def merged(profiles: list[Profile]) -> Profile:
@@ -248,3 +446,10 @@ def merged(profiles: list[Profile]) -> Profile:
     while len(profiles) > 1:
         profiles = [a + b for a, b in zip(profiles[::2], profiles[1::2], strict=False)] + profiles[len(profiles) // 2 * 2 :]
     return profiles[0] if profiles else Profile()
+
+
+def grouped(df: DataFrame, by: str, numbers: list[str]) -> DataFrame:
+    """(group, column_name, n, mean, stddev, min, max) of numeric columns for each value of a column, in one aggregation."""
+    own = df.select(F.col(f"`{by}`").alias("group"), *[F.col(f"`{c}`").cast("double").alias(c) for c in numbers])
+    long = own.unpivot(["group"], [F.col(f"`{c}`") for c in numbers], "column_name", "v")
+    return long.groupBy("group", "column_name").agg(F.count("v").alias("n"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("stddev"), F.min("v").alias("min"), F.max("v").alias("max"))

@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+import csv
+import io
+import json
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from plumbline import runtime
+from plumbline.labelers import labeler, metrics, models, processors
 from plumbline.operators import categorical, compare, dates, graph, labels, matrices, numeric, order, rows, text, validate
-from plumbline.plans import profile
+from plumbline.plans import graphs, profile
+from plumbline.plans import text as text_profile
+from plumbline.plans.options import Options, Structured
+from plumbline.sources import avro, files
 
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
@@ -132,7 +140,7 @@ def top_k_categories(df: DataFrame) -> DataFrame:
 
 @_query("orders", "SELECT o_custkey::VARCHAR AS value, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) >= (SELECT count(*) FROM orders) / 1000")
 def heavy_hitters(df: DataFrame) -> DataFrame:
-    return categorical.heavy_hitters(df, "o_custkey", 1000)[0]
+    return categorical.heavy_hitters(df, "o_custkey", 1000)
 
 
 @_query("orders", "WITH o AS (SELECT o_orderkey AS a, lag(o_orderkey) OVER (ORDER BY o_orderkey) AS pa, o_totalprice AS b, lag(o_totalprice) OVER (ORDER BY o_orderkey) AS pb FROM orders) SELECT 'o_orderkey' AS column_name, CASE WHEN bool_and(a = pa) THEN 'constant value' WHEN bool_and(a >= pa) THEN 'ascending' WHEN bool_and(a <= pa) THEN 'descending' ELSE 'random' END AS data_order FROM o UNION ALL SELECT 'o_totalprice', CASE WHEN bool_and(b = pb) THEN 'constant value' WHEN bool_and(b >= pb) THEN 'ascending' WHEN bool_and(b <= pb) THEN 'descending' ELSE 'random' END FROM o")
@@ -174,11 +182,13 @@ def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LABELLED = "(SELECT d.doc_id, d.n_chars, d.lang, l.quality, l.toxic FROM documents d LEFT JOIN labels l USING (doc_id))"
 _queries["row_null_ratios"] = lambda spark, sf_dir: _round(rows.row_nulls(_labelled(spark, sf_dir)), row_has_null_ratio=6, row_is_null_ratio=6)
 _sql["row_null_ratios"] = f"SELECT count(*) AS n_rows, round(avg((quality IS NULL OR toxic IS NULL)::INT), 6) AS row_has_null_ratio, 0.0::DOUBLE AS row_is_null_ratio FROM {_LABELLED}"
-_queries["null_types_index"] = lambda spark, sf_dir: rows.null_types(_labelled(spark, sf_dir), ["quality", "lang"], "doc_id").withColumn("rows", F.concat_ws(",", "rows"))
-_sql["null_types_index"] = f"SELECT 'quality' AS column_name, 'NULL' AS token, count(*) AS n, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS rows FROM {_LABELLED} WHERE quality IS NULL HAVING count(*) > 0"
+_queries["null_types"] = lambda spark, sf_dir: rows.null_types(_labelled(spark, sf_dir), ["quality", "lang"])
+_sql["null_types"] = f"SELECT 'quality' AS column_name, 'NULL' AS token, count(*) AS n FROM {_LABELLED} WHERE quality IS NULL HAVING count(*) > 0"
+_queries["null_types_index"] = lambda spark, sf_dir: rows.null_rows(_labelled(spark, sf_dir), ["quality", "lang"], "doc_id")
+_sql["null_types_index"] = f"SELECT 'quality' AS column_name, 'NULL' AS token, doc_id AS row_id FROM {_LABELLED} WHERE quality IS NULL"
 _queries["null_runs"] = lambda spark, sf_dir: rows.null_runs(_labelled(spark, sf_dir), "quality", "doc_id")
 _sql["null_runs"] = f"SELECT min(doc_id) AS start, max(doc_id) AS stop, count(*) AS n FROM (SELECT doc_id, doc_id - row_number() OVER (ORDER BY doc_id) AS g FROM {_LABELLED} WHERE quality IS NULL) GROUP BY g"
-_queries["null_replication"] = lambda spark, sf_dir: _round(matrices.null_replication(_labelled(spark, sf_dir), ["quality", "toxic", "n_chars"]), null_prior=6, mean_null=6, mean_there=6)
+_queries["null_replication"] = lambda spark, sf_dir: _round(matrices.null_replication(_labelled(spark, sf_dir), ["quality", "toxic", "n_chars"]), null_prior=6, mean_null=6, mean_there=6).drop("n_null", "n_there")
 _sql["null_replication"] = " UNION ALL ".join(
     f"SELECT '{a}' AS column_name, '{b}' AS other, round(avg(({a} IS NULL)::INT), 6) AS null_prior, sum({b}) FILTER ({a} IS NULL)::DOUBLE AS sum_null, sum({b}) FILTER ({a} IS NOT NULL)::DOUBLE AS sum_there, round(avg({b}) FILTER ({a} IS NULL), 6) AS mean_null, round(avg({b}) FILTER ({a} IS NOT NULL), 6) AS mean_there FROM {_LABELLED}"
     for a in ("quality", "toxic") for b in ("quality", "toxic", "n_chars") if a != b
@@ -262,7 +272,20 @@ def vocab_count(df: DataFrame) -> DataFrame:
 
 
 _PUNCT = r"[!-/:-@\[-`{-~]+"
-_STOP = ", ".join(f"'{w}'" for w in text.STOP_WORDS)
+_COMMON = """’ve ’s ’re ’m ’ll ’d ‘ve ‘s ‘re ‘m ‘ll ‘d youve yourselves yourself yours youre your you've you're you'll you'd you yet y wouldnt wouldn't wouldn would wont won't won without within with
+    will why whose whom whole whoever who whither while which whether wherever whereupon wherein whereby whereas whereafter where whenever whence when whatever what werent weren't weren were
+    well we wasnt wasn't wasn was via very ve various using used us upon up until unless under two twenty twelve towards toward top too together to thus thru throughout through three though
+    those this third they these thereupon therein therefore thereby thereafter there thence then themselves them theirs their the thatllwas that'll that than ten take t such still somewhere
+    sometimes sometime something someone somehow some so sixty six since side show shoulve shouldve shouldnt shouldn't shouldn should've should shes she's she shan't shan several serious seems
+    seeming seemed seem see say same s regarding really re rather quite put please perhaps per part own over out ourselves ours our otherwise others other or onto only one once on often off of o
+    n’t n‘t nowhere now nothing not nor noone none nobody no nine next nevertheless never neither neednt needn't needn namely n't myself my mustn't mustn must much move mostly most moreover more
+    mine mightve mightnt mightn't mightn might meanwhile me may many make made ma m ll less least latterly latter last keep just itself its it's it isnt isn't isn is into indeed in if i hundred
+    however how his himself him hes herself hers hereupon herein hereby hereafter here her hence he having havent haven't haven have hasnt hasn't hasn has hadn't hadn had go give get further
+    full front from four forty formerly former for five first fifty fifteen few except everywhere everything everyone every ever even enough empty elsewhere else eleven either eight each during
+    due down dont done don't don doing doesn't doesn does do didnt didn't didn did d couldnt couldn't couldn could cant cannot can call ca by but bottom both beyond between besides beside below
+    being behind beforehand before been becoming becomes become because became be back at as around aren't aren are anywhere anyway anything anyone anyhow any another and an amount amongst among
+    am always although also already along alone almost all ain against again afterwards after across above about a 've 's 're 'm 'll 'd"""  # the words that don't count, backwards, as the SQL's own list
+_STOP = ", ".join("'{}'".format(w.replace("'", "''")) for w in _COMMON.split())
 
 
 @_query("documents", f"SELECT word, count(*) AS n FROM (SELECT regexp_replace(w, '^{_PUNCT}|{_PUNCT}$', '', 'g') AS word FROM (SELECT unnest(regexp_split_to_array(text, '\\s+')) AS w FROM documents)) WHERE word <> '' AND lower(word) NOT IN ({_STOP}) GROUP BY word")
@@ -320,10 +343,10 @@ def validator_rules(df: DataFrame) -> DataFrame:
     return validate.Validator().validate(keyed, {"l_quantity": {"range": {"start": 10, "end": 12}}, "l_discount": {"list": [0.0, 0.1]}}, "row")
 
 
-@_query("events", "SELECT event_id, md5(event_id::VARCHAR || ':7') AS place FROM events ORDER BY place, event_id LIMIT 100")
+@_query("events", "SELECT event_id FROM events ORDER BY md5(event_id::VARCHAR || ':7'), event_id LIMIT 100")
 def row_sample(df: DataFrame) -> DataFrame:
     """A seeded sample: the feature is the limit."""
-    return df.select("event_id", F.md5(F.concat(F.col("event_id").cast("string"), F.lit(":7"))).alias("place")).orderBy("place", "event_id").limit(100)
+    return rows.reservoir(df, 100, 7, "event_id").select("event_id")
 
 
 @_query("labels", "SELECT quality, toxic, count(*) AS n FROM labels GROUP BY ALL")
@@ -337,12 +360,268 @@ def entity_counts(df: DataFrame) -> DataFrame:
     return labels.entity_counts(df, "text")
 
 
-@_query("lineitem", " UNION ALL ".join(f"SELECT '{c}' AS column_name, '{k}' AS data_type, count(*) AS n_rows, count(*) - count({c}) AS null_count, round(avg({c}), 6) AS mean, round(stddev_samp({c}), 4) AS stddev FROM lineitem" for c, k in zip(LINE, ("int", "float", "float", "float"), strict=True)))
-def profile_lineitem(df: DataFrame) -> DataFrame:
-    """The figures of a whole profile, one small row for each column."""
-    got = profile.of(df, profile.Options(tuple(LINE)))
-    out = [(c, s.data_type, s.n_rows, s.null_count, round(s.moments.mean, 6), round(s.moments.stddev(), 4)) for c, s in got.columns.items()]
-    return df.sparkSession.createDataFrame(out, "column_name string, data_type string, n_rows bigint, null_count bigint, mean double, stddev double")
+# ---- whole profiles
+
+_LINEITEM = {"l_orderkey": "int", "l_partkey": "int", "l_suppkey": "int", "l_linenumber": "int", "l_quantity": "int", "l_extendedprice": "float", "l_discount": "float", "l_tax": "float", "l_returnflag": "string", "l_linestatus": "string", "l_shipdate": "datetime"}
+_EVENTS = {"event_id": "int", "ts": "string", "user_id": "int", "event_type": "string", "value": "float", "props": "string"}
+_DOCUMENTS = {"doc_id": "int", "text": "text", "lang": "string", "source": "string", "n_chars": "int"}
+FIGURES = "column_name string, data_type string, n_rows bigint, null_count bigint, unique_count bigint, low string, high string, mean double, stddev double, skewness double, kurtosis double, categorical boolean"
+
+
+def _figures(spark: SparkSession, p: profile.Profile) -> DataFrame:
+    """One small row for each column of a profile: of numbers, or of texts' lengths, or the range of dates."""
+    out = []
+    for c, s in p.columns.items():
+        m = s.numbers if s.data_type in ("int", "float") else s.lengths
+        n = m.moments
+        low, high = (s.dates.low[1], s.dates.high[1]) if s.data_type == "datetime" else (None, None)
+        figures = (round(n.mean, 4), round(n.stddev(), 3), round(n.skewness(), 5), round(n.kurtosis(), 5)) if n.n and s.data_type != "datetime" else (None,) * 4
+        out.append((c, s.data_type, s.n_rows, s.null_count, s.counts.unique, low, high, *figures, s.counts.categorical))
+    return spark.createDataFrame(out, FIGURES)
+
+
+def _profile_sql(table: str, kinds: dict[str, str]) -> str:
+    parts = []
+    for c, k in kinds.items():
+        x = {"string": f"length({c})", "text": f"length({c})"}.get(k, c)
+        if k == "datetime" or c == "ts":
+            low, high, figures = f"strftime(min({c}), '%Y-%m-%d %H:%M:%S')", f"strftime(max({c}), '%Y-%m-%d %H:%M:%S')", "NULL::DOUBLE AS mean, NULL::DOUBLE AS stddev, NULL::DOUBLE AS skewness, NULL::DOUBLE AS kurtosis"
+            if c == "ts":
+                low = high = "NULL::VARCHAR"
+        else:
+            low = high = "NULL::VARCHAR"
+            figures = f"round(avg({x}), 4) AS mean, round(stddev_samp({x}), 3) AS stddev, round(CASE WHEN var_pop({x}) = 0 THEN 0 ELSE skewness({x}) END, 5) AS skewness, round(CASE WHEN var_pop({x}) = 0 THEN -3 * pow(count({x}) - 1, 2) / ((count({x}) - 2) * (count({x}) - 3)) ELSE kurtosis({x}) END, 5) AS kurtosis"
+        parts.append(f"SELECT '{c}' AS column_name, '{k}' AS data_type, count(*) AS n_rows, count(*) - count({c}) AS null_count, count(DISTINCT {c}) AS unique_count, {low} AS low, {high} AS high, {figures}, count(DISTINCT {c}) <= 10 OR count(DISTINCT {c}) / count({c}) <= 0.2 AS categorical FROM {table}")
+    return " UNION ALL ".join(parts)
+
+
+def _add(name: str, query: Query, sql: str | None = None) -> None:
+    _queries[name] = query
+    if sql:
+        _sql[name] = sql
+
+
+for _table, _columns in (("lineitem", _LINEITEM), ("events", _EVENTS), ("documents", _DOCUMENTS)):
+    _add(f"profile_{_table}", lambda spark, sf_dir, t=_table: _figures(spark, profile.of(_t(spark, sf_dir, t))), _profile_sql(_table, _columns))
+
+_ORDERS = {"o_orderkey": "int", "o_custkey": "int", "o_orderstatus": "string", "o_totalprice": "float", "o_orderdate": "datetime", "o_orderpriority": "string"}
+
+
+def _half_profiles(spark: SparkSession, sf_dir: str, options: Structured | None = None) -> tuple[profile.Profile, profile.Profile]:
+    return tuple(profile.of(x, options) for x in _halves(_t(spark, sf_dir, "orders")))
+
+
+def _merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Profiles of two halves of a table, saved, loaded and added up: what the profile of the whole says."""
+    one, two = _half_profiles(spark, sf_dir)
+    whole = profile.merged([one, profile.Profile.from_json(two.to_json())])
+    return _figures(spark, whole).drop("unique_count", "categorical")
+
+
+_add("profile_merge", _merged, f"SELECT * EXCLUDE (unique_count, categorical) FROM ({_profile_sql('orders', _ORDERS)})")
+
+
+def _differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Figures that two profiles' difference gives for a table's halves."""
+    d = _half_profiles(spark, sf_dir)
+    got = d[0].diff(d[1])["data_stats"]
+    number = lambda x: 0.0 if x == "unchanged" else float(x)
+    out = [(c, k, round(number(got[c]["statistics"][k]), 3)) for c in ("o_custkey", "o_totalprice") for k in ("sample_size", "min", "max", "mean", "stddev")]
+    out += [(c, k, round(number(got[c]["statistics"][k]), 6)) for c in ("o_orderstatus", "o_orderpriority") for k in ("unique_count", "gini_impurity", "unalikeability", "psi")]
+    return spark.createDataFrame(out, "column_name string, figure string, diff double")
+
+
+_EVEN, _ODD = "FILTER (o_orderkey % 2 = 0)", "FILTER (o_orderkey % 2 <> 0)"
+_DIFF_NUMBERS = " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, '{k}' AS figure, round(({f.format(x=c)} {_EVEN} - {f.format(x=c)} {_ODD})::DOUBLE, 3) AS diff FROM orders"
+    for c in ("o_custkey", "o_totalprice") for k, f in (("sample_size", "count({x})"), ("min", "min({x})"), ("max", "max({x})"), ("mean", "avg({x})"), ("stddev", "stddev_samp({x})"))
+)
+_DIFF_VALUES = " UNION ALL ".join(
+    f"""SELECT '{c}' AS column_name, unnest(['unique_count', 'gini_impurity', 'unalikeability', 'psi']) AS figure, unnest([u, g, n, psi]) AS diff FROM (
+ SELECT round((count(*) FILTER (a > 0) - count(*) FILTER (z > 0))::DOUBLE, 6) AS u, round(sum(pow(z / nz, 2)) - sum(pow(a / na, 2)), 6) AS g,
+ round((na * na - sum(a * a)) / (na * na - na) - (nz * nz - sum(z * z)) / (nz * nz - nz), 6) AS n, round(sum(CASE WHEN a > 0 AND z > 0 THEN (z / nz - a / na) * ln((z / nz) / (a / na)) END), 6) AS psi
+ FROM (SELECT *, sum(a) OVER () AS na, sum(z) OVER () AS nz FROM (SELECT (count(*) {_EVEN})::DOUBLE AS a, (count(*) {_ODD})::DOUBLE AS z FROM orders GROUP BY {c})) GROUP BY na, nz)"""
+    for c in ("o_orderstatus", "o_orderpriority")
+)
+_add("profile_diff", _differences, f"{_DIFF_NUMBERS} UNION ALL {_DIFF_VALUES}")
+
+
+def _merged_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = Structured(columns=tuple(LINE)).set({"correlation.enabled": True, "category.enabled": False, "chi2.enabled": False, "rows.enabled": False, "order.enabled": False})
+    df = _t(spark, sf_dir, "lineitem")
+    one, two = (profile.of(x, own) for x in (df.filter("l_orderkey % 3 = 0"), df.filter("l_orderkey % 3 <> 0")))
+    return spark.createDataFrame([(a, b, round(r, 6)) for (a, b), r in (one + two).correlation.items()], "column_1 string, column_2 string, correlation double")
+
+
+_add("correlation_merge", _merged_correlation, _sql["correlation_matrix"])
+_add("profile_preset_types", lambda spark, sf_dir: spark.createDataFrame([(c, s.data_type) for c, s in profile.of(_t(spark, sf_dir, "customer"), Options.preset("data_types")).columns.items()], "column_name string, data_type string"), "SELECT unnest(['c_custkey', 'c_name', 'c_nationkey', 'c_acctbal', 'c_mktsegment']) AS column_name, unnest(['int', 'string', 'int', 'float', 'string']) AS data_type")
+_add("profile_by_group", lambda spark, sf_dir: _round(profile.grouped(_t(spark, sf_dir, "lineitem"), "l_returnflag", ["l_quantity", "l_tax"]), mean=6, stddev=6), " UNION ALL ".join(f"SELECT l_returnflag AS \"group\", '{c}' AS column_name, count({c}) AS n, round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS stddev, min({c}) AS min, max({c}) AS max FROM lineitem GROUP BY l_returnflag" for c in ("l_quantity", "l_tax")))
+
+
+def _sketched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The preset that sketches: rows are estimated, columns of mostly different values have a sketch alone."""
+    p = profile.of(_t(spark, sf_dir, "orders"), Options.preset("lower_memory_sketching"))
+    return spark.createDataFrame([(c, s.counts.unique, s.counts.estimated, p.rows["unique_rows"]) for c, s in p.columns.items()], "column_name string, unique_count bigint, estimated boolean, unique_rows bigint")
+
+
+_add("profile_sketched", _sketched)
+
+
+def _row_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round(rows.row_figures(_labelled(spark, sf_dir)), row_has_null_ratio=6, row_is_null_ratio=6, unique_row_ratio=6)
+
+
+_add("row_figures", _row_figures, f"SELECT count(*) AS n_rows, round(avg((quality IS NULL OR toxic IS NULL)::INT), 6) AS row_has_null_ratio, 0.0::DOUBLE AS row_is_null_ratio, count(DISTINCT doc_id) AS unique_rows, round(count(DISTINCT doc_id) / count(*), 6) AS unique_row_ratio, count(*) - count(DISTINCT doc_id) AS duplicate_rows FROM {_LABELLED}")
+
+
+def _merged_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of two ranges of rows, put together without knowing which came first."""
+    df = _t(spark, sf_dir, "orders")
+    middle = df.agg(F.avg("o_orderkey")).first()[0]
+    out = []
+    for c in ("o_orderkey", "o_totalprice"):
+        parts = [order.runs(x.repartitionByRange("o_orderkey").sortWithinPartitions("o_orderkey"), [c])[c] for x in (df.filter(F.col("o_orderkey") > middle), df.filter(F.col("o_orderkey") <= middle))]
+        out.append((c, parts[0].merged(parts[1]).order))
+    return spark.createDataFrame(out, "column_name string, data_order string")
+
+
+_add("order_merge", _merged_order, _sql["order_detection"])
+_add("order_of_texts", lambda spark, sf_dir: order.detect(_t(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderkey").cast("string").alias("key"), "o_orderpriority"), ["key", "o_orderpriority"], "o_orderkey"), "SELECT unnest(['key', 'o_orderpriority']) AS column_name, unnest(['ascending', 'random']) AS data_order")
+
+
+def _superset(df: DataFrame) -> DataFrame:
+    one, two = (categorical.counts(x, ["o_clerk"]) for x in (df.filter("o_orderkey % 3 = 0"), df.filter("o_orderkey % 3 = 1")))
+    return categorical.superset(one, two)
+
+
+_add("category_superset", lambda spark, sf_dir: _superset(_t(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("o_clerk"))), "SELECT o_custkey::VARCHAR AS value, count(*) FILTER (o_orderkey % 3 = 0) AS n1, count(*) FILTER (o_orderkey % 3 = 1) AS n2 FROM orders WHERE o_orderkey % 3 <= 1 GROUP BY ALL")
+
+
+def _merged_hitters(df: DataFrame) -> DataFrame:
+    one, two = (categorical.counts(x, ["o_custkey"]).drop("column_name") for x in _halves(df))
+    return categorical.merged_heavy_hitters(one, two, df.count(), 1000)
+
+
+_add("heavy_hitters_merge", lambda spark, sf_dir: _merged_hitters(_t(spark, sf_dir, "orders")), _sql["heavy_hitters"])
+
+
+def _sketched_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts by two merged sketches beside the exact ones, which they never fall below."""
+    df = _t(spark, sf_dir, "orders")
+    both = categorical.merged_sketches(spark, *(categorical.sketch(x, "o_orderpriority", 0.99, 0.001) for x in _halves(df)))
+    exact = categorical.counts(df, ["o_orderpriority"]).collect()
+    return spark.createDataFrame([(r["value"], r["n"], categorical.sketched_count(spark, both, r["value"])) for r in exact], "value string, n bigint, estimate bigint")
+
+
+_add("count_min_merge", _sketched_counts, "SELECT o_orderpriority AS value, count(*) AS n, count(*) AS estimate FROM orders GROUP BY ALL")
+
+
+# ---- texts and graphs
+
+_WORD_SQL = "(SELECT {key}regexp_replace(w, '^{p}|{p}$', '', 'g') AS word FROM (SELECT {key}unnest(regexp_split_to_array(text, '\\s+')) AS w FROM conversations {where}))"
+
+
+def _text_halves(spark: SparkSession, sf_dir: str) -> tuple[text_profile.TextProfile, text_profile.TextProfile]:
+    df = _t(spark, sf_dir, "conversations")
+    return text_profile.of(df.filter("role = 'user'").select("text")), text_profile.of(df.filter("role <> 'user'").select("text"))
+
+
+def _merged_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    one, two = _text_halves(spark, sf_dir)
+    both = one + two
+    chars = spark.createDataFrame([("char", c, n) for c, n in both.vocab_count.items()], "kind string, key string, n bigint")
+    return chars.unionByName(both.word_frame.select(F.lit("word").alias("kind"), F.col("word").alias("key"), "n"))
+
+
+_add("text_profile_merge", _merged_text, f"SELECT 'word' AS kind, word AS key, count(*) AS n FROM {_WORD_SQL.format(key='', p=_PUNCT, where='')} WHERE word <> '' AND lower(word) NOT IN ({_STOP}) GROUP BY word UNION ALL SELECT 'char', c, count(*) FROM (SELECT unnest(string_split(text, '')) AS c FROM conversations WHERE NOT regexp_full_match(text, '\\s*')) WHERE c <> '' GROUP BY c")
+_add("text_profile_diff", lambda spark, sf_dir: (lambda p: p[0].word_diff(p[1]))(_text_halves(spark, sf_dir)), f"SELECT word, nullif(count(*) FILTER (u), 0) AS n1, nullif(count(*) FILTER (NOT u), 0) AS n2, count(*) FILTER (u) - count(*) FILTER (NOT u) AS diff FROM (SELECT u, word FROM {_WORD_SQL.format(key='u, ', p=_PUNCT, where='').replace('FROM conversations', 'FROM (SELECT text, role = ' + chr(39) + 'user' + chr(39) + ' AS u FROM conversations)').replace('SELECT u, unnest', 'SELECT u, unnest')}) WHERE word <> '' AND lower(word) NOT IN ({_STOP}) GROUP BY word")
+
+
+def _weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges between parts and suppliers with their last line's price and number."""
+    line = _t(spark, sf_dir, "lineitem").select((F.col("l_partkey") + 1_000_000).alias("s"), F.col("l_suppkey").alias("t"), F.col("l_extendedprice").alias("price"), F.col("l_linenumber").cast("double").alias("number"), F.struct("l_orderkey", "l_linenumber", "l_extendedprice").alias("at"))
+    return graph.edges(line, "s", "t", ["price", "number"], "at")
+
+
+def _graph_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = graphs.of(_weighted(spark, sf_dir).withColumn("price", F.col("price") + 0.5))
+    mean, variance, *_ = p.continuous_distribution["price"]["properties"]
+    return spark.createDataFrame([(p.num_nodes, p.num_edges, round(p.avg_node_degree, 6), round(mean, 3), round(variance / 1e6, 4), sum(p.categorical_distribution["number"]["bin_counts"]))], "num_nodes bigint, num_edges bigint, avg_node_degree double, mean double, variance double, numbered bigint")
+
+
+_EDGES = "(SELECT s, t, arg_max(price, seq) AS price FROM (SELECT l_partkey + 1000000 AS s, l_suppkey AS t, l_extendedprice + 0.5 AS price, {'a': l_orderkey, 'b': l_linenumber, 'c': l_extendedprice} AS seq FROM lineitem) GROUP BY s, t)"
+_add("graph_profile", _graph_profile, f"SELECT (SELECT count(*) FROM (SELECT s FROM {_EDGES} UNION SELECT t FROM {_EDGES})) AS num_nodes, count(*) AS num_edges, round(2 * count(*) / (SELECT count(*) FROM (SELECT s FROM {_EDGES} UNION SELECT t FROM {_EDGES})), 6) AS avg_node_degree, round(avg(price), 3) AS mean, round(var_pop(price) / 1e6, 4) AS variance, count(*) AS numbered FROM {_EDGES}")
+
+
+def _paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's events in a row: components that are long paths."""
+    e = _t(spark, sf_dir, "events").select("user_id", "event_id").filter("user_id is not null")
+    after = e.select(F.col("event_id").alias("s"), F.lead("event_id").over(Window.partitionBy("user_id").orderBy("event_id")).alias("t")).filter("t is not null")
+    return graph.components(graph.edges(after, "s", "t"))
+
+
+_add("graph_path_components", _paths, "SELECT event_id AS node, min(event_id) OVER (PARTITION BY user_id) AS component FROM events WHERE user_id IS NOT NULL QUALIFY count(*) OVER (PARTITION BY user_id) > 1")
+
+
+# ---- readers and records
+
+def _written(spark: SparkSession, name: str, data: bytes) -> str:
+    path = runtime.new_path(spark, name)
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(place)
+    out.write(bytearray(data))
+    out.close()
+    return path
+
+
+def _nations(spark: SparkSession, sf_dir: str) -> list[tuple]:
+    return [tuple(map(str, r)) for r in _t(spark, sf_dir, "nation").orderBy("n_nationkey").collect()]
+
+
+_NATION_SQL = "SELECT n_nationkey::VARCHAR AS n_nationkey, n_name AS n_name, n_regionkey::VARCHAR AS n_regionkey FROM nation"
+
+
+def _csv_text(rows: list[tuple], delimiter: str, title: str = "") -> str:
+    out = io.StringIO()
+    csv.writer(out, delimiter=delimiter, quoting=csv.QUOTE_NONNUMERIC).writerows([("n_nationkey", "n_name", "n_regionkey"), *rows])
+    return title + out.getvalue()
+
+
+_add("csv_source", lambda spark, sf_dir: files.Source(spark, _written(spark, "csv", _csv_text(_nations(spark, sf_dir), ";").encode("utf-16"))).data, _NATION_SQL)
+_add("csv_source_titled", lambda spark, sf_dir: files.Source(spark, _written(spark, "csv", _csv_text([(a, f"{b}\nof old", c) for a, b, c in _nations(spark, sf_dir)], "|", "All nations\r\n").encode())).data, _NATION_SQL.replace("n_name AS", "n_name || chr(10) || 'of old' AS"))
+_add("json_source", lambda spark, sf_dir: files.Source(spark, _written(spark, "json", "".join(json.dumps({"n_nationkey": int(a), "n": {"name": b, "regionkey": c}}) + "\n" for a, b, c in _nations(spark, sf_dir)).encode())).data, _NATION_SQL.replace("AS n_name", 'AS "n.name"').replace("AS n_regionkey", 'AS "n.regionkey"'))
+_add("json_payload", lambda spark, sf_dir: files.Source(spark, _written(spark, "json", json.dumps({"count": 25, "data": [{"key": a, "at": {"name": b}} for a, b, _ in _nations(spark, sf_dir)]}, indent=1).encode())).data_and_metadata.select(F.col("`data.key`"), F.col("`data.at.name`")), 'SELECT n_nationkey::VARCHAR AS "data.key", n_name AS "data.at.name" FROM nation')
+_add("avro_source", lambda spark, sf_dir: files.Source(spark, _written(spark, "avro", avro.packed([{"n_nationkey": a, "n": {"name": b}} for a, b, _ in _nations(spark, sf_dir)]))).data, 'SELECT n_nationkey::VARCHAR AS n_nationkey, n_name AS "n.name" FROM nation')
+_add("parquet_source", lambda spark, sf_dir: files.Source(spark, f"{sf_dir}/nation.parquet").data, _NATION_SQL)
+_add("text_source", lambda spark, sf_dir: files.Source(spark, _written(spark, "text", "".join(f"the nation is {b}\n" for _, b, _ in _nations(spark, sf_dir)).encode("latin-1")), options=files.ReadOptions("text")).data, "SELECT 'the nation is ' || n_name AS value FROM nation")
+_add("graph_source", lambda spark, sf_dir: files.Source(spark, _written(spark, "graph", ("node_id_src,node_id_dst,weight\n" + "".join(f"{int(a) + 100},{c},{a}.5\n" for a, _, c in _nations(spark, sf_dir))).encode())).edges(), "SELECT least((n_nationkey + 100)::VARCHAR, n_regionkey::VARCHAR) AS u, greatest((n_nationkey + 100)::VARCHAR, n_regionkey::VARCHAR) AS v, n_nationkey + 0.5::DOUBLE AS weight FROM nation")
+_add("json_records", lambda spark, sf_dir: files.Source(spark, f"{sf_dir}/nation.parquet").records(), "SELECT to_json({'n_nationkey': n_nationkey::VARCHAR, 'n_name': n_name, 'n_regionkey': n_regionkey::VARCHAR})::VARCHAR AS value FROM nation")
+_add("csv_records", lambda spark, sf_dir: files.Source(spark, None, _t(spark, sf_dir, "nation")).records(), "SELECT 'n_nationkey,n_name,n_regionkey' AS value UNION ALL SELECT n_nationkey || ',' || n_name || ',' || n_regionkey FROM nation")
+_add("text_pieces", lambda spark, sf_dir: files.Source(spark, None, _t(spark, sf_dir, "documents").select("text"), files.ReadOptions(samples_per_line=500)).text(), "SELECT substr(text, (k * 500 + 1)::BIGINT, 500) AS value FROM (SELECT text, unnest(range(0, greatest(1, ceil(length(text) / 500))::BIGINT)) AS k FROM documents)")
+_add("json_flatten", lambda spark, sf_dir: rows.flatten_json(_t(spark, sf_dir, "events"), "props", {"k": "bigint", "none": "string"}, ["event_id"]), "SELECT event_id, try_cast(json_extract_string(props, '$.k') AS BIGINT) AS k, json_extract_string(props, '$.none') AS none FROM events")
+
+
+# ---- labelers
+
+def _digits() -> labeler.Labeler:
+    model = models.RegexModel(None, {"patterns": {"NUMBER": ["[0-9]{4,}"]}, "before": "", "after": ""})
+    return labeler.Labeler.from_components(processors.DirectPass(), model, processors.RegexPostprocessor())
+
+
+_add("labeler_entities", lambda spark, sf_dir: _digits().entities(_t(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", "label", "entity"), "SELECT doc_id, 'NUMBER' AS label, unnest(regexp_extract_all(text, '[0-9]{4,}')) AS entity FROM documents")
+_add("labeler_cells", lambda spark, sf_dir: labeler.Labeler.from_library("structured_regex").cells(_t(spark, sf_dir, "orders").select(F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"), "o_orderstatus"), ["day", "o_orderstatus"]).groupBy("column_name", "label").agg(F.count(F.lit(1)).alias("n")), "SELECT unnest(['day', 'o_orderstatus']) AS column_name, unnest(['DATETIME', 'UNKNOWN']) AS label, count(*) AS n FROM orders")
+_add("entity_levels", lambda spark, sf_dir: text_profile.entity_levels(_t(spark, sf_dir, "documents"), "text", _digits()).filter("label = 'NUMBER'"), "SELECT unnest(['word_count', 'true_char_count', 'postprocess_char_count']) AS level, 'NUMBER' AS label, unnest([count(*), sum(length(x)), sum(length(x))])::BIGINT AS n FROM (SELECT unnest(regexp_extract_all(text, '[0-9]{4,}')) AS x FROM documents)")
+
+
+def _report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Precision, recall and F1 of one label as a guess at the other."""
+    df = _t(spark, sf_dir, "labels").select(F.col("quality").cast("string").alias("q"), (1 - F.col("toxic")).cast("string").alias("t"))
+    figures = metrics.report(metrics.matrix(metrics.confusion(df, "q", "t"), ["0", "1"]), ["0", "1"])
+    return spark.createDataFrame([(k, round(figures[k]["precision"], 6), round(figures[k]["recall"], 6), round(figures[k]["f1-score"], 6), figures[k]["support"]) for k in ("0", "1")], "label string, precision double, recall double, f1 double, support bigint")
+
+
+_add("classification_report", _report, " UNION ALL ".join(f"SELECT '{k}' AS label, round(h / m, 6) AS precision, round(h / s, 6) AS recall, round(2 * h / (m + s), 6) AS f1, s AS support FROM (SELECT count(*) FILTER (quality = {k} AND 1 - toxic = {k}) AS h, count(*) FILTER (1 - toxic = {k}) AS m, count(*) FILTER (quality = {k}) AS s FROM labels)" for k in (0, 1)))
+_add("column_name_labels", lambda spark, sf_dir: spark.createDataFrame([(c, label) for c, (label, _) in labeler.Labeler.from_library("column_name").predict(["email_address", "SSN", "c_name", "file_name", "ip-address", *_t(spark, sf_dir, "lineitem").columns]).items()], "column_name string, label string"), "SELECT unnest(['email_address', 'SSN', 'ip-address']) AS column_name, unnest(['EMAIL_ADDRESS', 'SSN', 'IPV4']) AS label")
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,9 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from plumbline.plans import profile
+from plumbline.plans.options import Options, Structured
 
 
-def updater(folder: str, options: profile.Options | None = None) -> Callable[[DataFrame, int], None]:
+def updater(folder: str, options: Options | Structured | None = None) -> Callable[[DataFrame, int], None]:
     """A foreachBatch function that writes each batch's state below `folder`, which all nodes share."""
 
     def update(batch: DataFrame, batch_id: int) -> None:
@@ -25,7 +26,7 @@ def updater(folder: str, options: profile.Options | None = None) -> Callable[[Da
     return update
 
 
-def start(stream: DataFrame, folder: str, checkpoint: str, options: profile.Options | None = None, available_now: bool = False) -> StreamingQuery:
+def start(stream: DataFrame, folder: str, checkpoint: str, options: Options | Structured | None = None, available_now: bool = False) -> StreamingQuery:
     writer = stream.writeStream.foreachBatch(updater(folder, options)).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
