@@ -38,7 +38,7 @@ SURE = 200
 RELABEL = 12.0
 #: Words that a worker remembers, and cells (words times places) that go through the forward algorithm side by side.
 CACHE = 200_000
-CELLS = 200_000
+CELLS = 40_000
 #: Log probability of a character that is no piece, for each of its bytes.
 BYTE = float(np.log(1e-6))
 
@@ -263,7 +263,7 @@ def scorer(model: Model, df: DataFrame) -> object:
             out = [_scored(model, *part.flatten()) for part in slices(pa.StructArray.from_arrays([texts, declared], ["t", "d"]), texts)]
             yield pa.concat_arrays(out) if out else _scored(model, texts, declared)
 
-    return work
+    return work.asNondeterministic()  # so that a filter on its result doesn't score texts once more
 
 
 def _scored(model: Model, texts: pa.Array, declared: pa.Array) -> pa.Array:
