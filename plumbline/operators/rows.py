@@ -80,6 +80,22 @@ def null_runs(df: DataFrame, column: str, row_id: str, block: int = 1_000_000) -
     return runs.select("start", "stop", (F.col("stop") - F.col("start") + 1).alias("n"))
 
 
+def sample_size(n: int, ratio: float = 0.2, least: int = 5000) -> int:
+    """How many of n rows a sampled profile looks at: all of few, else a share of them, `least` at the least."""
+    return n if n <= least else max(int(ratio * n), least)
+
+
+def shuffled(df: DataFrame, seed: int = 0) -> DataFrame:
+    """The rows in random order, the same for the same seed and partitions."""
+    return df.orderBy(F.rand(seed))
+
+
+def sampled(df: DataFrame, ratio: float = 0.2, least: int = 5000, seed: int = 0) -> DataFrame:
+    """About sample_size() of the rows, for profiles that needn't be exact."""
+    n = df.count()
+    return df if n <= least else df.sample(min(1.0, sample_size(n, ratio, least) / n), seed)
+
+
 def reservoir(df: DataFrame, n: int, seed: int = 0, key: str | None = None) -> DataFrame:
     """n random rows, the same for the same seed: by the hash of `key`, or by a seeded random number for each row."""
     order = F.md5(F.concat(F.col(f"`{key}`").cast("string"), F.lit(f":{seed}"))) if key else F.rand(seed)

@@ -20,7 +20,7 @@ from plumbline.functions.moments import Moments
 from plumbline.functions.texts import significant, union
 from plumbline.operators import compare, matrices
 from plumbline.operators.order import Run
-from plumbline.plans.options import NUMERIC, Structured
+from plumbline.plans.options import NUMERIC, Structured, plugins
 
 
 def either(f: Callable, a: object, b: object) -> object:
@@ -203,13 +203,16 @@ class Column:
     characters: list[str] | None = None
     counts: Counts | None = None
     labels: dict[str, int] | None = None
+    custom: dict[str, object] = field(default_factory=dict)
 
     def __add__(self, o: Column) -> Column:
+        own = plugins("column")
+        custom = {k: either(lambda x, k=k: own[k]().merge(*x) if len(x) == 2 else x[0], v, o.custom[k]) for k, v in self.custom.items() if k in o.custom}
         counts = self.counts + o.counts if self.counts is not None and o.counts is not None else None
         return Column(
             self.n_rows + o.n_rows, summed(self.null_types, o.null_types), summed(self.kinds, o.kinds), max(self.longest, o.longest), (self.samples or o.samples)[:5], self.numbers + o.numbers, self.lengths + o.lengths,
             self.precision + o.precision, self.dates + o.dates, self.order.merged(o.order), None if self.characters is None or o.characters is None else sorted(union(self.characters, o.characters)), counts,
-            None if self.labels is None or o.labels is None else summed(self.labels, o.labels),
+            None if self.labels is None or o.labels is None else summed(self.labels, o.labels), custom,
         )
 
     @property
@@ -266,6 +269,7 @@ class Column:
             n = max(1, sum(self.labels.values()))
             out |= {"data_label": self.data_label, "data_label_representation": {k: v / n for k, v in sorted(self.labels.items())}}
         out["statistics"] = self.typed(o) | (self.counts.report(top_k or o.category.top_k) if self.counts is not None else {})
+        out["statistics"] |= {k: plugins("column")[k]().finish(v) for k, v in self.custom.items()}
         out["statistics"] |= {"sample_size": self.n_rows, "null_count": self.null_count, "null_ratio": self.null_count / self.n_rows if self.n_rows else 0.0, "null_types": sorted(self.null_types), "null_types_count": dict(sorted(self.null_types.items())), "data_type_representation": self.ratios}
         return out
 
@@ -291,7 +295,7 @@ class Column:
         return out | {"statistics": own}
 
     def plain(self) -> dict:
-        own = {k: v for k, v in vars(self).items() if k in ("n_rows", "null_types", "kinds", "longest", "samples", "characters", "labels")}
+        own = {k: v for k, v in vars(self).items() if k in ("n_rows", "null_types", "kinds", "longest", "samples", "characters", "labels", "custom")}
         return own | {"numbers": self.numbers.plain(), "lengths": self.lengths.plain(), "precision": {"moments": vars(self.precision.moments), "low": self.precision.low, "high": self.precision.high}, "dates": vars(self.dates), "order": vars(self.order), "counts": self.counts and vars(self.counts)}
 
     @classmethod

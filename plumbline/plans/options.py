@@ -8,9 +8,13 @@ from __future__ import annotations
 
 import fnmatch
 import json
+import warnings
+from abc import ABC, abstractmethod
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, field, fields, is_dataclass
 
+from pyspark.sql import Column
+
 from plumbline.functions.exprs import NULL_TOKENS
 from plumbline.functions.histograms import METHODS
 
@@ -204,9 +208,30 @@ class Structured(Settable):
     correlation: Correlation = field(default_factory=Correlation)
     null_replication: Switch = field(default_factory=lambda: Switch(False))
     labeler: LabelerOptions = field(default_factory=LabelerOptions)
+    #: Names of statistics of one's own, plugins of kind `column`.
+    custom: tuple = ()
 
     def own_errors(self) -> list[str]:
-        return ["chi2 needs category"] if self.chi2.enabled and not self.category.enabled else []
+        out = ["chi2 needs category"] if self.chi2.enabled and not self.category.enabled else []
+        return out + [f"no plugin of kind column is called {n}" for n in self.custom if n not in PLUGINS.get("column", {})]
+
+    def common(self, o: Structured) -> Structured:
+        """What both compute; warns of statistics that only one of them does."""
+        out, mine, other = type(self).of(self.to_dict()), self.to_dict(), o.to_dict()
+
+        def both(a: dict, b: dict, at: Settable, path: str) -> None:
+            for k, v in a.items():
+                if isinstance(v, dict):
+                    both(v, b[k], getattr(at, k), f"{path}{k}.")
+                elif isinstance(v, bool) and v != b[k]:
+                    warnings.warn(f"{path}{k} is on in one profile only and isn't merged", RuntimeWarning, stacklevel=4)
+                    setattr(at, k, False)
+
+        both(mine, other, out, "")
+        out.custom = tuple(n for n in self.custom if n in o.custom)
+        if not out.category.enabled:
+            out.chi2.enabled = False
+        return out
 
     def enabled(self) -> list[str]:
         """The statistics that are asked for."""
@@ -233,6 +258,23 @@ class Unstructured(Settable):
 PLUGINS: dict[str, dict[str, Callable]] = {}
 
 
+class ColumnStatistic(ABC):
+    """A statistic of one's own, as a plugin of kind `column`: an aggregation whose results add up.
+
+    A profile takes it from an instance of the class; aggregate() gives Spark's aggregation of a column of texts (nulls
+    where cells are missing), merge() puts two results together, and finish() makes of a result what reports show.
+    """
+
+    @abstractmethod
+    def aggregate(self, column: Column) -> Column: ...
+
+    @abstractmethod
+    def merge(self, a: object, b: object) -> object: ...
+
+    def finish(self, x: object) -> object:
+        return x
+
+
 def plugin(kind: str, name: str) -> Callable[[Callable], Callable]:
     """Registers a function of a kind; those of kind `preset` change an options object."""
 

@@ -23,7 +23,7 @@ from plumbline.functions.histograms import METHODS, STORED_BINS, Histogram, bin_
 from plumbline.functions.moments import Moments
 from plumbline.operators import compare, dates, matrices, order, rows
 from plumbline.plans.column import Column, Counts, Dates, Numbers, Precision
-from plumbline.plans.options import Options, Structured
+from plumbline.plans.options import Options, Structured, plugins
 
 GUESS = 200
 NUMBERS = ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")
@@ -51,13 +51,16 @@ class Profile:
             raise ValueError("profiles have different columns")
         if self.options.rows.unique != o.options.rows.unique or self.options.null_values != o.options.null_values:
             raise ValueError("profiles were made with different options for rows or nulls")
+        if self.options.labeler != o.options.labeler:
+            raise ValueError("profiles were made with different labelers")
+        common = self.options.common(o.options)
         n = self.rows.get("n_rows", 0) + o.rows.get("n_rows", 0)
         share = lambda k: (self.rows[k] * self.rows["n_rows"] + o.rows[k] * o.rows["n_rows"]) / n if n and None not in (self.rows.get(k), o.rows.get(k)) else None
         merged = {k: share(k) for k in ("row_has_null_ratio", "row_is_null_ratio")}
         both = {c: self.columns[c] + o.columns[c] for c in self.columns}
         same = lambda a, b: a if a == b else "multiple files"
         return Profile(
-            both, {"n_rows": n} | {k: v for k, v in merged.items() if v is not None}, self._correlated(o, both), _replicated(self, o), self.options, same(self.encoding, o.encoding), same(self.file_type, o.file_type)
+            both, {"n_rows": n} | {k: v for k, v in merged.items() if v is not None}, self._correlated(o, both), _replicated(self, o), common, same(self.encoding, o.encoding), same(self.file_type, o.file_type)
         )
 
     def _correlated(self, o: Profile, both: dict[str, Column]) -> dict[tuple[str, str], float] | None:
@@ -387,6 +390,11 @@ def of(df: DataFrame, options: Options | Structured | None = None, encoding: str
             out[c].characters = chars
     if o.labeler.enabled:
         _labelled(df, out, o)
+    if o.custom:
+        own = [(c, k) for c in names for k in o.custom]
+        cell = lambda c: F.when(~exprs.is_null_token(F.col(f"`{c}`").cast("string"), tuple(o.null_values)), F.col(f"`{c}`").cast("string"))
+        for (c, k), x in zip(own, df.agg(*[plugins("column")[k]().aggregate(cell(c)).alias(str(i)) for i, (c, k) in enumerate(own)]).first(), strict=True):
+            out[c].custom[k] = x
     for r in df.select(*[F.col(f"`{c}`").cast("string").alias(str(i)) for i, c in enumerate(names)]).limit(5).collect():
         for i, c in enumerate(names):
             out[c].samples += [] if r[i] is None else [r[i]]

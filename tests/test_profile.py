@@ -6,9 +6,10 @@ import json
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from plumbline import runtime
-from plumbline.operators import graph, labels
+from plumbline.operators import graph, labels, rows
 from plumbline.plans import factory, graphs, options, profile, text
 from plumbline.plans.options import Options, Structured
 from plumbline.reports import plots
@@ -126,6 +127,39 @@ def test_options(orders) -> None:
     assert "only_types" in options.plugins("preset") and options.load_plugins() == []
 
 
+def test_custom_statistic_and_merged_options(orders) -> None:
+    @options.plugin("column", "letters")
+    class Letters(options.ColumnStatistic):
+        def aggregate(self, column):
+            return F.sum(F.length(column))
+
+        def merge(self, a, b):
+            return a + b
+
+        def finish(self, x):
+            return {"total": x}
+
+    o = Structured(custom=("letters",))
+    even, odd = (profile.of(orders.filter(f"o_orderkey % 2 = {k}"), o) for k in (0, 1))
+    whole = profile.of(orders, o)
+    assert (even + odd).columns["o_orderstatus"].custom == whole.columns["o_orderstatus"].custom == {"letters": orders.count()}
+    assert profile.Profile.from_json(whole.to_json()).report()["data_stats"]["o_orderstatus"]["statistics"]["letters"] == {"total": orders.count()}
+    with pytest.warns(RuntimeWarning):
+        both = even + profile.of(orders.filter("o_orderkey % 2 = 1"), Structured(custom=("letters",)).set({"numeric.min": False}))
+    assert "min" not in both.report()["data_stats"]["o_totalprice"]["statistics"]
+    with pytest.raises(ValueError):
+        even + profile.of(orders, Structured().set({"labeler.cells": 5}))
+    with pytest.raises(ValueError):
+        Structured(custom=("none",)).check()
+
+
+def test_samples(spark) -> None:
+    assert rows.sample_size(100) == 100 and rows.sample_size(10_000) == 5000 and rows.sample_size(100_000) == 20_000
+    df = spark.range(20_000)
+    assert 4000 < rows.sampled(df).count() < 6000 and rows.sampled(df.limit(10)).count() == 10
+    assert [r[0] for r in rows.shuffled(spark.range(50), 1).collect()] != list(range(50))
+
+
 def test_factory(spark, sf_dir, tmp_path) -> None:
     assert factory.profiler(files.Source(spark, f"{sf_dir}/nation.parquet")).file_type == "parquet"
     assert factory.profiler([{"a": 1}, {"a": 2}], spark=spark).columns["a"].data_type == "int"
