@@ -17,6 +17,7 @@ from plumbline.plans import graphs, profile
 from plumbline.plans import text as text_profile
 from plumbline.plans.options import Options, Structured
 from plumbline.sources import avro, files
+from plumbline.streaming import incremental
 
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
@@ -223,9 +224,10 @@ def chi2_homogeneity(df: DataFrame) -> DataFrame:
     return _round(matrices.homogeneity(df, ["o_orderstatus", "o_orderpriority"]), statistic=4)
 
 
-@_query("lineitem")
+@_query("lineitem", f"SELECT *, CASE WHEN statistic > 2000 THEN 0.0::DOUBLE END AS p_value FROM ({_chi2_sql(['l_returnflag', 'l_linestatus', 'l_linenumber'], 'lineitem')})")
 def chi2_matrix(df: DataFrame) -> DataFrame:
-    return matrices.chi2_matrix(df, ["l_returnflag", "l_linestatus", "l_linenumber"])
+    """These columns are nothing alike: the chance of such statistics is 0 to any number of digits."""
+    return _round(matrices.chi2_matrix(df, ["l_returnflag", "l_linestatus", "l_linenumber"]), statistic=4, p_value=12)
 
 
 def _halves(df: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -516,6 +518,75 @@ def _sketched_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 _add("count_min_merge", _sketched_counts, "SELECT o_orderpriority AS value, count(*) AS n, count(*) AS estimate FROM orders GROUP BY ALL")
 
 
+def _flat_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A report's figures by their joined keys."""
+    flat = profile.of(_t(spark, sf_dir, "customer")).report("flat")
+    names = [f"data_stats_c_acctbal_statistics_{k}" for k in ("min", "max", "mean", "stddev", "num_negatives", "null_count", "precision_max")] + ["global_stats_n_rows", "global_stats_unique_rows", "data_stats_c_name_statistics_unique_count"]
+    return spark.createDataFrame([(k, round(float(flat[k]), 4)) for k in names], "key string, value double")
+
+
+_add("report_flat", _flat_report, "SELECT unnest(['data_stats_c_acctbal_statistics_min', 'data_stats_c_acctbal_statistics_max', 'data_stats_c_acctbal_statistics_mean', 'data_stats_c_acctbal_statistics_stddev', 'data_stats_c_acctbal_statistics_num_negatives', 'data_stats_c_acctbal_statistics_null_count', 'data_stats_c_acctbal_statistics_precision_max', 'global_stats_n_rows', 'global_stats_unique_rows', 'data_stats_c_name_statistics_unique_count']) AS key, unnest([min(c_acctbal), max(c_acctbal), round(avg(c_acctbal), 4), round(stddev_samp(c_acctbal), 4), count(*) FILTER (c_acctbal < 0), 0, max(length(ltrim(replace(replace(c_acctbal::VARCHAR, '-', ''), '.', ''), '0')) - CASE WHEN c_acctbal = floor(c_acctbal) THEN 1 ELSE 0 END), count(*), count(*), count(DISTINCT c_name)]::DOUBLE[]) AS value FROM customer")
+
+
+def _set_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What two lists have alone and in common."""
+    one, two = ([r[0] for r in x.select("o_custkey").distinct().collect()] for x in _halves(_t(spark, sf_dir, "orders")))
+    parts = compare.lists(one, two)
+    return spark.createDataFrame([(name, v) for name, part in zip(("first", "both", "second"), parts, strict=True) for v in part], "part string, value bigint")
+
+
+_add("diff_lists", _set_diff, "SELECT CASE WHEN z = 0 THEN 'first' WHEN a = 0 THEN 'second' ELSE 'both' END AS part, o_custkey AS value FROM (SELECT o_custkey, count(*) FILTER (o_orderkey % 2 = 0) AS a, count(*) FILTER (o_orderkey % 2 <> 0) AS z FROM orders GROUP BY o_custkey)")
+
+
+def _dict_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of both sides by key, with those that one side lacks."""
+    df = _t(spark, sf_dir, "events")
+    one, two = (dict(df.filter(f"user_id % 50 = {k}").groupBy("user_id").count().select((F.col("user_id") / 50).cast("int").cast("string"), "count").collect()) for k in (0, 1))
+    got = compare.dicts(one, two)
+    got = {} if got == compare.UNCHANGED else got
+    cell = lambda x: (None, None, 0) if x == compare.UNCHANGED else (x[0], x[1], None) if isinstance(x, list) else (None, None, x)
+    return spark.createDataFrame([(k, *cell(v)) for k, v in got.items()], "key string, only_first bigint, only_second bigint, diff bigint")
+
+
+_add("diff_dicts", _dict_diff, "SELECT k AS key, CASE WHEN z = 0 THEN a END AS only_first, CASE WHEN a = 0 THEN z END AS only_second, CASE WHEN a > 0 AND z > 0 THEN a - z END AS diff FROM (SELECT floor(user_id / 50)::INT::VARCHAR AS k, count(*) FILTER (user_id % 50 = 0) AS a, count(*) FILTER (user_id % 50 = 1) AS z FROM events WHERE user_id % 50 <= 1 GROUP BY ALL)")
+
+
+def _date_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The time between the last orders of two halves, signed, and the statistics' difference of whole profiles by date."""
+    one, two = (x.agg(F.max("o_orderdate")).first()[0] for x in _halves(_t(spark, sf_dir, "orders")))
+    return spark.createDataFrame([(compare.dates(one, two), compare.dates(two, one) == compare.UNCHANGED)], "diff string, same boolean")
+
+
+_add("diff_dates", _date_diff, "SELECT CASE WHEN a = z THEN 'unchanged' ELSE CASE WHEN a > z THEN '+' ELSE '-' END || CASE WHEN d = 0 THEN '' WHEN d = 1 THEN '1 day, ' ELSE d || ' days, ' END || '0:00:00' END AS diff, a = z AS same FROM (SELECT a, z, abs(date_diff('day', z, a)) AS d FROM (SELECT max(o_orderdate) FILTER (o_orderkey % 2 = 0) AS a, max(o_orderdate) FILTER (o_orderkey % 2 <> 0) AS z FROM orders))")
+
+
+def _anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The validator's own lists, as rows."""
+    v = validate.Validator()
+    v.validate(_t(spark, sf_dir, "customer"), {"c_acctbal": {"range": {"start": -1000, "end": 0}}, "c_nationkey": {"list": [3, 7]}}, "c_custkey")
+    return spark.createDataFrame([(c, r, i) for c, rules in v.get().items() for r, ids in rules.items() for i in ids], "column_name string, rule string, row_id bigint")
+
+
+_add("validator_lists", _anomalies, "SELECT 'c_acctbal' AS column_name, 'range' AS rule, c_custkey AS row_id FROM customer WHERE c_acctbal BETWEEN -1000 AND 0 UNION ALL SELECT 'c_nationkey', 'list', c_custkey FROM customer WHERE c_nationkey IN (3, 7)")
+
+
+def _streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The profile that a stream of a table's parts keeps up to date."""
+    folder = runtime.new_path(spark, "stream")
+    df = _t(spark, sf_dir, "orders")
+    df.repartition(3).write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    query = incremental.start(stream, f"{folder}/states", f"{folder}/checkpoint", available_now=True)
+    query.awaitTermination()
+    if query.exception() is not None:
+        raise query.exception()
+    return _figures(spark, incremental.current(spark, f"{folder}/states")).drop("unique_count", "categorical")
+
+
+_add("profile_stream", _streamed, _sql["profile_merge"])
+_add("column_label_votes", lambda spark, sf_dir: _round(labels.column_labels(_t(spark, sf_dir, "events").select(F.when(F.col("event_id") % 4 == 0, F.concat(F.col("user_id").cast("string"), F.lit("@mail.org"))).otherwise(F.col("event_type")).alias("who")), ["who"]), share=6), "SELECT 'who' AS column_name, unnest(['UNKNOWN', 'EMAIL_ADDRESS']) AS label, unnest([n - e, e]) AS n, unnest([round((n - e) / n, 6), round(e / n, 6)]) AS share, unnest([1, 2]) AS place FROM (SELECT count(*) FILTER (event_id % 4 = 0 AND user_id IS NOT NULL) AS e, count(*) FILTER (event_id % 4 = 0 AND user_id IS NOT NULL OR event_id % 4 <> 0 AND event_type IS NOT NULL) AS n FROM events)")
+
+
 # ---- texts and graphs
 
 _WORD_SQL = "(SELECT {key}regexp_replace(w, '^{p}|{p}$', '', 'g') AS word FROM (SELECT {key}unnest(regexp_split_to_array(text, '\\s+')) AS w FROM conversations {where}))"
