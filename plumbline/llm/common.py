@@ -11,6 +11,7 @@ from collections.abc import Callable, Hashable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,6 +73,35 @@ def broadcast_checked(df: DataFrame, rows: int, most: int = 1 << 20) -> DataFram
     return F.broadcast(df) if rows <= most else df
 
 
+#: Bytes that are broadcast at once, at most.
+MOST_BROADCAST = 128 << 20
+
+
+def handed_out(spark: SparkSession, parts: tuple[bytes, ...], name: str, most: int = MOST_BROADCAST) -> Callable[[], tuple[bytes, ...]]:
+    """A function by which workers get the parts: broadcast ones, or, where they are large, from a file in the shared folder."""
+    if sum(map(len, parts)) <= most:
+        shared = spark.sparkContext.broadcast(parts)
+        return lambda: shared.value
+    path = new_path(spark, name)
+    fs, place = pafs.FileSystem.from_uri(path)
+    with fs.open_output_stream(place) as out:
+        out.write(b"".join(parts))
+    ends = [0]
+    for x in parts:
+        ends.append(ends[-1] + len(x))
+    held: list[tuple[bytes, ...]] = []
+
+    def read() -> tuple[bytes, ...]:
+        if not held:
+            fs, place = pafs.FileSystem.from_uri(path)
+            with fs.open_input_file(place) as f:
+                data = f.read()
+            held.append(tuple(data[a:b] for a, b in zip(ends, ends[1:], strict=False)))
+        return held[0]
+
+    return read
+
+
 def runs(texts: list[str | None], most: int = RUN_CHARS) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about `most` characters each; a range has at least one text."""
     begin, size = 0, 0

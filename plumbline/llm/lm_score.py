@@ -4,7 +4,7 @@ What a text costs under zstandard with a dictionary of in-domain words, against
 everything, tells how much it is like the domain: score = (general - in-domain) / bytes, in bits a byte. The words are
 counted over all documents, both ways in one aggregation; each dictionary is a raw one that holds the words which save
 most (count times length), the best last, where they are nearest. A dictionary grows with the vocabulary: it holds a
-fixed share of all that repeated words save.
+fixed share of all that repeated words save; beyond 128 MB workers read dictionaries from the shared folder.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import broadcast_checked, resident, settled, slices
+from plumbline.llm.common import broadcast_checked, handed_out, resident, settled, slices
 
 #: Each dictionary has all repeated words up to so many bytes; beyond that, the best that make up SHARE of the savings.
 DICTIONARY = 112_640
@@ -112,12 +112,12 @@ def score(df: DataFrame, domain: DataFrame, id_col: str = "doc_id", text_col: st
     """
     counts = settled(word_counts(df, domain, id_col, text_col).filter("n_all > 1"), "lm-words")
     inside, general = dictionaries(counts, size, share)
-    shared = df.sparkSession.sparkContext.broadcast((inside, general))
+    shared = handed_out(df.sparkSession, (inside, general), "lm-dictionaries")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, whole.column(1)):
-                n, a, b = costs(batch.column(1).to_pylist(), *shared.value, level).T
+                n, a, b = costs(batch.column(1).to_pylist(), *shared(), level).T
                 none = n == 0
                 d = np.maximum(n, 1) / 8
                 figures = [pa.array(x, mask=none) for x in (a / d, b / d, (b - a) / d)]

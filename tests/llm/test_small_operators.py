@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 import zstandard
 
-from plumbline.llm import bpe, fingerprints, licenses, lm_score, sharding, token_files
+from plumbline.llm import bpe, common, fingerprints, licenses, lm_score, sharding, token_files
 
 
 def stripped(uri: str) -> str:
@@ -198,6 +198,15 @@ def test_lm_long_words_and_texts(spark) -> None:
     assert lm_score.costs([long[: lm_score.BLOCK].ljust(lm_score.BLOCK) * 5], b"", b"").tolist() == (5 * once).tolist()
 
 
+def test_large_parts_are_files(spark) -> None:
+    """Workers get the same parts whichever way they are handed out."""
+    parts = (b"abc" * 1000, b"", b"x")
+    for most in (10_000, 10):
+        get = common.handed_out(spark, parts, "parts", most)
+        own = spark.range(4, numPartitions=2).mapInPandas(lambda frames, get=get: (f.assign(id=sum(map(len, get()))) for f in frames), "id bigint")
+        assert get() == parts and {r["id"] for r in own.collect()} == {3001}
+
+
 def test_lm_dictionaries_follow_the_vocabulary(spark) -> None:
     base, sizes = lm_score.DICTIONARY // 8, []
     for n in (base, 4 * base):
