@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import base64
+import importlib.util
 from collections import Counter
+from pathlib import Path
 
+import duckdb
+import pyarrow as pa
+import tiktoken
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -54,6 +60,44 @@ def test_run(documents, spark, sf_dir) -> None:
         assert r["tokens"] == flat.tolist()
 
 
+def helper(name: str):
+    spec = importlib.util.spec_from_file_location(f"helper_{name}", Path(__file__).parent / f"{name}.py")
+    module = importlib.util.module_from_spec(spec)
+    spec.loader.exec_module(module)
+    return module
+
+
+def test_run_brute(documents, spark, sf_dir) -> None:
+    """run() against a chain of brute force: SQL for quality rules, all pairs for near duplicates, plain loops for the
+    mixture, a public BPE; language ID's own query has its brute force in test_langid."""
+    found = {r["doc_id"]: r for r in langid.identify(documents).collect()}
+    rows = []
+    for r in documents.collect():
+        f = found[r["doc_id"]]
+        if not f["reject"]:
+            sure = f["own_gap"] is None and f["margin"] > langid.RELABEL or f["own_gap"] is not None and f["own_gap"] > langid.RELABEL
+            rows.append(tuple(r[c] if c != "lang" or not sure else f["language"] for c in documents.columns))
+    con = duckdb.connect()
+    kept = pa.Table.from_pylist([dict(zip(documents.columns, r, strict=True)) for r in rows])  # noqa: F841
+    con.execute("CREATE TABLE documents AS SELECT * FROM kept")
+    good = {i for i, reject in con.execute(f"SELECT doc_id, reject FROM ({quality.judge_sql()})").fetchall() if not reject}
+    rows = [r for r in rows if r[0] in good]
+    near = helper("test_neardup")
+    gone = {i for i, k in near.brute_groups(near.brute_pairs([(r[0], r[1]) for r in rows])) if i != k}
+    rows = [r for r in rows if r[0] not in gone]
+    # the stage tells rows apart by a key of id and text, in whose order its epochs go
+    keyed = spark.createDataFrame(rows, documents.schema).select(F.xxhash64(F.col("doc_id").cast("string"), F.col("text")).alias("k"), "doc_id", "text", "lang", "source").collect()
+    own = {r["k"]: r for r in keyed}
+    chosen = helper("test_quality_mixing").brute_mix([(r["k"], r["text"], r["lang"], r["source"]) for r in keyed], mixing.Mix())
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(bpe.VOCABULARY, "rb"))}
+    known = tiktoken.Encoding("own", pat_str=helper("test_bpe").PATTERN, mergeable_ranks=ranks, special_tokens={})
+    want: Counter = Counter()
+    for (k, *_), n in chosen.items():
+        want[own[k]["doc_id"], tuple(known.encode_ordinary(own[k]["text"]))] += n
+    got = Counter((r["doc_id"], tuple(r["tokens"])) for r in corpus_pipeline.run(spark, sf_dir).collect())
+    assert got == want and sum(got.values()) > 50
+
+
 def test_odd_rows(odd, empty, spark, sf_dir) -> None:
     """Which rows survive each stage; clashing columns keep their values."""
     want = {"language_id": ["1", "2", "2", "6", "7", "9", "None"], "quality_rules": ["1", "2", "2", "6", "7", "9", "None"], "near_duplicates": ["1", "6", "7", "9"]}
