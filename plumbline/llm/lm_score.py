@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import broadcast_checked, handed_out, resident, settled, slices
+from plumbline.llm.common import broadcast_checked, filter_of, handed_out, maybe_in, resident, settled, slices
 
 #: Each dictionary has all repeated words up to so many bytes; beyond that, the best that make up SHARE of the savings.
 DICTIONARY = 112_640
@@ -32,17 +32,24 @@ ENTRY = 40
 BLOCK = 1 << 15
 
 
-def word_counts(df: DataFrame, domain: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def word_counts(df: DataFrame, domain: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = 1 << 20) -> DataFrame:
     """(word, n_all, n_in): how often each word occurs in all documents and in those of the domain's ids.
 
-    The ids are counted first: up to a million of them are broadcast, so that texts stay where they are read; beyond
-    that both sides are shuffled by id.
+    The ids are counted first: up to `most` of them are broadcast, so that texts stay where they are read. Beyond that a
+    membership filter of fixed size tells which texts may be in the domain; only those are shuffled, to be told apart.
     """
-    ids = domain.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("__id")).distinct().withColumn("__in", F.lit(1))
-    ids = broadcast_checked(ids, ids.count())
-    own = df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(ids, "__id", "left")
-    words = own.select(F.explode(F.regexp_extract_all("__text", F.lit(f"[^ \\t\\r\\n]{{1,{ENTRY}}}"), F.lit(0))).alias("word"), F.coalesce("__in", F.lit(0)).alias("__in"))
-    return words.groupBy("word").agg(F.count(F.lit(1)).alias("n_all"), F.sum("__in").alias("n_in"))
+    cut = F.explode(F.regexp_extract_all("t", F.lit(f"[^ \\t\\r\\n]{{1,{ENTRY}}}"), F.lit(0))).alias("word")
+    own = df.select(F.col(f"`{id_col}`").alias("i"), F.col(f"`{text_col}`").alias("t"))
+    ids = domain.filter(F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`").alias("i")).distinct()
+    n = ids.count()
+    if n <= most:
+        marked = own.join(broadcast_checked(ids.withColumn("in", F.lit(1)), n, most), "i", "left")
+        words = marked.select(cut, F.lit(1).alias("all"), F.coalesce("in", F.lit(0)).alias("in"))
+    else:
+        hashed = F.xxhash64("i")
+        inside = maybe_in(own.withColumn("h", hashed), "h", filter_of(ids.select(hashed.alias("h")), "h")).join(ids, "i", "left_semi")
+        words = own.select(cut, F.lit(1).alias("all"), F.lit(0).alias("in")).unionByName(inside.select(cut, F.lit(0).alias("all"), F.lit(1).alias("in")))
+    return words.groupBy("word").agg(F.sum("all").alias("n_all"), F.sum("in").alias("n_in"))
 
 
 def dictionaries(counts: DataFrame, size: int = DICTIONARY, share: float = SHARE) -> tuple[bytes, bytes]:

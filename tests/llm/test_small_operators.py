@@ -184,10 +184,18 @@ def test_lm_score_brute(documents, spark, sf_dir) -> None:
     coders = [zstandard.ZstdCompressor(level=lm_score.LEVEL, dict_data=zstandard.ZstdCompressionDict(b, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False) for b in books]
     for r in lm_score.score(documents, domain).collect():
         data = texts[r["doc_id"]].encode()
-        a, b = (sum(len(c.compress(data[k : k + 32768])) for k in range(0, len(data), 32768)) for c in coders)
+        a, b = (sum(len(c.compress(data[k : k + lm_score.BLOCK])) for k in range(0, len(data), lm_score.BLOCK)) for c in coders)
         assert r["n_bytes"] == len(data) and r["score"] == pytest.approx((b - a) * 8 / len(data))
 
 
+def test_lm_counts_of_many_ids(documents, odd, spark, sf_dir) -> None:
+    """Ids that aren't broadcast give the same counts."""
+    domain = spark.read.parquet(f"{sf_dir}/labels.parquet").filter("quality = 1")
+    for df, ids in ((documents, domain), (odd, odd.filter("doc_id is null or doc_id < 3"))):
+        one, two = (Counter(map(tuple, lm_score.word_counts(df, ids, most=most).collect())) for most in (1 << 20, 1))
+        assert one == two and one
+
+
 def test_lm_long_words_and_texts(spark) -> None:
     """Words without blanks count by parts, and a long text costs as much as its blocks."""
     long = "".join(f"{k:x}," for k in range(100_000, 101_000))
