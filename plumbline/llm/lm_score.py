@@ -28,8 +28,8 @@ LEVEL_BITS = 17
 #: A dictionary entry has at most so many characters; a longer word is counted as entries in a row.
 ENTRY = 40
 #: Texts are costed in blocks of so many bytes, each of which starts from the dictionary, so that scores of long texts
-#: compare with those of short ones.
-BLOCK = 1 << 15
+#: compare with those of short ones. Up to this size zstandard refers to a dictionary's tables; for more it copies them.
+BLOCK = 1 << 14
 
 
 def word_counts(df: DataFrame, domain: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = 1 << 20) -> DataFrame:
