@@ -379,7 +379,7 @@ def _figures(spark: SparkSession, p: profile.Profile) -> DataFrame:
         low, high = (s.dates.low[1], s.dates.high[1]) if s.data_type == "datetime" else (None, None)
         figures = (n.mean, n.stddev(), n.skewness(), n.kurtosis()) if n.n and s.data_type != "datetime" else (None,) * 4
         out.append((c, s.data_type, s.n_rows, s.null_count, s.counts.unique, low, high, *figures, s.counts.categorical))
-    got = _round(spark.createDataFrame(out, FIGURES), mean=6, stddev=3, skewness=5, kurtosis=5)
+    got = _round(spark.createDataFrame(out, FIGURES), mean=8, stddev=3, skewness=5, kurtosis=5)
     return got.withColumn("skewness", F.col("skewness") + 0.0)  # no negative zeros
 
 
@@ -393,7 +393,7 @@ def _profile_sql(table: str, kinds: dict[str, str]) -> str:
                 low = high = "NULL::VARCHAR"
         else:
             low = high = "NULL::VARCHAR"
-            figures = f"round(avg({x}), 6) AS mean, round(stddev_samp({x}), 3) AS stddev, round(CASE WHEN var_pop({x}) = 0 THEN 0 ELSE skewness({x}) END, 5) + 0.0::DOUBLE AS skewness, round(CASE WHEN var_pop({x}) = 0 THEN -3 * pow(count({x}) - 1, 2) / ((count({x}) - 2) * (count({x}) - 3)) ELSE kurtosis({x}) END, 5) AS kurtosis"
+            figures = f"round(avg({x}), 8) AS mean, round(stddev_samp({x}), 3) AS stddev, round(CASE WHEN var_pop({x}) = 0 THEN 0 ELSE skewness({x}) END, 5) + 0.0::DOUBLE AS skewness, round(CASE WHEN var_pop({x}) = 0 THEN -3 * pow(count({x}) - 1, 2) / ((count({x}) - 2) * (count({x}) - 3)) ELSE kurtosis({x}) END, 5) AS kurtosis"
         parts.append(f"SELECT '{c}' AS column_name, '{k}' AS data_type, count(*) AS n_rows, count(*) - count({c}) AS null_count, count(DISTINCT {c}) AS unique_count, {low} AS low, {high} AS high, {figures}, count(DISTINCT {c}) <= 10 OR count(DISTINCT {c}) / count({c}) <= 0.2 AS categorical FROM {table}")
     return " UNION ALL ".join(parts)
 
