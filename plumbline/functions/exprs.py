@@ -42,11 +42,9 @@ def finite(d: Column) -> Column:
 
 def significant_digits(c: Column) -> Column:
     """How many digits of a number's text count: neither leading nor trailing zeros, nor those of the exponent."""
-    digits = F.regexp_replace(F.regexp_replace(c, r"[eE].*$", ""), r"[^\d.]", "")
-    digits = F.when(digits.contains("."), digits).otherwise(F.regexp_replace(digits, r"0+$", ""))
-    return F.length(F.regexp_replace(F.regexp_replace(digits, r"^[0.]+", ""), r"\.", "")) - F.when(
-        digits.contains("."), F.length(F.regexp_extract(digits, r"(0*)$", 1)) * (F.regexp_replace(digits, r"[0.]", "") != "").cast("int")
-    ).otherwise(F.lit(0))
+    plain = F.translate(c, "+-_ ", "")
+    plain = F.when(plain.rlike("[^0-9.]"), F.regexp_replace(F.regexp_replace(plain, r"[eE].*$", ""), r"[^\d.]", "")).otherwise(plain)
+    return F.length(F.ltrim(F.translate(F.rtrim(plain, F.lit("0")), ".", ""), F.lit("0")))
 
 
 MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
@@ -80,6 +78,11 @@ def without_day_suffix(c: Column) -> Column:
 
 def parse_date(c: Column, fmt: str) -> Column:
     """The time that a text gives in this format, else null; missing parts are those of 1900-01-01 00:00:00."""
+    return F.when(c.rlike(format_pattern(fmt)[0]), made_date(c, fmt))
+
+
+def made_date(c: Column, fmt: str) -> Column:
+    """The time of a text that fits the format; null if its parts make none."""
     pattern, names = format_pattern(fmt)
     part = {n: F.regexp_extract(c, pattern, i + 1) for i, n in enumerate(names)}
     number = {n: F.trim(p).try_cast("int") for n, p in part.items()}
@@ -96,25 +99,29 @@ def parse_date(c: Column, fmt: str) -> Column:
         second = second + F.rpad(part["f"], 6, "0").cast("decimal(16,6)") / F.lit(1_000_000).cast("decimal(16,6)")
     day, hour, minute = number.get("d", F.lit(1)), number.get("H", F.lit(0)), number.get("M", F.lit(0))
     made = F.try_make_timestamp_ntz(year, month, day, hour, minute, second.cast("decimal(16,6)"))
-    return F.when(c.rlike(pattern) & (number.get("S", F.lit(0)) <= 59), made)
+    return F.when(number["S"] <= 59, made) if "S" in number else made
 
 
 def date_ladder(c: Column, formats: tuple[str, ...] = FORMATS) -> Column:
     """(time, format) of the first format that fits, null if none does.
 
     The signs in a format, which a text in it must have, tell which formats are tried; none for texts that are too long
-    or too short, or have no digit where one has to be. The first whose pattern fits and whose parts make a time counts.
+    or too short, or have no digit. The first whose pattern fits counts: if its parts make no time (a 30th of February),
+    no other pattern fits that would make one.
     """
     clean = without_day_suffix(c)
 
     def first(own: list[str]) -> Column:
-        tries = [F.struct(parse_date(clean, f).alias("time"), F.lit(f).alias("format")) for f in own]
-        return F.get(F.filter(F.array(*tries), lambda t: t["time"].isNotNull()), F.lit(0)) if tries else F.lit(None)
+        out = F.lit(None)
+        for f in reversed(own):
+            out = F.when(clean.rlike(format_pattern(f)[0]), F.struct(made_date(clean, f).alias("time"), F.lit(f).alias("format"))).otherwise(out)
+        return out
 
     signs = {s: [f for f in formats if s in re.sub(r"%[A-Za-z]", "", f)] for s in "/-,"}
     rest = [f for f in formats if not any(f in own for own in signs.values())]
     found = F.when(F.contains(clean, F.lit("/")), first(signs["/"])).when(F.contains(clean, F.lit("-")), first(signs["-"])).when(F.contains(clean, F.lit(",")), first(signs[","])).otherwise(first(rest))
-    return F.when(F.length(clean).between(5, 100) & clean.rlike("[0-9]"), found)
+    found = F.when(F.length(clean).between(5, 100) & clean.rlike("[0-9]"), found)
+    return F.get(F.filter(F.array(found), lambda x: x["time"].isNotNull()), F.lit(0))
 
 
 def characters(c: Column) -> Column:

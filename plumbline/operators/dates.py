@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import exprs
+from plumbline.runtime import spread
 
 
 ABBREVIATED, FULL = "%b %d, %Y", "%B %d, %Y"
@@ -13,7 +14,7 @@ ABBREVIATED, FULL = "%b %d, %Y", "%B %d, %Y"
 
 def parsed(df: DataFrame, columns: list[str]) -> DataFrame:
     """(column_name, raw, time, format) of the cells that are dates, in one pass over the table."""
-    texts = df.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in columns]).unpivot([], [F.col(f"`{c}`") for c in columns], "column_name", "raw")
+    texts = spread(df.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in columns])).unpivot([], [F.col(f"`{c}`") for c in columns], "column_name", "raw")
     found = texts.filter(~exprs.is_null_token(F.col("raw"))).withColumn("d", exprs.date_ladder(F.col("raw"))).filter("d is not null")
     return found.select("column_name", "raw", "d.time", "d.format")
 

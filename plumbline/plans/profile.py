@@ -24,6 +24,7 @@ from plumbline.functions.moments import Moments
 from plumbline.operators import compare, dates, matrices, order, rows
 from plumbline.plans.column import Column, Counts, Dates, Numbers, Precision
 from plumbline.plans.options import Options, Structured, plugins
+from plumbline.runtime import spread
 
 GUESS = 200
 NUMBERS = ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")
@@ -259,7 +260,9 @@ def _unfolded(df: DataFrame, names: list[str], kinds: list[int], o: Structured)
 def _figures(df: DataFrame, names: list[str], kinds: list[int], o: Structured) -> DataFrame:
     """One row for each column (i) with all that is known of its cells, from one pass."""
     long = _unfolded(df, names, kinds, o)
-    digits = F.when(F.col("number").isNotNull(), exprs.significant_digits(F.trim("text"))).cast("double") if o.precision.enabled else F.lit(None).cast("double")
+    whole = [i for i, c in enumerate(names) if df.schema[c].dataType.typeName() in ("byte", "short", "integer", "long")]  # these are no floats
+    written = F.col("number").isNotNull() & ~F.col("i").isin(whole) if whole else F.col("number").isNotNull()
+    digits = F.when(written, exprs.significant_digits(F.trim("text"))).cast("double") if o.precision.enabled else F.lit(None).cast("double")
     long = long.withColumns({"digits": digits, "x": exprs.finite(F.col("number")), "size": F.when(F.col("kind").isin(TEXT, DATED), F.length("text")).cast("double")})
     moments = lambda x, k: [F.count(x).alias(f"{k}n"), F.avg(x).alias(f"{k}mean"), F.var_pop(x).alias(f"{k}v"), F.skewness(x).alias(f"{k}g"), F.kurtosis(x).alias(f"{k}k"), F.min(x).alias(f"{k}low"), F.max(x).alias(f"{k}high")]
     dated = F.col("fmt").isNotNull()
@@ -339,6 +342,7 @@ def of(df: DataFrame, options: Options | Structured | None = None, encoding: str
     o.check()
     names = [*(o.columns or df.columns)]
     kinds = _kinds(df, names, o)
+    rows_in_order, df = df, spread(df.select(*[F.col(f"`{c}`") for c in names]))
     found = {r["i"]: r.asDict() for r in _figures(df, names, kinds, o).collect()}
     out = {c: Column() for c in names}
     if not found:
@@ -383,7 +387,7 @@ def of(df: DataFrame, options: Options | Structured | None = None, encoding: str
             edges = np.array([own.low, own.high]) if n == 1 and own.low == own.high else np.linspace(own.low, own.high, n + 1)
             own.histogram = Histogram(np.array([bins[i].get(k, 0) for k in range(n)], np.int64), edges)
     if o.order.enabled:
-        for c, run in order.runs(df, names).items():
+        for c, run in order.runs(rows_in_order, names).items():
             out[c].order = order.Run(run.order, _plain(run.first), _plain(run.last))
     if o.text.enabled and o.text.vocabulary:
         for c, chars in _characters(df, [names[i] for i in textual], tuple(o.null_values)).items():
@@ -395,7 +399,7 @@ def of(df: DataFrame, options: Options | Structured | None = None, encoding: str
         cell = lambda c: F.when(~exprs.is_null_token(F.col(f"`{c}`").cast("string"), tuple(o.null_values)), F.col(f"`{c}`").cast("string"))
         for (c, k), x in zip(own, df.agg(*[plugins("column")[k]().aggregate(cell(c)).alias(str(i)) for i, (c, k) in enumerate(own)]).first(), strict=True):
             out[c].custom[k] = x
-    for r in df.select(*[F.col(f"`{c}`").cast("string").alias(str(i)) for i, c in enumerate(names)]).limit(5).collect():
+    for r in rows_in_order.select(*[F.col(f"`{c}`").cast("string").alias(str(i)) for i, c in enumerate(names)]).limit(5).collect():
         for i, c in enumerate(names):
             out[c].samples += [] if r[i] is None else [r[i]]
     return Profile(out, _row_figures(df, names, o, next(iter(found.values()))["n_rows"]), _correlations(df, out, o), _replications(df, out, names, o), o, encoding, file_type)

@@ -13,7 +13,7 @@ import warnings
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that every executor reaches: spark.checkpoint.dir; a temporary one only where that is unset, on one machine."""
@@ -33,6 +33,12 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where its files make fewer parts than half of them: for work on cells that outweighs moving rows."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if not df.isStreaming and df.rdd.getNumPartitions() < n // 2 else df
+
+
 SEED_VARIABLE = "PLUMBLINE_SEED"
 _seed: list[int | None] = [None]
 
