@@ -158,6 +158,50 @@ def test_fingerprints_catch_shared_passages(documents) -> None:
             assert not a or not b or x[a - 1] != y[b - 1]
 
 
+def brute_longest(texts: list[str], least: int) -> dict[str, int]:
+    """Of each text the length of the longest match with any different one, where that has `least` characters."""
+    out: dict[str, int] = {}
+    for n in range(least, max(map(len, texts)) + 1):
+        where: dict[str, set[str]] = {}
+        for t in set(texts):
+            if n == least or out.get(t) == n - 1:
+                for k in range(len(t) - n + 1):
+                    where.setdefault(t[k : k + n], set()).add(t)
+        found = {t for ts in where.values() if len(ts) > 1 for t in ts}
+        if not found:
+            break
+        out |= dict.fromkeys(found, n)
+    return out
+
+
+def crowd(rng: np.random.Generator) -> list[str]:
+    """Texts with a notice that all share, which most share more of with one than with the first or last of them."""
+    text = lambda n, a=97, b=101: "".join(map(chr, rng.integers(a, b, n)))
+    notice, lefts, rights = text(300), [text(120) for _ in range(4)], [text(500) for _ in range(4)]
+    out = []
+    for k in range(40):  # opening and end are cut from the same few, so that all have partners of their own
+        left, right = lefts[rng.integers(4)], rights[rng.integers(4)]
+        out.append(text(30, 65, 91) + left[rng.integers(len(left)) :] + notice + right[: rng.integers(len(right))] + text(30 * (k % 3), 65, 91))
+    out += [text(50) + notice + text(90) + notice + rights[0] + "!", out[0], out[3] + "?"]  # twice in one text; copies
+    for unit in ("-", "=*", text(20), text(50)):  # runs of a period, cut at any phase
+        out += [text(n) + unit * (rng.integers(300, 900) // len(unit)) + unit[:n] + rights[n % 4][:60] for n in range(0, 18, 3)]
+    return out
+
+
+def test_fingerprints_longest_of_many(spark, documents) -> None:
+    """The longest match with any different text, whatever the number of texts that share a span."""
+    least = fingerprints.ANCHOR + fingerprints.WINDOW - 1
+    tables = [crowd(np.random.default_rng(k)) for k in range(2)] + [[r["text"] for r in documents.select("text").collect()]]
+    for texts in tables:
+        got = fingerprints.fingerprints(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)).collect()
+        want = brute_longest(texts, least)
+        assert want and {r["doc_id"]: r["passage"] for r in got if (r["passage"] or 0) >= least} == {i: want[t] for i, t in enumerate(texts) if t in want}
+        for r in got:
+            if r["passage"] is not None:
+                x, y, a, b, n = texts[r["doc_id"]], texts[r["other"]], r["start"], r["other_start"], r["passage"]
+                assert x != y and x[a : a + n] == y[b : b + n] and len(x[a : a + n]) == n
+
+
 def brute_dictionary(counts: Counter, size: int) -> bytes:
     parts, left = [], size
     saved = {w: n * len(w.encode()) for w, n in counts.items() if n > 1 and len(w.encode()) > 1}
