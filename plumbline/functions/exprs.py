@@ -73,7 +73,8 @@ def format_pattern(fmt: str) -> tuple[str, list[str]]:
 
 
 def without_day_suffix(c: Column) -> Column:
-    return F.regexp_replace(c, r"(\d{1,2})(?:st|nd|rd|th)", "$1")
+    """Texts without such a suffix, the most, are told without a regular expression."""
+    return F.when(either([F.contains(c, F.lit(s)) for s in ("st", "nd", "rd", "th")]), F.regexp_replace(c, r"(\d{1,2})(?:st|nd|rd|th)", "$1")).otherwise(c)
 
 
 def parse_date(c: Column, fmt: str) -> Column:

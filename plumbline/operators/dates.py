@@ -13,10 +13,12 @@ ABBREVIATED, FULL = "%b %d, %Y", "%B %d, %Y"
 
 
 def parsed(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(column_name, raw, time, format) of the cells that are dates, in one pass over the table."""
+    """(column_name, raw, n, time, format) of the different cells that are dates, in one pass over the table: however often a
+    text is there, it is parsed once."""
     texts = spread(df.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in columns])).unpivot([], [F.col(f"`{c}`") for c in columns], "column_name", "raw")
-    found = texts.filter(~exprs.is_null_token(F.col("raw"))).withColumn("d", exprs.date_ladder(F.col("raw"))).filter("d is not null")
-    return found.select("column_name", "raw", "d.time", "d.format")
+    each = texts.groupBy("column_name", "raw").agg(F.count(F.lit(1)).alias("n")).filter(~exprs.is_null_token(F.col("raw")))
+    found = each.select("column_name", "raw", "n", F.explode(F.array(exprs.date_ladder(F.col("raw")))).alias("d")).filter("d is not null")
+    return found.select("column_name", "raw", "n", "d.time", "d.format")
 
 
 def shown_formats(formats: Column, only_may: Column) -> Column:
@@ -28,7 +30,7 @@ def shown_formats(formats: Column, only_may: Column) -> Column:
 def profile(df: DataFrame, columns: list[str]) -> DataFrame:
     """(column_name, n, min, max, formats): the least and greatest cell as written; formats are sorted."""
     may = F.min(F.when(F.col("format") == ABBREVIATED, (F.month("time") == 5).cast("int")))
-    got = parsed(df, columns).groupBy("column_name").agg(F.count(F.lit(1)).alias("n"), F.min_by("raw", F.struct("time", "raw")).alias("min"), F.max_by("raw", F.struct("time", "raw")).alias("max"), F.collect_set("format").alias("f"), may.alias("may"))
+    got = parsed(df, columns).groupBy("column_name").agg(F.sum("n").alias("n"), F.min_by("raw", F.struct("time", "raw")).alias("min"), F.max_by("raw", F.struct("time", "raw")).alias("max"), F.collect_set("format").alias("f"), may.alias("may"))
     return got.select("column_name", "n", "min", "max", shown_formats(F.col("f"), F.coalesce(F.col("may") == 1, F.lit(False))).alias("formats"))
 
 

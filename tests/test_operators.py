@@ -93,3 +93,13 @@ def test_sketches_merge(spark) -> None:
     both = categorical.merged_sketches(spark, categorical.sketch(df, "x"), categorical.sketch(df, "x"))
     assert categorical.sketched_count(spark, both, "a") >= 300
     assert not categorical.stopped(df, "x", 10, 0.5) and categorical.stopped(df.withColumn("x", df["x"]).limit(1), "x", 1, 0.5)
+
+
+def test_dates_parsed_once(spark) -> None:
+    """A text that is there often is parsed once, and counts as often as it is there."""
+    from plumbline.operators import dates
+
+    texts = ["03/01/2020"] * 5 + ["12/31/2019"] * 3 + ["Jan 3rd, 2021", "Jan 3, 2021", "nan", "02/30/2020", "strand", "x"]
+    df = spark.createDataFrame([(t,) for t in texts] + [(None,)], "d string").repartition(3)
+    assert sorted((r["raw"], r["n"]) for r in dates.parsed(df, ["d"]).collect()) == [("03/01/2020", 5), ("12/31/2019", 3), ("Jan 3, 2021", 1), ("Jan 3rd, 2021", 1)]
+    assert [tuple(r) for r in dates.profile(df, ["d"]).collect()] == [("d", 10, "12/31/2019", "Jan 3rd, 2021", "%b %d, %Y|%m/%d/%Y")]
