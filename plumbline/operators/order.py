@@ -95,15 +95,16 @@ def runs(ordered: DataFrame, columns: list[str]) -> dict[str, Run]:
     """
     texts = [c for c in columns if ordered.schema[c].dataType.typeName() == "string"]
     filled = {c: F.when(~exprs.is_null_token(F.col(f"`{c}`")), F.col(f"`{c}`")) for c in texts}
-    number = {c: exprs.to_double(filled[c]) for c in texts}
-    spare = [F.when(filled[c].isNotNull() & number[c].isNull(), F.lit(1)).alias(f"{i}t") for i, c in enumerate(texts)]
-    own = ordered.select(*[filled[c].alias(f"{i}s") if c in filled else F.col(f"`{c}`").alias(f"{i}s") for i, c in enumerate(columns)], *[number[c].alias(f"{i}n") for i, c in enumerate(texts)], *spare)
+    place = {c: f"{i}s" for i, c in enumerate(columns)}
+    own = ordered.select(*[filled.get(c, F.col(f"`{c}`")).alias(place[c]) for c in columns])  # one after the other, so that each is worked out once
+    own = own.select("*", *[exprs.to_double(F.col(place[c])).alias(f"{i}n") for i, c in enumerate(texts)])
+    own = own.select("*", *[F.when(F.col(place[c]).isNotNull() & F.col(f"{i}n").isNull(), F.lit(1)).alias(f"{i}t") for i, c in enumerate(texts)])
     found = _runs(own, own.columns)
     out = {}
-    for i, c in enumerate(columns):
+    for c in columns:
         k = texts.index(c) if c in filled else -1
         numeric = k >= 0 and found[f"{k}t"].order is None and found[f"{k}n"].order is not None
-        out[c] = found[f"{k}n"] if numeric else found[f"{i}s"]
+        out[c] = found[f"{k}n"] if numeric else found[place[c]]
     return out
 
 
@@ -125,6 +126,9 @@ def _runs(ordered: DataFrame, columns: list[str]) -> dict[str, Run]:
                 x = batch.column(i + 1).drop_null()
                 if not len(x):
                     continue
+                if states[i].order == RANDOM:  # it stays so, whatever follows
+                    states[i] = replace(states[i], last=x[len(x) - 1].as_py())
+                    continue
                 a, b = x.slice(0, len(x) - 1), x.slice(1)
                 up = pc.all(pc.greater_equal(b, a), min_count=0).as_py()
                 down = pc.all(pc.less_equal(b, a), min_count=0).as_py()

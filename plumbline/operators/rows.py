@@ -45,12 +45,24 @@ def unique_rows(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return per.agg(n.alias("n_rows"), u.alias("unique_rows"), F.try_divide(u, n).alias("unique_row_ratio"), (n - u).alias("duplicate_rows"))
 
 
+TYPED = ("byte", "short", "integer", "long", "float", "double", "date", "timestamp", "timestamp_ntz", "boolean")
+
+
 def row_figures(df: DataFrame, columns: list[str] | None = None, tokens: tuple[str, ...] = exprs.NULL_TOKENS) -> DataFrame:
-    """row_nulls() and unique_rows() in one pass: one row of both."""
+    """row_nulls() and unique_rows() in one pass: one row of both.
+
+    Cells of types that no usual token is written in, but nan, are hashed and looked at as they are, others as texts.
+    """
     names = columns or df.columns
-    flags = [exprs.is_null_token(_text(df, c), tokens) for c in names]
-    h = F.xxhash64(*[F.struct(F.coalesce(_text(df, c), F.lit("\0null"))) for c in names])
-    own = df.select(h.alias("h"), exprs.either(flags).cast("int").alias("some"), exprs.every(flags).cast("int").alias("all"))
+    kinds = {c: df.schema[c].dataType.typeName() for c in names}
+    typed = [c for c in names if kinds[c] in TYPED and tuple(tokens) == exprs.NULL_TOKENS]
+    texts = [c for c in names if c not in typed]
+    cells = df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(typed)], *[_text(df, c).alias(f"t{i}") for i, c in enumerate(texts)])
+    marked = cells.select("*", *[exprs.is_null_token(F.col(f"t{i}"), tokens).alias(f"z{i}") for i in range(len(texts))])
+    flags = [F.col(f"z{i}") for i in range(len(texts))]
+    flags += [F.col(f"c{i}").isNull() | F.isnan(f"c{i}") if kinds[c] in ("float", "double") else F.col(f"c{i}").isNull() for i, c in enumerate(typed)]
+    parts = [x for i in range(len(typed)) for x in (F.col(f"c{i}").isNull(), F.col(f"c{i}"))] + [F.coalesce(f"t{i}", F.lit("\0null")) for i in range(len(texts))]
+    own = marked.select(F.xxhash64(*parts).alias("h"), exprs.either(flags).cast("int").alias("some"), exprs.every(flags).cast("int").alias("all"))
     per = own.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.sum("some").alias("some"), F.sum("all").alias("all"))
     n, u = F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))
     return per.agg(n.alias("n_rows"), F.try_divide(F.sum("some"), n).alias("row_has_null_ratio"), F.try_divide(F.sum("all"), n).alias("row_is_null_ratio"), u.alias("unique_rows"), F.try_divide(u, n).alias("unique_row_ratio"), (n - u).alias("duplicate_rows"))

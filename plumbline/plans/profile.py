@@ -1,8 +1,8 @@
 """A table's profile: what every column holds, as state that adds up, can be compared, saved and shown.
 
-A profile takes a fixed number of passes over the table, whatever the number of columns: one for all figures of cells
-(each row's cells unfolded, and aggregated before anything is moved), one for histograms and value counts together, one
-for the rows as a whole, and one for their order and the characters in use. State that reaches the driver is bounded:
+A profile takes a fixed number of passes over the table, whatever the number of columns: one that counts each column's
+different cells, which are kept until all figures, histograms, value counts and characters in use are read from them; one
+for the rows as a whole, and one for their order. State that reaches the driver is bounded:
 figures, STORED_BINS histogram bins, and value counts only of columns with few values.
 """
 
@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from plumbline.functions import exprs
 from plumbline.functions.histograms import METHODS, STORED_BINS, Histogram, bin_count
@@ -215,6 +216,7 @@ def flat(x: dict[str, object], separator: str = "_", key: str = "") -> dict[str,
 
 
 NUMBER, TIME, TEXT, DATED = range(4)
+WHOLE = ("tinyint", "smallint", "int", "bigint")
 
 
 def _kinds(df: DataFrame, names: list[str], o: Structured) -> list[int]:
@@ -230,107 +232,127 @@ def _kinds(df: DataFrame, names: list[str], o: Structured) -> list[int]:
     return out
 
 
-def _unfolded(df: DataFrame, names: list[str], kinds: list[int], o: Structured) -> DataFrame:
-    """(i, kind, text, number, time, fmt, token) of every cell, token being what a missing one has: each expression once."""
+def _cells(df: DataFrame, names: list[str], kinds: list[int], o: Structured) -> DataFrame:
+    """(i, text, number, time, fmt, token, n) of each column's different cells, n being how often they are there, and token
+    what a missing one has.
+
+    Cells are counted as they are typed, before anything is worked out: all that follows is done once for each value.
+    """
     types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     structs = []
     for i, (c, k) in enumerate(zip(names, kinds, strict=True)):
-        own = F.col(f"`{c}`")
-        number = own.cast("double") if k == NUMBER else F.lit(None).cast("double")
+        own, whole, typed = F.col(f"`{c}`"), types[c] in WHOLE, types[c] == "double" or k == TIME
+        number = own.cast("double") if k == NUMBER and not whole else F.lit(None).cast("double")
         time = own.cast("timestamp_ntz") if k == TIME else F.lit(None).cast("timestamp_ntz")
-        structs.append(F.struct(F.lit(i).alias("i"), F.lit(k if types[c] != "date" else 4).alias("kind"), own.cast("string").alias("text"), number.alias("number"), time.alias("time")))
-    long = df.select(F.explode(F.array(*structs)).alias("c")).select("c.*")
-    null = F.col("text").isNull() | F.when(F.col("kind") == NUMBER, F.col("number").isNaN() & F.lit("nan" in o.null_values)).when(F.col("kind").isin(TEXT, DATED), F.col("text").rlike(exprs.null_pattern(tuple(o.null_values)))).otherwise(F.lit(False))
+        text = F.lit(None).cast("string") if whole or typed else own.cast("string")
+        structs.append(F.struct(F.lit(i).alias("i"), text.alias("text"), number.alias("number"), (own.cast("bigint") if whole else F.lit(None).cast("bigint")).alias("whole"), time.alias("time")))
+    each = df.select(F.explode(F.array(*structs)).alias("c")).select("c.*").groupBy("i", "text", "number", "whole", "time").agg(F.count(F.lit(1)).alias("n"))
+    of_kind = lambda *k: F.col("i").isin([i for i, x in enumerate(kinds) if x in k])
+    days = [i for i, c in enumerate(names) if types[c] == "date"]
+    long = each.withColumns({
+        "text": F.coalesce("text", F.col("whole").cast("string"), F.col("number").cast("string"), F.when(F.col("i").isin(days), F.col("time").cast("date").cast("string")).otherwise(F.col("time").cast("string"))),
+        "number": F.coalesce("number", F.col("whole").cast("double")),
+    })
+    null = F.col("text").isNull() | F.when(of_kind(NUMBER), F.coalesce(F.col("number").isNaN(), F.lit(False)) & F.lit("nan" in o.null_values)).when(of_kind(TEXT, DATED), F.col("text").rlike(exprs.null_pattern(tuple(o.null_values)))).otherwise(F.lit(False))
     long = long.withColumn("token", F.when(null, F.coalesce("text", F.lit("NULL"))))
     there = F.col("token").isNull()
-    is_text = F.col("kind").isin(TEXT, DATED)
-    long = long.withColumn("number", F.when(there & is_text, exprs.to_double(F.col("text"))).when(there, F.col("number")))
+    long = long.withColumn("number", F.when(there & of_kind(TEXT, DATED), exprs.to_double(F.col("text"))).when(there, F.col("number")))
     if DATED in kinds:
-        long = long.withColumn("date", F.when(there & (F.col("kind") == DATED), exprs.date_ladder(F.col("text"))))
+        long = long.withColumn("date", F.explode(F.array(F.when(there & of_kind(DATED), exprs.date_ladder(F.col("text"))))))
         long = long.withColumns({"time": F.coalesce("date.time", "time"), "fmt": F.col("date.format")}).drop("date")
     else:
         long = long.withColumn("fmt", F.lit(None).cast("string"))
     if TIME in kinds:  # a timestamp is written in whole seconds, or it has no format that is known
-        whole = F.date_format("time", "SSSSSS") == "000000"
-        typed = F.when(F.col("kind") == 4, "%Y-%m-%d").when((F.col("kind") == TIME) & whole, "%Y-%m-%d %H:%M:%S")
+        split = F.date_format("time", "SSSSSS") == "000000"
+        typed = F.when(F.col("i").isin(days), "%Y-%m-%d").when(of_kind(TIME) & split, "%Y-%m-%d %H:%M:%S")
         long = long.withColumn("fmt", F.when(F.col("time").isNotNull(), F.coalesce("fmt", typed)))
-    return long.withColumn("text", F.when(there, F.col("text")))
+    long = long.withColumn("text", F.when(there, F.col("text")))
+    fractional = F.col("number").isNotNull() & ~F.col("i").isin([i for i, c in enumerate(names) if types[c] in WHOLE])  # whole numbers' types are no floats
+    digits = F.when(fractional, exprs.significant_digits(F.trim("text"))).cast("double") if o.precision.enabled else F.lit(None).cast("double")
+    return long.select("i", "text", "number", "whole", "time", "fmt", "token", "n", digits.alias("p"), exprs.finite(F.col("number")).alias("x"), F.when(of_kind(TEXT, DATED), F.length("text")).cast("double").alias("l"))
 
 
-def _figures(df: DataFrame, names: list[str], kinds: list[int], o: Structured) -> DataFrame:
-    """One row for each column (i) with all that is known of its cells, from one pass."""
-    long = _unfolded(df, names, kinds, o)
-    whole = [i for i, c in enumerate(names) if df.schema[c].dataType.typeName() in ("byte", "short", "integer", "long")]  # these are no floats
-    written = F.col("number").isNotNull() & ~F.col("i").isin(whole) if whole else F.col("number").isNotNull()
-    digits = F.when(written, exprs.significant_digits(F.trim("text"))).cast("double") if o.precision.enabled else F.lit(None).cast("double")
-    long = long.withColumns({"digits": digits, "x": exprs.finite(F.col("number")), "size": F.when(F.col("kind").isin(TEXT, DATED), F.length("text")).cast("double")})
-    moments = lambda x, k: [F.count(x).alias(f"{k}n"), F.avg(x).alias(f"{k}mean"), F.var_pop(x).alias(f"{k}v"), F.skewness(x).alias(f"{k}g"), F.kurtosis(x).alias(f"{k}k"), F.min(x).alias(f"{k}low"), F.max(x).alias(f"{k}high")]
+def _figures(cells: DataFrame) -> list[dict]:
+    """For each column (i) all that is known of its cells: two aggregations, as deviations are those from the mean."""
+    n = F.col("n")
+    times = lambda test: F.coalesce(F.sum(F.when(test, n)), F.lit(0))
+    there = lambda c: times(F.col(c).isNotNull())
     dated = F.col("fmt").isNotNull()
     when = F.struct(F.date_format("time", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("t"), F.col("text").alias("raw"))
-    return long.groupBy("i").agg(
-        F.count(F.lit(1)).alias("n_rows"), F.count("token").alias("nulls"), F.count("fmt").alias("datetime"), F.count_if(exprs.is_int(F.col("number"))).alias("int"), F.count("number").alias("float"), F.max(F.length("text")).alias("longest"),
-        *moments(F.col("x"), "x"), F.count_if(F.col("x") == 0).alias("zeros"), F.count_if(F.col("x") < 0).alias("negatives"), *moments(F.col("size"), "l"), *moments(F.col("digits"), "p"),
-        F.min(F.when(dated, when)).alias("first_date"), F.max(F.when(dated, when)).alias("last_date"), F.collect_set("fmt").alias("formats"),
-        F.min(F.when(F.col("fmt") == dates.ABBREVIATED, (F.month("time") == 5).cast("int"))).alias("may"), F.approx_count_distinct("text", 0.02).alias("values"),
+    first = cells.groupBy("i").agg(
+        F.sum(n).alias("n_rows"), there("token").alias("nulls"), there("fmt").alias("datetime"), times(exprs.is_int(F.col("number"))).alias("int"), there("number").alias("float"), F.max(F.length("text")).alias("longest"),
+        *[f for k in "xlp" for f in (there(k).alias(f"{k}n"), F.sum(F.col(k) * n).alias(f"{k}sum"), F.min(k).alias(f"{k}low"), F.max(k).alias(f"{k}high"))], F.sum(F.col("whole").cast("decimal(38,0)") * n.cast("decimal(19,0)")).alias("whole"),
+        times(F.col("x") == 0).alias("zeros"), times(F.col("x") < 0).alias("negatives"), F.min(F.when(dated, when)).alias("first_date"), F.max(F.when(dated, when)).alias("last_date"), F.collect_set("fmt").alias("formats"),
+        F.min(F.when(F.col("fmt") == dates.ABBREVIATED, (F.month("time") == 5).cast("int"))).alias("may"), F.count("text").alias("values"),
     )
-
-
-def _counted(df: DataFrame, names: list[str], kinds: list[int], found: dict[int, dict], o: Structured, numeric: set[int], counted: list[int], stored: dict[int, int]) -> tuple[dict[int, dict[int, int]], dict[int, Counts], dict[int, dict[str, int]]]:
-    """Histogram bins, value counts and null tokens of all columns, from one pass.
-
-    Bins, values and tokens are keys of one aggregation, summed up before they are moved; what reaches the driver are the
-    bins, the tokens, and values of columns with few.
+    found = [r.asDict() for r in first.orderBy("i").collect()]
+    if not found:
+        return found
+    for f in found:
+        for k in "xlp":
+            total = float(f["whole"]) if k == "x" and f["whole"] is not None else f[f"{k}sum"]
+            f[f"{k}mean"] = total / f[f"{k}n"] if f[f"{k}n"] else None
+    means = {k: F.element_at(F.array(*[F.lit(f[f"{k}mean"] or 0.0) for f in found]), F.col("i") + 1) for k in "xlp"}  # all columns have cells where one has
+    away = cells.select("i", "n", *[(F.col(k) - means[k]).alias(k) for k in "xlp"])
+    powers = {2: lambda x: x * x, 3: lambda x: x * x * x, 4: lambda x: x * x * x * x}
+    second = away.groupBy("i").agg(*[F.coalesce(F.sum(power(F.col(k)) * n), F.lit(0.0)).alias(f"{k}{e}") for k in "xlp" for e, power in powers.items()])
+    for r in second.collect():
+        found[r["i"]] |= r.asDict()
+    return found
+
+
+def _counted(cells: DataFrame, found: dict[int, dict], o: Structured, numeric: set[int], counted: list[int], stored: dict[int, int]) -> tuple[dict[int, dict[int, int]], dict[int, Counts], dict[int, dict[str, int]]]:
+    """Histogram bins, value counts and null tokens of all columns, from one pass over the different cells.
+
+    What reaches the driver are the bins, the tokens, and values of columns with few; of the others, their number and squares.
     """
     bins: dict[int, dict[int, int]] = {}
     values: dict[int, dict[str, int]] = {}
     tokens: dict[int, dict[str, int]] = {}
-    wanted = [i for i in found if i in counted or stored.get(i) or found[i]["nulls"]]
-    if not wanted:
+    if not any(i in counted or stored.get(i) or found[i]["nulls"] for i in found):
         return bins, {}, tokens
-    long = _unfolded(df, [names[i] for i in wanted], [k if k != DATED else TEXT for k in (kinds[i] for i in wanted)], o)
-    at = lambda f: F.element_at(F.array(*[F.lit(f(i)) for i in wanted]), F.col("i") + 1)
+    at = lambda f: F.element_at(F.array(*[F.lit(f(i)) for i in range(len(found))]), F.col("i") + 1)
     low = at(lambda i: float((found[i]["xlow"] if i in numeric else found[i]["llow"]) or 0.0))
     high = at(lambda i: float((found[i]["xhigh"] if i in numeric else found[i]["lhigh"]) or 0.0))
-    long = long.withColumns({"x": F.when(at(lambda i: i in numeric), exprs.finite(F.col("number"))).otherwise(F.length("text").cast("double")), "low": low, "high": high, "bins": at(lambda i: stored.get(i, 0))})
+    many = {i for i in counted if found[i]["values"] > o.category.most_values}
+    long = cells.select("i", "text", "token", "n", F.when(F.col("i").isin(list(numeric)), F.col("x")).otherwise(F.length("text").cast("double")).alias("x"), low.alias("low"), high.alias("high"), at(lambda i: stored.get(i, 0)).alias("bins"))
     key = lambda what, k: F.struct(F.lit(what).alias("what"), k.alias("key"))
     place = exprs.bin_index(F.col("x"), F.col("low"), F.col("high"), F.col("bins")).cast("string")
-    keys = [F.when(F.col("token").isNotNull(), key("t", F.col("token"))), F.when(F.col("text").isNotNull() & at(lambda i: i in counted), key("v", F.col("text"))), F.when((F.col("bins") > 0) & F.col("x").isNotNull(), key("b", place))]
-    each = long.select("i", F.explode(F.array_compact(F.array(*keys))).alias("c")).groupBy("i", "c.what", "c.key").agg(F.count(F.lit(1)).alias("n"))
-    many = [k for k, i in enumerate(wanted) if i in counted and found[i]["values"] > o.category.most_values]
-    if many:  # their values are added up where they are
-        each = each.withColumn("key", F.when((F.col("what") != "v") | ~F.col("i").isin(many), F.col("key")))
-        n = F.col("n").cast("double")
-        each = each.groupBy("i", "what", "key").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("unique"), F.sum(n * n).alias("squares"))
+    value = F.when(~F.col("i").isin(list(many)), F.col("text"))
+    keys = [F.when(F.col("token").isNotNull(), key("t", F.col("token"))), F.when(F.col("text").isNotNull() & F.col("i").isin(counted), key("v", value)), F.when((F.col("bins") > 0) & F.col("x").isNotNull(), key("b", place))]
+    n = F.col("n").cast("double")
+    each = long.select("i", "n", F.explode(F.array(*keys)).alias("c")).filter("c is not null").groupBy("i", "c.what", "c.key").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("unique"), F.sum(n * n).alias("squares"))
     out: dict[int, Counts] = {}
     for r in each.collect():
-        i = wanted[r["i"]]
+        i = r["i"]
         if r["what"] == "b":
             bins.setdefault(i, {})[int(r["key"])] = r["n"]
         elif r["what"] == "t":
             tokens.setdefault(i, {})[r["key"]] = r["n"]
-        elif many and r["i"] in many:
+        elif i in many:
             out[i] = Counts(r["n"], r["unique"], r["squares"])
         else:
             values.setdefault(i, {})[r["key"]] = r["n"]
     return bins, out | {i: Counts.over(v) for i, v in values.items()}, tokens
 
 
-def _characters(df: DataFrame, columns: list[str], tokens: tuple[str, ...]) -> dict[str, list[str]]:
-    """The characters that columns' cells have: worked out batch by batch, and put together."""
+def _characters(cells: DataFrame, columns: dict[int, str]) -> dict[str, list[str]]:
+    """The characters that columns' different cells have: worked out batch by batch, and put together."""
     if not columns:
         return {}
-    own = df.select(*[F.when(~exprs.is_null_token(F.col(f"`{c}`").cast("string"), tokens), F.col(f"`{c}`").cast("string")).alias(str(i)) for i, c in enumerate(columns)])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = [np.zeros(0, np.uint32) for _ in columns]
+        seen = {i: np.zeros(0, np.uint32) for i in columns}
         for batch in batches:
-            for i in range(len(columns)):
-                data = "".join(x for x in batch.column(i).to_pylist() if x).encode("utf-32-le", "surrogatepass")
+            own = batch.column(0).to_numpy(zero_copy_only=False)
+            for i in np.unique(own).tolist():
+                data = "".join(batch.column(1).filter(pa.array(own == i)).to_pylist()).encode("utf-32-le", "surrogatepass")
                 seen[i] = np.union1d(seen[i], np.frombuffer(data, np.uint32))
-        i = np.repeat(np.arange(len(columns)), [len(s) for s in seen])
-        yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(np.concatenate(seen).astype(np.int32))], names=["i", "c"])
+        i = np.repeat(np.array(list(seen), np.int32), [len(x) for x in seen.values()])
+        yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(np.concatenate(list(seen.values())).astype(np.int32))], names=["i", "c"])
 
-    out: dict[str, list[str]] = {c: [] for c in columns}
+    out: dict[str, list[str]] = {c: [] for c in columns.values()}
+    own = cells.filter(F.col("i").isin(list(columns)) & F.col("text").isNotNull()).select("i", "text")
     for i, c in own.mapInArrow(work, "i int, c int").distinct().orderBy("i", "c").collect():  # at most as many as there are characters
         out[columns[i]].append(chr(c))
     return out
@@ -343,7 +365,15 @@ def of(df: DataFrame, options: Options | Structured | None = None, encoding: str
     names = [*(o.columns or df.columns)]
     kinds = _kinds(df, names, o)
     rows_in_order, df = df, spread(df.select(*[F.col(f"`{c}`") for c in names]))
-    found = {r["i"]: r.asDict() for r in _figures(df, names, kinds, o).collect()}
+    cells = _cells(df, names, kinds, o).persist(StorageLevel.DISK_ONLY)
+    try:
+        return _of(df, rows_in_order, cells, names, kinds, o, encoding, file_type)
+    finally:
+        cells.unpersist()
+
+
+def _of(df: DataFrame, rows_in_order: DataFrame, cells: DataFrame, names: list[str], kinds: list[int], o: Structured, encoding: str | None, file_type: str | None) -> Profile:
+    found = {f["i"]: f for f in _figures(cells)}
     out = {c: Column() for c in names}
     if not found:
         return Profile(out, {"n_rows": 0}, None, None, o, encoding, file_type)
@@ -357,7 +387,7 @@ def of(df: DataFrame, options: Options | Structured | None = None, encoding: str
     stored: dict[int, int] = {}
     for i, f in found.items():
         c = out[names[i]]
-        moments = lambda k, f=f: Moments.of(f[f"{k}n"], f[f"{k}mean"], f[f"{k}v"], f[f"{k}g"], f[f"{k}k"])
+        moments = lambda k, f=f: Moments(f[f"{k}n"], f[f"{k}mean"], f[f"{k}2"], f[f"{k}3"], f[f"{k}4"]) if f[f"{k}n"] else Moments()
         if i in numeric:
             c.numbers = Numbers(moments("x"), f["xlow"], f["xhigh"], f["zeros"], f["negatives"])
             if c.data_type == "float" and o.precision.enabled:
@@ -375,7 +405,7 @@ def of(df: DataFrame, options: Options | Structured | None = None, encoding: str
                 formats = list({dates.FULL if x == dates.ABBREVIATED else x for x in formats})
             c.dates = Dates(f["datetime"], tuple(f["first_date"]), tuple(f["last_date"]), sorted(formats))
     counted = [i for i in found if o.category.enabled and not _stopped(found[i], o)]
-    bins, values, tokens = _counted(df, names, kinds, found, o, numeric, counted, stored)
+    bins, values, tokens = _counted(cells, found, o, numeric, counted, stored)
     for i, f in found.items():
         c = out[names[i]]
         c.null_types = tokens.get(i, {})
@@ -390,7 +420,7 @@ def of(df: DataFrame, options: Options | Structured | None = None, encoding: str
         for c, run in order.runs(rows_in_order, names).items():
             out[c].order = order.Run(run.order, _plain(run.first), _plain(run.last))
     if o.text.enabled and o.text.vocabulary:
-        for c, chars in _characters(df, [names[i] for i in textual], tuple(o.null_values)).items():
+        for c, chars in _characters(cells, {i: names[i] for i in sorted(textual)}).items():
             out[c].characters = chars
     if o.labeler.enabled:
         _labelled(df, out, o)

@@ -271,3 +271,17 @@ def test_entities(spark, sf_dir) -> None:
     assert got == {("m", "EMAIL_ADDRESS", 2), ("x", "UNKNOWN", 2), ("x", "IPV4", 1)}
     names = labels.name_labels(["E-Mail", "email_address", "SSN", "file_name", "quux"])
     assert names["email_address"] == ("EMAIL_ADDRESS", 100.0) and names["SSN"][0] == "SSN" and not {"file_name", "quux"} & set(names)
+
+
+def test_cells_counted_first(spark) -> None:
+    """What follows is worked out once for each different cell: figures are those of all cells, whole numbers' means exact."""
+    big = [2**53 + k for k in (1, 3, 3, 3, 5)] * 20
+    df = spark.createDataFrame([(b, i % 4 / 2, ["x", "-", "1st May, 2020", None, "ab"][i % 5]) for i, b in enumerate(big)], "b bigint, f double, s string").repartition(3)
+    cells = profile._cells(df, df.columns, profile._kinds(df, df.columns, Structured()), Structured())
+    assert sorted((r["text"], r["n"]) for r in cells.filter("i = 1").collect()) == [(t, 25) for t in ("0.0", "0.5", "1.0", "1.5")]
+    p = profile.of(df)
+    b, f, s = (p.columns[c] for c in "bfs")
+    assert (b.n_rows, b.counts.unique, b.counts.values[str(2**53 + 3)], b.numbers.moments.mean) == (100, 3, 60, float(sum(big)) / 100)
+    assert f.numbers.moments.mean == 0.75 and f.numbers.zeros == 25 and abs(f.numbers.moments.variance(False) - 0.3125) < 1e-12 and f.precision.moments.n == 100
+    assert s.null_types == {"-": 20, "NULL": 20} and s.counts.values == {"x": 20, "1st May, 2020": 20, "ab": 20} and s.characters == sorted(set("x1st May, 2020ab"))
+    assert (s.lengths.low, s.lengths.high, round(s.lengths.moments.mean, 6)) == (1.0, 13.0, round(16 / 3, 6))
