@@ -575,8 +575,9 @@ def _streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The profile that a stream of a table's parts keeps up to date."""
     folder = runtime.new_path(spark, "stream")
     df = _t(spark, sf_dir, "orders")
-    df.repartition(3).write.parquet(f"{folder}/in")
-    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    files = max(1, spark.sparkContext.defaultParallelism)  # of each of three batches, so that all cores read one
+    df.repartition(3 * files).write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(f"{folder}/in")
     query = incremental.start(stream, f"{folder}/states", f"{folder}/checkpoint", available_now=True)
     query.awaitTermination()
     if query.exception() is not None:

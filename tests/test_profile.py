@@ -285,3 +285,16 @@ def test_cells_counted_first(spark) -> None:
     assert f.numbers.moments.mean == 0.75 and f.numbers.zeros == 25 and abs(f.numbers.moments.variance(False) - 0.3125) < 1e-12 and f.precision.moments.n == 100
     assert s.null_types == {"-": 20, "NULL": 20} and s.counts.values == {"x": 20, "1st May, 2020": 20, "ab": 20} and s.characters == sorted(set("x1st May, 2020ab"))
     assert (s.lengths.low, s.lengths.high, round(s.lengths.moments.mean, 6)) == (1.0, 13.0, round(16 / 3, 6))
+
+
+def test_stream_batches_have_many_files(spark, sf_dir) -> None:
+    """Each of a stream's three batches is read by all cores."""
+    from pathlib import Path
+
+    from plumbline import queries
+
+    shared = Path(runtime.shared_folder(spark).removeprefix("file://"))
+    before = set(shared.glob("stream-*"))
+    assert queries.queries()["profile_stream"](spark, sf_dir).count() == 6
+    folder = (set(shared.glob("stream-*")) - before).pop()
+    assert len(list(folder.glob("in/*.parquet"))) == 3 * spark.sparkContext.defaultParallelism and len(list(folder.glob("states/batch=*"))) == 3
