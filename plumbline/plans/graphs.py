@@ -6,6 +6,7 @@ import json
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.storagelevel import StorageLevel
 
 from plumbline.operators import compare, graph
 from plumbline.plans.profile import formatted, get, put
@@ -54,7 +55,15 @@ def attribute_values(edges: DataFrame, attribute: str) -> DataFrame:
 
 
 def of(edges: DataFrame) -> GraphProfile:
-    """The profile of a frame (u, v, attributes…) as graph.edges() gives it."""
+    """The profile of a frame (u, v, attributes…) as graph.edges() gives it; the edges are worked out once and kept meanwhile."""
+    kept = edges.persist(StorageLevel.DISK_ONLY)
+    try:
+        return _of(kept)
+    finally:
+        kept.unpersist()
+
+
+def _of(edges: DataFrame) -> GraphProfile:
     names = attributes(edges)
     s = graph.summary(edges).first()
     categorical, continuous = graph.attribute_kinds(edges, names) if names else ([], [])

@@ -298,3 +298,16 @@ def test_stream_batches_have_many_files(spark, sf_dir) -> None:
     assert queries.queries()["profile_stream"](spark, sf_dir).count() == 6
     folder = (set(shared.glob("stream-*")) - before).pop()
     assert len(list(folder.glob("in/*.parquet"))) == 3 * spark.sparkContext.defaultParallelism and len(list(folder.glob("states/batch=*"))) == 3
+
+
+def test_graph_edges_worked_out_once(spark) -> None:
+    worked = spark.sparkContext.accumulator(0)
+
+    def work(batches):  # noqa: ANN001, ANN202
+        for b in batches:
+            worked.add(b.num_rows)
+            yield b
+
+    e = spark.createDataFrame([(1, 2, 1.0, 2.5), (2, 3, 2.0, 1.7), (5, 6, 3.0, 1.8)], "u bigint, v bigint, id double, weight double")
+    p = graphs.of(e.mapInArrow(work, e.schema))
+    assert (p.num_nodes, p.num_edges, p.global_max_component_size, worked.value) == (5, 3, 2, 3)
