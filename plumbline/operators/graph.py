@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,14 +38,58 @@ def summary(e: DataFrame) -> DataFrame:
     return d.select("num_nodes", "num_edges", F.try_divide(2 * F.col("num_edges"), F.col("num_nodes")).alias("avg_node_degree"))
 
 
+CHUNK = 1_000_000
+
+
+def _least_ends(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """For each of n nodes the least one it is connected with by the edges (a, b)."""
+    label = np.arange(n)
+    while True:
+        x, y = label[a], label[b]
+        apart = x != y
+        if not apart.any():
+            return label
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while not np.array_equal(label, up := label[label]):
+            label = up
+
+
+def contracted(e: DataFrame) -> DataFrame:
+    """Edges (u, v), v being less, that connect the same nodes: in place of up to CHUNK edges of a partition, one from each
+    node to the least that these connect it with. Nodes that are neither whole numbers nor texts are left alone."""
+    if e.schema["u"].dataType != e.schema["v"].dataType or e.schema["u"].dataType.typeName() not in ("byte", "short", "integer", "long", "string"):
+        return e
+
+    def least(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(held)
+        ends = np.concatenate([c.to_numpy() for c in table.columns])
+        nodes, codes = np.unique(ends, return_inverse=True)
+        label = _least_ends(codes[: len(table)], codes[len(table) :], len(nodes))
+        own = label != np.arange(len(nodes))
+        return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((nodes[own], nodes[label[own]]), table.schema, strict=True)], names=["u", "v"])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= CHUNK:
+                yield least(held)
+                held = []
+        if held:
+            yield least(held)
+
+    return e.select("u", "v").mapInArrow(work, e.select("u", "v").schema)
+
+
 def components(e: DataFrame) -> DataFrame:
-    """(node, component): the least node that a node is connected with.
+    """(node, component): the least node that a node is connected with. Edges may be there twice, either way round.
 
-    Large and small stars in turn, each round written by checkpoint(), until nothing changes; the number of rounds grows
-    with the logarithm of the longest path. Least neighbours are summed up before they are moved, so that a hub's star is
+    What a partition's edges connect is put together first. Then large and small stars in turn, each round written by
+    checkpoint(), until nothing changes; the number of rounds grows with the logarithm of the longest path that is left. Least neighbours are summed up before they are moved, so that a hub's star is
     no task of its own.
     """
-    stars = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u != v").distinct().checkpoint()
+    stars = contracted(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u != v")).distinct().checkpoint()
     mark = lambda s: s.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     before = mark(stars)
     while before[0]:

@@ -630,7 +630,7 @@ def _paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each user's events in a row: components that are long paths."""
     e = _t(spark, sf_dir, "events").select("user_id", "event_id").filter("user_id is not null")
     after = e.select(F.col("event_id").alias("s"), F.lead("event_id").over(Window.partitionBy("user_id").orderBy("event_id")).alias("t")).filter("t is not null")
-    return graph.components(graph.edges(after, "s", "t"))
+    return graph.components(after.select(F.col("s").alias("u"), F.col("t").alias("v")))  # a user's edges stay where they are
 
 
 _add("graph_path_components", _paths, "SELECT event_id AS node, min(event_id) OVER (PARTITION BY user_id) AS component FROM events WHERE user_id IS NOT NULL QUALIFY count(*) OVER (PARTITION BY user_id) > 1")

@@ -311,3 +311,15 @@ def test_graph_edges_worked_out_once(spark) -> None:
     e = spark.createDataFrame([(1, 2, 1.0, 2.5), (2, 3, 2.0, 1.7), (5, 6, 3.0, 1.8)], "u bigint, v bigint, id double, weight double")
     p = graphs.of(e.mapInArrow(work, e.schema))
     assert (p.num_nodes, p.num_edges, p.global_max_component_size, worked.value) == (5, 3, 2, 3)
+
+
+def test_edges_contracted(spark, monkeypatch) -> None:
+    """A partition's edges become one edge from each node to the least it is connected with, chunk by chunk."""
+    path = [(k + 1, k) for k in range(500)] + [(901, 900), (902, 901), (902, 900)]
+    e = spark.createDataFrame(path, "u bigint, v bigint").coalesce(1)
+    assert sorted(map(tuple, graph.contracted(e).collect())) == [(k, 0) for k in range(1, 501)] + [(901, 900), (902, 900)]
+    named = e.selectExpr("concat('n', u) AS u", "concat('n', v) AS v")
+    assert {r["v"] for r in graph.contracted(named).collect()} == {"n0", "n900"}
+    monkeypatch.setattr(graph, "CHUNK", 7)
+    for x, least in ((e, {0, 900}), (named, {"n0", "n900"}), (e.selectExpr("v AS u", "u AS v").union(e).repartition(3), {0, 900})):
+        assert {r["component"] for r in graph.components(x).collect()} == least
